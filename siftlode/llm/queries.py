@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import fusion
+from siftlode.llm import fusion, neighbours
 from siftlode.plans.runtime import load
 
 
@@ -21,6 +21,14 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "chunk_id", "fused_rank", F.round("rrf", 9).alias("rrf"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.nearest_vectors(load(spark, d, "chunk_embeddings")))
+
+
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings"))
+
+
 _P2 = """
 with long as (
   select query_id, chunk_id, path as measure, case when path = 'bm25' then -path_score else path_score end as score, rank as tie
@@ -33,7 +41,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest}
 
 ORACLE = {
     "p2_found": _P2
