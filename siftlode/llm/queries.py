@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import fusion, neighbours
+from siftlode.llm import fusion, licences, neighbours
 from siftlode.plans.runtime import load
 
 
@@ -29,6 +29,14 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_report(spark, d).select("subject", "subject_id", "license_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return licences.licences(load(spark, d, "artifact_files"), load(spark, d, "license_texts"))
+
+
 _P2 = """
 with long as (
   select query_id, chunk_id, path as measure, case when path = 'bm25' then -path_score else path_score end as score, rank as tie
@@ -41,7 +49,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p7_found": p7_found, "p7_report": p7_report}
 
 ORACLE = {
     "p2_found": _P2
