@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import fusion, licences, neighbours
+from siftlode.llm import fusion, licences, neighbours, reading
 from siftlode.plans.runtime import load
 
 
@@ -37,6 +37,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return licences.licences(load(spark, d, "artifact_files"), load(spark, d, "license_texts"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_bands(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return p10_found(spark, d).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("documents"))
+
+
 _P2 = """
 with long as (
   select query_id, chunk_id, path as measure, case when path = 'bm25' then -path_score else path_score end as score, rank as tie
@@ -49,7 +58,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p7_found": p7_found, "p7_report": p7_report, "p10_found": p10_found, "p10_profile": p10_profile}
 
 ORACLE = {
     "p2_found": _P2
