@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import fusion, licences, neighbours, reading
+from siftlode.llm import fusion, licences, mixing, neighbours, packing, reading, tokens
 from siftlode.plans.runtime import load
 
 
@@ -46,6 +46,26 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.token_counts(load(spark, d, "documents"), []), load(spark, d, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packing(spark, d), load(spark, d, "pack_sizes"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(tokens.token_counts(load(spark, d, "documents"), ["source"]), load(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
 _P2 = """
 with long as (
   select query_id, chunk_id, path as measure, case when path = 'bm25' then -path_score else path_score end as score, rank as tie
@@ -58,7 +78,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p7_found": p7_found, "p7_report": p7_report, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 ORACLE = {
     "p2_found": _P2
