@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import fusion, licences, mixing, neighbours, packing, reading, tokens
+from siftlode.llm import fusion, licences, markup, mixing, neighbours, packing, reading, tokens
 from siftlode.plans.runtime import load
 
 
@@ -29,6 +29,10 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(load(spark, d, "extraction_candidates"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_report(spark, d).select("subject", "subject_id", "license_id")
 
@@ -78,7 +82,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 ORACLE = {
     "p2_found": _P2
