@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import credentials, fusion, licences, markup, mixing, neighbours, packing, reading, tokens
+from siftlode.llm import credentials, fusion, licences, markup, mixing, neighbours, packing, reading, source_files, tokens
 from siftlode.plans.runtime import load
 
 
@@ -29,6 +29,14 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings"))
 
 
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return source_files.not_hand_written(load(spark, d, "artifact_files"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_report(spark, d).select("file_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(load(spark, d, "extraction_candidates"))[0].select("candidate_id", "line_no")
 
@@ -90,7 +98,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 ORACLE = {
     "p2_found": _P2
