@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: the separator between the parts of a hashed key.
 UNIT = "\u001f"
@@ -72,7 +73,7 @@ def git_version_label(kind: Column, ref: Column, commit: Column) -> Column:
     return F.concat(prefix, F.lit(":"), name, F.lit("@"), F.substring(commit, 1, 12))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_hash(doc: pd.Series) -> pd.Series:
     """Digest of a JSON text after sorting keys, dropping spaces and escaping beyond ASCII; not JSON gives null."""
     import hashlib
