@@ -129,7 +129,11 @@ def bm25(scope: DataFrame, query: list[str], text: str = "sanitized_text", limit
         raise ValueError("limit must be between 1 and 200")
     words = list(dict.fromkeys(w.lower() for w in query))
     t = scope.select("chunk_id", tokens(F.col(text)).alias("_w"))
-    tf = [F.size(F.filter("_w", lambda x, w=w: x == w)).alias(f"_f{i}") for i, w in enumerate(words)]
+
+    def count_of(w: str) -> Column:
+        return F.size(F.filter("_w", lambda x: x == w))
+
+    tf = [count_of(w).alias(f"_f{i}") for i, w in enumerate(words)]
     counted = t.select("chunk_id", F.size("_w").alias("_dl"), *tf)
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(words))]

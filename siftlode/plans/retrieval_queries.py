@@ -187,7 +187,8 @@ def hybrid_alpha(spark: SparkSession, d: str) -> DataFrame:
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     one = lambda t, k, f, to, g: load(spark, d, t).select(
         F.concat(F.lit(f"{t}-"), F.col(k).cast("string")).alias("edge_id"), F.lit(f"{t}_of").alias("relationship_type"), F.lit(f).alias("from_entity_type"),
-        F.col(k).cast("string").alias("from_entity_id"), F.lit(to).alias("to_entity_type"), F.col(g).cast("string").alias("to_entity_id"),
+        F.concat(F.lit(f[0]), F.col(k).cast("string")).alias("from_entity_id"), F.lit(to).alias("to_entity_type"),
+        F.concat(F.lit(to[0]), F.col(g).cast("string")).alias("to_entity_id"),
     )
     return (
         one("nation", "n_nationkey", "nation", "region", "n_regionkey")
@@ -201,12 +202,12 @@ _TYPES = ["nation_of", "supplier_of", "customer_of", "orders_of"]
 
 
 def graph_bounded_traversal(spark: SparkSession, d: str) -> DataFrame:
-    t = G.traverse(_edges(spark, d), [("region", "1"), ("region", "3")], _TYPES, 3, 4, 70, "inbound")
+    t = G.traverse(_edges(spark, d), [("region", "r1"), ("region", "r3")], _TYPES, 3, 4, 70, "inbound")
     return t.select("entity_type", "entity_id", "depth", "edge_id", "seed_id", F.array_join(F.transform("path", lambda p: p["edge_id"]), ">").alias("path"))
 
 
 def graph_path_check(spark: SparkSession, d: str) -> DataFrame:
-    t = G.traverse(_edges(spark, d), [("region", "1")], _TYPES, 2, 5, 40, "inbound")
+    t = G.traverse(_edges(spark, d), [("region", "r1")], _TYPES, 2, 5, 40, "inbound")
     p = t.select(
         F.col("entity_id").alias("item_id"),
         F.transform("path", lambda s: F.struct(s["relationship_type"].alias("relationship_type"), s["direction"].alias("direction"), s["depth"].alias("depth"), s["from_id"].alias("from_id"), s["to_id"].alias("to_id"), F.array(s["edge_id"]).alias("citation_ids"))).alias("path"),
@@ -220,7 +221,7 @@ def traversal_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "ranked_candidates")
-    return r.withColumn("excerpt", F.concat_ws(" ", "path", F.array_join(F.coalesce("matched_fields", F.array().cast("array<string>")), " ")))
+    return r.withColumn("excerpt", F.concat_ws(" ", "path", F.when(F.size("matched_fields") > 0, F.array_join("matched_fields", " "))))
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -350,12 +351,11 @@ lex as (select *, row_number() over (order by score desc, chunk_id)::int as rank
 
 
 _NEAR = """q as (select embedding::double[] as q from embeddings order by vec_id limit 1),
-near as (select vec_id, label, round(1 - list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))), 9) as distance from embeddings, q)"""
-_INTENT_TOK = "list_distinct_ordered"
-_EDGES = """edges as (select 'nation-' || n_nationkey as edge_id, 'nation_of' as rt, 'nation' as ft, n_nationkey::varchar as f, 'region' as tt, n_regionkey::varchar as t from nation
- union all select 'supplier-' || s_suppkey, 'supplier_of', 'supplier', s_suppkey::varchar, 'nation', s_nationkey::varchar from supplier
- union all select 'customer-' || c_custkey, 'customer_of', 'customer', c_custkey::varchar, 'nation', c_nationkey::varchar from customer
- union all select 'orders-' || o_orderkey, 'orders_of', 'order', o_orderkey::varchar, 'customer', o_custkey::varchar from orders)"""
+near as (select vec_id, label, round(1 - list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))), 9) + 0.0 as distance from embeddings, q)"""
+_EDGES = """edges as (select 'nation-' || n_nationkey as edge_id, 'nation_of' as rt, 'nation' as ft, 'n' || n_nationkey as f, 'region' as tt, 'r' || n_regionkey as t from nation
+ union all select 'supplier-' || s_suppkey, 'supplier_of', 'supplier', 's' || s_suppkey, 'nation', 'n' || s_nationkey from supplier
+ union all select 'customer-' || c_custkey, 'customer_of', 'customer', 'c' || c_custkey, 'nation', 'n' || c_nationkey from customer
+ union all select 'orders-' || o_orderkey, 'orders_of', 'order', 'o' || o_orderkey, 'customer', 'c' || o_custkey from orders)"""
 
 
 def _walk_sql(fanout: int, cap: int, seeds: list[str], depth: int) -> str:
@@ -427,8 +427,8 @@ a as (select chunk_id, case when max(score) over () > min(score) over () then (s
 b as (select chunk_id, case when max(d) over () > min(d) over () then (d - min(d) over ()) / (max(d) over () - min(d) over ()) else 1.0 end as vs from v),
 s as (select chunk_id, round(0.6::double * coalesce(vs, 0) + (1 - 0.6::double) * coalesce(ls, 0), 9) as score from a full join b using (chunk_id))
 select chunk_id, row_number() over (order by score desc, chunk_id)::int as rank, score from s qualify rank <= 30""",
-    "graph_bounded_traversal": f"with {_walk_sql(4, 70, ['1', '3'], 3)} select et as entity_type, eid as entity_id, depth, edge_id, seed as seed_id, array_to_string(path, '>') as path from found",
-    "graph_path_check": f"with {_walk_sql(5, 40, ['1'], 2)} select 'type' as fault, count(*) as n from found where len(list_filter(types, lambda x: x <> 'nation_of')) > 0 having count(*) > 0",
+    "graph_bounded_traversal": f"with {_walk_sql(4, 70, ['r1', 'r3'], 3)} select et as entity_type, eid as entity_id, depth, edge_id, seed as seed_id, array_to_string(path, '>') as path from found",
+    "graph_path_check": f"with {_walk_sql(5, 40, ['r1'], 2)} select 'type' as fault, count(*) as n from found where len(list_filter(types, lambda x: x <> 'nation_of')) > 0 having count(*) > 0",
     "traversal_seeds": """with m as (select chunk_id, min((case path when 'exact' then 0 else 1 end, rank)) as m from ranked_candidates where path in ('exact', 'bm25') and rank is not null group by 1)
 select chunk_id, row_number() over (order by m[1], m[2], chunk_id)::int as seed_rank from m qualify seed_rank <= 25""",
     "rrf_weighted_ties": f"with {_RRF} select query_id, chunk_id, fused_rank, round(score, 9) as fused_score, excerpt from fused",
@@ -464,3 +464,30 @@ select query_id, round(k / n::double, 9) as recall_at_k, (k > 0)::int as hit, ro
 ORACLE["eval_means"] = (
     "with p as (" + ORACLE["eval_recall_mrr_ndcg"] + ") select count(*) as queries, round(avg(recall_at_k), 9) as recall_at_k, round(avg(hit), 9) as hit, round(avg(reciprocal_rank), 9) as reciprocal_rank, round(avg(ndcg), 9) as ndcg, round(avg(citation_coverage), 9) as citation_coverage from p"
 )
+_FILE = r"\.(md|txt|ya?ml|json|toml|py|ts|js|html)$"
+
+
+def _once(x: str) -> str:
+    return f"coalesce(list_reduce(list_transform({x}, lambda x: [x]), lambda a, x: case when list_contains(a, x[1]) then a else a || x end), [])"
+
+
+_PATH = f"(contains(x, '/') or regexp_matches(x, '{_FILE}'))"
+_STRIPPED = r"list_filter(list_transform(regexp_extract_all(q, '[A-Za-z0-9_./:{}/?-]+'), lambda x: regexp_replace(x, '^[.,;()\[\]]+|[.,;()\[\]]+$', '', 'g')), lambda x: length(x) > 0)"
+_QUOTED = "list_transform(regexp_extract_all(q, '\"[^\"]+\"|''[^'']+'''), lambda x: trim(substr(x, 2, length(x) - 2)))"
+_KEYS = "list_filter(list_transform(list_filter(t, lambda x: starts_with(x, '--') or contains(x, '_') or starts_with(x, '$')), lambda x: regexp_replace(x, '^[-$]+', '')), lambda x: length(x) > 0)"
+_KIND_SQL = {
+    "symbols": f"list_filter(t, lambda x: contains(x, '::') or (contains(x, '.') and not {_PATH}))",
+    "artifact_paths": f"list_filter(t, lambda x: {_PATH})",
+    "endpoint_paths": "list_filter(t, lambda x: starts_with(x, '/') and length(x) > 1)",
+    "schema_keys": _once(_KEYS),
+    "version_strings": "list_filter(t, lambda x: regexp_matches(x, '^[vV]?[0-9]+([.][0-9]+){1,3}([-+][A-Za-z0-9_.-]+)?$'))",
+    "error_strings": "list_filter(t, lambda x: regexp_matches(x, '^([A-Z][A-Z0-9_]{2,}|[A-Za-z]+(Error|Exception))$'))",
+    "quoted_strings": "quoted",
+    "fuzzy_terms": "list_filter(t, lambda x: length(x) >= 4 and regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*$'))",
+}
+ORACLE["query_intent"] = (
+    f"with {CANDIDATES}, q as (select candidate_id, concat_ws(' ', '''exact words''', signature_text, locator, 'v1.2.3 --flag_name ValueError') as q from cand where signature_text is not null or locator is not null),"
+    f" d as (select candidate_id, {_once(_STRIPPED)} as t, {_once(_QUOTED)} as quoted from q) select candidate_id, "
+    + ", ".join(f"array_to_string({v}, '|') as {k}" for k, v in _KIND_SQL.items())
+    + " from d"
+)
