@@ -81,8 +81,8 @@ def conflict_markers(conflicts: DataFrame, claims: DataFrame, citations: DataFra
     j = conflicts.join(side("left"), "left_claim_id").join(side("right"), "right_claim_id")
     l, r = F.col("left_item_id").isNotNull(), F.col("right_item_id").isNotNull()
     j = j.where(l | r)
-    if strict:
-        j = j.withColumn("status", F.when(l & r, F.col("status")).otherwise(F.raise_error(F.lit("conflict evidence is incomplete after filtering"))))
+    if strict and j.where(~(l & r)).limit(1).count():
+        raise ValueError("conflict evidence is incomplete after filtering")
     j = j.where(l & r)
     for s in ("left", "right"):
         j = j.join(items.select(F.col("item_id").alias(f"{s}_item_id")), f"{s}_item_id", "left_semi")

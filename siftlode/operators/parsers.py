@@ -131,7 +131,7 @@ class _Page(HTMLParser):
         self.open: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "p" or tag[0] == "h" and tag in self.BLOCKS:
+        if tag in self.BLOCKS and tag != "code":
             self._end({"p", "h1", "h2", "h3", "h4", "h5", "h6"})
         if tag in self.BLOCKS:
             e = {"tag": tag, "line": self.getpos()[0], "id": dict(attrs).get("id"), "parts": []}
