@@ -45,6 +45,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """The frame in at least half as many partitions as there are cores: for costly work on a file with few splits.
+
+    Inputs of any size have more splits than that and pass unchanged, without a shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def session(app: str = "siftlode", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; ``conf`` overrides (dots as ``__``)."""
     b = SparkSession.builder.appName(app)
