@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.secrets_model import STATES, Candidate, CharModel, Scorer, bigrams, candidates, features, hashed, weak_label
-from siftlode.plans.runtime import cut
+from siftlode.plans.runtime import cut, parallelism
 
 #: Documented bound of the fit: texts (smallest hashes of candidate_id) whose weakly labelled values train
 #: the classifier. Character counts come from all texts, and every text is scored.
@@ -23,8 +24,10 @@ LEAST = 0.5
 def texts(table: DataFrame) -> DataFrame:
     """(candidate_id, text, path, kind, language): one row per candidate, the last extracted, then the larger text."""
     last = F.max(F.struct("extracted_at", "text", "artifact_path", "candidate_type", "language"))
+    # a fixed width, so that adaptive execution does not join small partitions of costly texts into a few tasks
     return (
         table.where("candidate_id is not null and text is not null")
+        .repartition(parallelism(table.sparkSession), "candidate_id")
         .groupBy("candidate_id")
         .agg(last.alias("m"))
         .select(
@@ -66,7 +69,8 @@ def fit(t: DataFrame, chars: CharModel) -> Scorer:
                 for c in candidates(text):
                     s = shared.value.surprise(c.value)
                     y = weak_label(c, s)
-                    if y is not None:
+                    # of the many sure negatives a quarter is enough to fit on; classes are weighted
+                    if y == 1 or y == 0 and zlib.crc32(c.value.encode() + c.left[-20:].encode()) % 4 == 0:
                         rows.append((hashed(features(c, s, path, kind, language)).astype(np.int32), y))
             yield pd.DataFrame(rows, columns=["at", "y"])
 
@@ -93,7 +97,10 @@ def hits(text: str, path: str, kind: str, language: str, chars: CharModel, score
     """The values of a text that count as credentials, with their probabilities."""
     out = []
     for c in candidates(text):
-        p = scorer.probability(hashed(features(c, chars.surprise(c.value), path, kind, language)))
+        s = chars.surprise(c.value)
+        if weak_label(c, s) == 0:
+            continue  # masked, harmless or no value by pattern: no need of a score
+        p = scorer.probability(hashed(features(c, s, path, kind, language)))
         if c.kind == "private_key" or p >= LEAST:
             out.append((c, max(p, 0.99) if c.kind == "private_key" else p))
     return out

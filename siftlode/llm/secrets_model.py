@@ -16,8 +16,10 @@ STATES = 96
 BUCKETS = 1 << 16
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE|[A-Z0-9 ]+?)( BLOCK)?-----")
+#: A line without any of these holds words only.
+_MAYBE = re.compile(r"[0-9\"'`=:/+]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
-_PEM_BODY = re.compile(r"^[\s>|#*/\"'+\\n]*[A-Za-z0-9+/=]{16,}[\s\"'+\\n;,]*$")
+_PEM_BODY = re.compile(r"^[\s>|#*/\"'+\\n]*[A-Za-z0-9+/=]+[\s\"'+\\n;,]*$")
 _ATOM = re.compile(r"[^\s\"'`<>(){}\[\],;|]+")
 _NAMED = re.compile(r"^[\"']?([A-Za-z_][\w.\-]*)(?::=|=>|[=:])(?=[^=])")
 _USERINFO = re.compile(r"\b([a-z][a-z0-9+.\-]*)://([^\s/@:\"'`]*):([^\s/@\"'`]+)@")
@@ -42,7 +44,7 @@ ABSENT = re.compile(
 )
 PREFIXED = re.compile(r"^(?:(?:AKIA|ASIA)[A-Z0-9]{12,}|[a-z]{2,5}_(?:live|pat|test|prod|sk|pk)_[A-Za-z0-9]{16,}|(?:ghp|gho|ghs|xox[abp])[_\-][A-Za-z0-9\-]{16,}|[a-z]{3}-(?=[A-Za-z0-9]*[A-Z0-9])[A-Za-z0-9]{24,}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})$")
 _NOT_VALUE = re.compile(
-    r"^(?:[A-Za-z]+|[A-Z][a-z]*(?:-[A-Z][a-z]+)+|[\d.,:%\-+/]+|[a-z]+(?:_[a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*|(?:[A-Z][a-z0-9]+)+|[A-Za-z_\-]+(?:\.[A-Za-z_]+)+|[\w\-]+\.[a-z]{1,4}|\.{0,2}/?[\w\-.]+(?:/[\w\-.*]+)+|--?[a-z][a-z\-]*|v?\d+(?:\.\w+)+|\W+)$"
+    r"^(?:[A-Za-z]+|[*_~]*[A-Za-z]+(?:-[a-z]+)*[.,]?[*_~]*|[a-z]*=+|[A-Z][a-z]*(?:-[A-Z][a-z]+)+|[\d.,:%\-+/]+|[a-z]+(?:_[a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*|(?:[A-Z][a-z0-9]+)+|[A-Za-z_\-]+(?:\.[A-Za-z_]+)+|[\w\-]+\.[a-z]{1,4}|\.{0,2}/?[\w\-.]+(?:/[\w\-.*]+)+|--?[a-z][a-z\-]*|v?\d+(?:\.\w+)+|\W+)$"
 )
 
 
@@ -85,10 +87,11 @@ class CharModel:
 
 def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
     taken: list[tuple[int, int]] = []
-    for m in _USERINFO.finditer(line):
+    remote = "://" in line
+    for m in _USERINFO.finditer(line) if remote else ():
         out.append(Candidate(n, m[3], before + line[: m.start(3)], line[m.end(3) :], "userinfo", m.start(3)))
         taken.append(m.span())
-    for m in _HOOK.finditer(line):
+    for m in _HOOK.finditer(line) if remote else ():
         if not any(a <= m.start() < b for a, b in taken):
             out.append(Candidate(n, m[1], before + line[: m.start()] + " urlpath ", line[m.end(1) :], "hook", m.start(1)))
         taken.append(m.span())
@@ -96,6 +99,8 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
         if any(a < m.end() and m.start() < b for a, b in taken):
             continue
         s, a = m.group(0), m.start()
+        if s.isalpha() and (s.islower() or s.istitle()):
+            continue  # a plain word
         while (k := _NAMED.match(s)) and "://" not in s and not s[k.end() :].startswith("//"):
             s, a = s[k.end() :], a + k.end()
         e = a + len(s)
@@ -140,13 +145,16 @@ def candidates(text: str) -> list[Candidate]:
                 continue
             else:
                 in_pem = False
-        m = _PEM.search(line)
+        m = _PEM.search(line) if "-----" in line else None
         if m:
             what = (m[1] + m[2]).strip()
             if "PRIVATE KEY" in what:
                 out.append(Candidate(n, m.group(0), line[: m.start()], "", "private_key", m.start()))
             in_pem = not _PEM_END.search(line, m.end()) and not re.search(r"\\n[A-Za-z0-9+/=\\]", line[m.end() : m.end() + 12])
             continue
+        if not _MAYBE.search(line):
+            folded = False
+            continue
         prev = lines[i - 1] if i else ""
         if _QUOTED_ONLY.match(line) and _ENDS_OPEN.search(prev):
             continue
