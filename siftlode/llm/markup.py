@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.markup_parse import clean_path_entry, elements, has_inline, signature
-from siftlode.plans.runtime import cut
+from siftlode.plans.runtime import cut, parallelism
 
 FORMATS = ["plain", "markdown", "html", "wiki", "latex"]
 KINDS = ["heading", "list", "code", "prose"]
@@ -169,6 +169,7 @@ def clean_markup(candidates: DataFrame, kinds: tuple[str, ...] = ("section", "pa
     last = F.max_by(F.struct("text", "heading_path"), F.struct("extracted_at", F.coalesce("text", F.lit(""))))
     one = (
         candidates.where(F.col("candidate_type").isin(*kinds) & F.col("candidate_id").isNotNull())
+        .repartition(parallelism(candidates.sparkSession), "candidate_id")
         .groupBy("candidate_id")
         .agg(last.alias("m"))
         .select("candidate_id", "m.text", "m.heading_path")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.plans.runtime import widen
+
 BANDS = 5
 #: Pseudo-count of every unit in every level.
 ALPHA = 0.5
@@ -131,7 +133,7 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModels:
     def collected(frame: DataFrame) -> list:
         return frame.mapInPandas(count, "unit string, band int, n long").groupBy("unit", "band").agg(F.sum("n").alias("n")).collect()
 
-    rows = collected(texts.join(per, "doc_id").select("text", "bands"))
+    rows = collected(widen(texts.join(per, "doc_id").select("text", "bands")))
     if not rows:
         some = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
         rows = collected(some.select("text", F.lit(None).cast("array<int>").alias("bands")))
@@ -160,4 +162,4 @@ def reading_bands(documents: DataFrame, labels: DataFrame, least_words: int = 40
 
     words = F.size(F.split(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
     chosen = documents.where(english(F.col("lang")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (words >= least_words))
-    return chosen.select("doc_id", "text").mapInPandas(run, "doc_id long, band int")
+    return widen(chosen.select("doc_id", "text")).mapInPandas(run, "doc_id long, band int")

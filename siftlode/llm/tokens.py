@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.plans.runtime import widen
+
 #: A file of token ranks that every executor can read; pass another path where it lies elsewhere.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenization pattern of that vocabulary.
@@ -40,6 +42,6 @@ def token_counts(documents: DataFrame, keep: list[str], ranks: str = RANKS) -> D
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield b.drop(columns="text").assign(tokens=n)
 
-    counted = documents.where("doc_id is not null").select("doc_id", *keep, "text").mapInPandas(run, schema)
+    counted = widen(documents.where("doc_id is not null").select("doc_id", *keep, "text")).mapInPandas(run, schema)
     best = F.max(F.struct("tokens", *keep))
     return counted.groupBy("doc_id").agg(best.alias("m")).select("doc_id", *[f"m.{k}" for k in keep], "m.tokens")
