@@ -95,3 +95,20 @@ def upsert_vectors(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     new = fresh.select(*key).distinct().withColumn("_new", F.lit(True))
     stale = rest.join(new, key, "left").withColumn("is_active", F.col("is_active") & F.col("_new").isNull()).drop("_new")
     return stale.select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
+def query_vector(text: str, profile: str, model: str, dimensions: int, metadata: dict | None = None) -> list[float]:
+    """The vector of a query on the driver: the hash of its text and sorted metadata, embedded as in :func:`hash_embedding`."""
+    import hashlib
+    import json
+    import math
+
+    body = text if not metadata else text + "\n" + json.dumps(metadata, sort_keys=True, separators=(",", ":"))
+    seed = f"{profile}|{model}|{dimensions}|sha256:{hashlib.sha256(body.encode()).hexdigest()}|"
+    raw: list[float] = []
+    for n in range(-(-dimensions // 8)):
+        d = hashlib.sha256(f"{seed}{n}".encode()).digest()
+        raw += [int.from_bytes(d[i : i + 4], "big") / 0xFFFFFFFF * 2 - 1 for i in range(0, 32, 4)]
+    raw = raw[:dimensions]
+    length = math.sqrt(sum(x * x for x in raw)) or 1.0
+    return [round(x / length, 12) for x in raw]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.operators.parsers import FIELDS, PARSERS, choose
+from siftlode.plans.runtime import widen
 
 SCHEMA = (
     "candidate_type string, text string, locator string, line_start int, line_end int, heading_path array<string>, key_path array<string>, "
@@ -73,7 +74,7 @@ def extract(artifacts: DataFrame, keep: list[str], content: str = "content", pat
     chosen = artifacts.select(
         *[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(path).alias("p"), F.col(role).alias("r"), F.col(language).alias("g"), F.col(content).alias("c")
     )
-    return chosen.mapInPandas(run, schema)
+    return widen(chosen).mapInPandas(run, schema)
 
 
 def paragraphs_native(df: DataFrame, key: str, text: Column) -> DataFrame:

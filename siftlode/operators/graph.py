@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlode.plans.runtime import cut
+
 
 def orient(edges: DataFrame, direction: str) -> DataFrame:
     """(edge_id, relationship_type, direction, a_type, a_id, b_type, b_id) in walking direction; ``both`` has each edge twice."""
@@ -42,7 +44,8 @@ def traverse(edges: DataFrame, seeds: list[tuple[str, str]], types: list[str], d
     if not 0 <= depth <= 3:
         raise ValueError("depth must be between 0 and 3")
     spark = edges.sparkSession
-    walk = first_edges(orient(edges.where(F.col("relationship_type").isin(types)), direction), fanout)
+    # every step reads the walk, so it is worked out once
+    walk = cut(first_edges(orient(edges.where(F.col("relationship_type").isin(types)), direction), fanout))
     step_type = "struct<relationship_type:string,direction:string,depth:int,from_id:string,to_id:string,edge_id:string>"
     rows = [(t, i, n) for n, (t, i) in enumerate(dict.fromkeys(seeds), 1)]
     front = spark.createDataFrame(rows, "entity_type string, entity_id string, ordinal long").select(

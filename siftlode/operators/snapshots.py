@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlode.functions.paths import plain_checksum, plain_path
 from siftlode.operators.ranking import spread_rank
-from siftlode.plans.runtime import cut
+from siftlode.plans.runtime import cut, widen
 
 
 def snapshot_sequence(headers: DataFrame, counts: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def artifact_changes(artifacts: DataFrame, headers: DataFrame) -> DataFrame:
 
     Locators and checksums are compared by their plain spelling.
     """
-    records = artifacts.select(
+    records = widen(artifacts.select("snapshot_id", "logical_locator", "checksum", "received_at")).select(
         "snapshot_id",
         plain_path(F.col("logical_locator")).alias("key"),
         plain_checksum(F.col("checksum")).alias("sum"),
