@@ -44,7 +44,7 @@ ABSENT = re.compile(
 )
 PREFIXED = re.compile(r"^(?:(?:AKIA|ASIA)[A-Z0-9]{12,}|[a-z]{2,5}_(?:live|pat|test|prod|sk|pk)_[A-Za-z0-9]{16,}|(?:ghp|gho|ghs|xox[abp])[_\-][A-Za-z0-9\-]{16,}|[a-z]{3}-(?=[A-Za-z0-9]*[A-Z0-9])[A-Za-z0-9]{24,}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})$")
 _NOT_VALUE = re.compile(
-    r"^(?:[A-Za-z]+|[*_~]*[A-Za-z]+(?:-[a-z]+)*[.,]?[*_~]*|[a-z]*=+|[A-Z][a-z]*(?:-[A-Z][a-z]+)+|[\d.,:%\-+/]+|[a-z]+(?:_[a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z0-9]+)*|(?:[A-Z][a-z0-9]+)+|[A-Za-z_\-]+(?:\.[A-Za-z_]+)+|[\w\-]+\.[a-z]{1,4}|\.{0,2}/?[\w\-.]+(?:/[\w\-.*]+)+|--?[a-z][a-z\-]*|v?\d+(?:\.\w+)+|\W+)$"
+    r"^(?:[A-Za-z]+|[*_~]*[A-Za-z]+(?:-[a-z]+)*[.,?!:;]*[*_~]*|[a-z]*=+|[A-Z][a-z]*(?:-[A-Z][a-z]+)+|[\d.,:%\-+/]+|[a-z]+(?:_[a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*|[a-z]+(?:[A-Z][a-z]+)*|(?:[A-Z][a-z]+)+|[A-Za-z_\-]+(?:\.[A-Za-z_]+)+|[\w\-]+\.[a-z]{1,4}|\.{0,2}/?[\w\-.]+(?:/[\w\-.*]+)+|--?[a-z][a-z\-]*|v?\d+(?:\.\w+)+|\W+)$"
 )
 
 
@@ -111,11 +111,12 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
         if "://" in t2 or _ADDRESS.match(t2) or re.match(r"^[A-Za-z][a-zA-Z_\-.]*[=:]$|^\.Values\b", t2) or len(t2) < 5:
             continue
         plain = _NOT_VALUE.match(t2)
-        if plain and t2.isalpha():
+        core = t2.strip("*_~.,?!:;")
+        if plain and core.isalpha():
             # letters alone are a value only in a credential's place and with an odd use of capitals
             quoted = line[a - 1 : a] in ("'", '"', "`") and a
             plain = not (
-                len(t2) >= 8 and _ODD_CASE.search(t2) and not _HUMPS.match(t2)
+                len(core) >= 8 and _ODD_CASE.search(core) and not _HUMPS.match(core)
                 and (quoted or SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16])) and line[e : e + 1] != "("
             )
         elif plain and "/" in t2:
@@ -242,6 +243,8 @@ def weak_label(c: Candidate, surprise: float) -> int | None:
         return 1
     if ABSENT.search(v) or "REDACTED" in left[-24:] or re.search(r"(?i)(?:vault|environ|getenv|read)\W*$", left[-16:]):
         return 0
+    if re.match(r"/\*|\\[a-z]+|\$\$", v):
+        return 0
     if HARMLESS.search(tail) or re.search(r"(?i)data:[\w/+.\-]+;base64$|sha\d{1,3}[:\-]?$", left.rstrip(",")[-40:]) or re.match(r"(?i)sha\d{1,3}[:\-]", v):
         return 0
     sh = shape(v)
