@@ -36,13 +36,14 @@ def plain_path(raw: Column) -> Column:
         .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.array_append(acc, x)),
     )
-    s = F.when(dotted, F.array_join(walked, "/")).otherwise(s)
+    # more than half of all locators need none of this
+    odd = raw.rlike(r"[\\%]|//|(^|/)\.{1,2}(/|$)|^[\s/]|[\s/]$|[^\x00-\x7F]") | (raw == "")
+    s = F.when(~odd, raw).when(dotted, F.array_join(walked, "/")).otherwise(s)
     wide = s.rlike(r"[^\x00-\x7F]")
     return F.coalesce(_nfc(F.when(wide, s)), s)
 
 
 def plain_checksum(raw: Column) -> Column:
     """The lower-case hex digits of a checksum without algorithm prefix; empty becomes null."""
-    s = F.lower(F.regexp_replace(raw, r"(?U)\s+", ""))
-    s = F.regexp_replace(s, r"^[a-z0-9]{2,12}[:\-=]", "")
+    s = F.substring_index(F.translate(F.lower(raw), "-= \t\r\n", "::"), ":", -1)
     return F.when(F.length(s) > 0, s)
