@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from siftlode.operators import extract as X
 from siftlode.plans.corpus import candidates
-from siftlode.plans.runtime import load
+from siftlode.plans.runtime import load, parallelism
 from siftlode.streaming.increments import windowed_counts
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     f = load(spark, d, "artifact_files")
-    return f.groupBy("file_id").agg(F.max(F.struct("fetched_at", "path", "artifact_role", "language", "text")).alias("m")).select(
+    return f.repartition(parallelism(spark), "file_id").groupBy("file_id").agg(F.max(F.struct("fetched_at", "path", "artifact_role", "language", "text")).alias("m")).select(
         "file_id", "m.path", "m.artifact_role", "m.language", F.col("m.text").alias("content")
     )
 

@@ -48,7 +48,8 @@ def parallelism(spark: SparkSession) -> int:
 def widen(df: DataFrame) -> DataFrame:
     """The frame in at least half as many partitions as there are cores: for costly work on a file with few splits.
 
-    Inputs of any size have more splits than that and pass unchanged, without a shuffle.
+    Inputs of any size have more splits than that and pass unchanged, without a shuffle. Only for scans with
+    filters and projections: counting the partitions of a plan with exchanges would run them.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if 2 * df.rdd.getNumPartitions() >= want else df.repartition(want)
