@@ -133,7 +133,8 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModels:
     def collected(frame: DataFrame) -> list:
         return frame.mapInPandas(count, "unit string, band int, n long").groupBy("unit", "band").agg(F.sum("n").alias("n")).collect()
 
-    rows = collected(widen(texts.join(per, "doc_id").select("text", "bands")))
+    # at most MOST_LABELLED rows of an id and some levels, some megabytes
+    rows = collected(texts.join(F.broadcast(per), "doc_id").select("text", "bands"))
     if not rows:
         some = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
         rows = collected(some.select("text", F.lit(None).cast("array<int>").alias("bands")))
