@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.operators.ranking import spread_rank
@@ -30,6 +30,42 @@ def plan_snapshot(previous: DataFrame, current: DataFrame, key: list[str], same:
     return p.join(c, key, "full_outer").withColumn("status", status).where("status is not null").drop("_p", "_c", "_live")
 
 
+def _neighbours(files: DataFrame, key: list[str]) -> tuple[DataFrame, Column]:
+    """``files`` with _live (the snapshot before has the key) and _stays (the next one has it), and the window of a key's snapshots in order."""
+    w = Window.partitionBy(*key).orderBy("snapshot_seq")  # streams in order: one row per snapshot that holds the key
+    live, stays = F.lag("next_seq").over(w) == F.col("snapshot_seq"), F.lead("snapshot_seq").over(w) == F.col("next_seq")
+    return files.withColumns({"_live": F.coalesce(live, F.lit(False)), "_stays": F.coalesce(stays, F.lit(False))}), w
+
+
+def plan_sequence(files: DataFrame, key: list[str], same: list[str]) -> DataFrame:
+    """:func:`plan_snapshot` of each snapshot against the one before it: (key, snapshot_seq, status, both sides' ``same``).
+
+    ``files`` has one row per key and snapshot_seq, with next_seq, the number of the snapshot that follows (null for the
+    last). All keys of a first snapshot are added. Each row is shuffled once, by its key.
+    """
+    n, w = _neighbours(files, key)
+    n = n.withColumns({f"previous_{c}": F.when(F.col("_live"), F.lag(c).over(w)) for c in same})
+    equal = F.lit(True)
+    for x in same:
+        equal = equal & F.col(x).eqNullSafe(F.col(f"previous_{x}"))
+    status = F.when(~F.col("_live"), "added").when(equal, "unchanged").otherwise("changed")
+    here = F.struct("snapshot_seq", status.alias("status"), *same, *[f"previous_{c}" for c in same])
+    gone = F.struct(
+        F.col("next_seq").alias("snapshot_seq"), F.lit("tombstoned").alias("status"), *[F.lit(None).cast(files.schema[c].dataType).alias(c) for c in same],
+        *[F.col(c).alias(f"previous_{c}") for c in same],
+    )
+    leaves = F.col("next_seq").isNotNull() & ~F.col("_stays")
+    return n.select(*key, F.inline(F.when(leaves, F.array(here, gone)).otherwise(F.array(here))))
+
+
+def tombstone_sequence(files: DataFrame, key: list[str], reason: str) -> DataFrame:
+    """:func:`tombstone_absent` of each snapshot that has a successor: (key, snapshot_seq of the successor, is_current, tombstone_reason)."""
+    n, _ = _neighbours(files, key)
+    return n.where("next_seq is not null").select(
+        *key, F.col("next_seq").alias("snapshot_seq"), F.col("_stays").alias("is_current"), F.when(~F.col("_stays"), reason).alias("tombstone_reason")
+    )
+
+
 def plan_counts(plan: DataFrame, group: list[str]) -> DataFrame:
     """Number of added, changed, unchanged and tombstoned keys per group."""
     n = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_artifacts")

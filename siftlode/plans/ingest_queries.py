@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.functions import identity as I
-from siftlode.functions.paths import plain_path
+from siftlode.functions.paths import plain_checksum, plain_path
 from siftlode.operators import chunking as C
 from siftlode.operators import discovery as D
 from siftlode.operators import incremental as N
 from siftlode.operators import redaction as R
+from siftlode.operators.snapshots import snapshot_sequence
 from siftlode.plans.corpus import CANDIDATES, CHUNKS, candidates, chunks
 from siftlode.plans.runtime import load
 
@@ -160,6 +161,26 @@ snap as (select root_identifier, snapshot_seq, path, checksum, extractor_profile
      order by a.received_at desc, a.checksum desc nulls last, a.extractor_profile desc nulls last, a.corpus_eligibility_label desc nulls last) as rn
    from heads h join artifact_candidates a using (snapshot_id) join plain p on p.loc = a.logical_locator) where rn = 1)"""
 
+#: Each complete delivered snapshot's files (one), as later side (b) and as earlier side of the root's next one (a).
+_DELIVERIES = _SNAPSHOTS + r""",
+rec as (select a.snapshot_id, p.path, a.received_at, a.extractor_profile, a.corpus_eligibility_label,
+   nullif(regexp_replace(lower(regexp_replace(a.checksum, '\s+', '', 'g')), '^[a-z0-9]{2,12}[:=-]', ''), '') as checksum
+   from artifact_candidates a join plain p on p.loc = a.logical_locator),
+n as (select snapshot_id, count(distinct path) as n from rec group by 1),
+h as (select root_identifier, snapshot_seq, min(s.snapshot_id) as snapshot_id from source_snapshots s left join n using (snapshot_id)
+   where coalesce(n.n, 0) >= coalesce(s.artifact_count, 0) group by 1, 2),
+sq as (select *, lead(snapshot_seq) over (partition by root_identifier order by snapshot_seq) as nxt from h),
+one as (select root_identifier, snapshot_seq, nxt, path, checksum, extractor_profile, coalesce(corpus_eligibility_label, 'unknown') as label, 1 as here from (
+   select q.root_identifier, q.snapshot_seq, q.nxt, r.*, row_number() over (partition by r.snapshot_id, r.path
+     order by r.received_at desc, r.checksum desc nulls last, r.extractor_profile desc nulls last, r.corpus_eligibility_label desc nulls last) as rn
+   from sq q join rec r using (snapshot_id)) where rn = 1),
+b as (select * from one),
+a as (select * replace (nxt as snapshot_seq) from one where nxt is not null),
+plan as (select root_identifier, snapshot_seq, path, b.checksum as checksum, a.checksum as previous_checksum,
+   case when a.here is null then 'added' when b.here is null then 'tombstoned'
+     when a.checksum is not distinct from b.checksum and a.extractor_profile is not distinct from b.extractor_profile and a.label = b.label then 'unchanged' else 'changed' end as status
+   from a full join b using (root_identifier, snapshot_seq, path))"""
+
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
     s = _snapshots(spark, d)
@@ -184,6 +205,45 @@ def tombstone_absent(spark: SparkSession, d: str) -> DataFrame:
     return t.select("root_identifier", "path", "is_current", "tombstone_reason")
 
 
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The files of every complete delivered snapshot, with its number and the root's next one (next_seq, null for the last).
+
+    Of several rows for a file the last received holds; locators and checksums have their plain spelling.
+    """
+    heads = load(spark, d, "source_snapshots").select(
+        "snapshot_id", F.col("root_identifier").alias("root"), F.col("snapshot_seq").alias("seq"), F.col("artifact_count").alias("expected")
+    )
+    a = load(spark, d, "artifact_candidates").where("snapshot_id is not null").select(
+        "snapshot_id", plain_checksum(F.col("checksum")).alias("checksum"), "extractor_profile", "corpus_eligibility_label", "received_at",
+        plain_path(F.col("logical_locator")).alias("path"),
+    ).where("path is not null")
+    sequence = snapshot_sequence(heads, a.groupBy("snapshot_id").agg(F.count_distinct("path").alias("n")))
+    last = F.max(F.struct("received_at", "checksum", "extractor_profile", "corpus_eligibility_label"))
+    # by file, as the plans need it: the last rows and both neighbours of a file then take no further shuffle
+    placed = a.join(sequence, "snapshot_id").repartition("root", "path")
+    return placed.groupBy("root", "path", "seq", "next_seq").agg(last.alias("m")).select(
+        F.col("root").alias("root_identifier"), F.col("seq").alias("snapshot_seq"), "next_seq", "path", "m.checksum", "m.extractor_profile",
+        F.coalesce("m.corpus_eligibility_label", F.lit("unknown")).alias("corpus_eligibility_label"),
+    )
+
+
+def _plan_all(spark: SparkSession, d: str) -> DataFrame:
+    return N.plan_sequence(_deliveries(spark, d), ["root_identifier", "path"], ["checksum", "extractor_profile", "corpus_eligibility_label"])
+
+
+def snapshot_plan_all(spark: SparkSession, d: str) -> DataFrame:
+    return _plan_all(spark, d).select("root_identifier", "snapshot_seq", "path", "status", "checksum", "previous_checksum")
+
+
+def ingestion_counters_all(spark: SparkSession, d: str) -> DataFrame:
+    return N.plan_counts(_plan_all(spark, d), ["root_identifier", "snapshot_seq"])
+
+
+def tombstone_absent_all(spark: SparkSession, d: str) -> DataFrame:
+    t = N.tombstone_sequence(_deliveries(spark, d), ["root_identifier", "path"], "absent_from_snapshot")
+    return t.select("root_identifier", "snapshot_seq", "path", "is_current", "tombstone_reason")
+
+
 def current_version_flip(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "source_snapshots").select("snapshot_id", "root_identifier", "snapshot_seq", "received_at").distinct()
     return N.flip_current(s, ["root_identifier"], [F.col("snapshot_seq"), F.col("received_at"), F.col("snapshot_id")]).select("snapshot_id", "root_identifier", "is_current")
@@ -313,6 +373,12 @@ select root_identifier, count(*) filter (s = 'added') as added_artifacts, count(
     "tombstone_absent": f"""with {_SNAPSHOTS}, b as (select root_identifier, path, 1 as here from snap where snapshot_seq = 2)
 select s.root_identifier, s.path, here is not null as is_current, case when here is null then 'absent_from_snapshot' end as tombstone_reason
 from snap s left join b using (root_identifier, path) where snapshot_seq = 1""",
+    "snapshot_plan_all": f"with {_DELIVERIES} select root_identifier, snapshot_seq, path, status, checksum, previous_checksum from plan",
+    "ingestion_counters_all": f"""with {_DELIVERIES} select root_identifier, snapshot_seq, count(*) filter (status = 'added') as added_artifacts,
+  count(*) filter (status = 'changed') as changed_artifacts, count(*) filter (status = 'unchanged') as unchanged_artifacts, count(*) filter (status = 'tombstoned') as tombstoned_artifacts
+from plan group by 1, 2""",
+    "tombstone_absent_all": f"""with {_DELIVERIES} select a.root_identifier, a.snapshot_seq, a.path, b.here is not null as is_current,
+  case when b.here is null then 'absent_from_snapshot' end as tombstone_reason from a left join b using (root_identifier, snapshot_seq, path)""",
     "current_version_flip": """with s as (select distinct snapshot_id, root_identifier, snapshot_seq, received_at from source_snapshots)
 select snapshot_id, root_identifier, row_number() over (partition by root_identifier order by snapshot_seq desc, received_at desc, snapshot_id desc) = 1 as is_current from s""",
     "version_containment": f"""with {_SNAPSHOTS} select root_identifier, path, arg_min('s' || snapshot_seq, snapshot_seq) as first_version,

@@ -63,6 +63,30 @@ def test_snapshot_changes(spark):
     assert none.columns == ["root_identifier", "snapshot_seq", "logical_locator", "change_kind"] and none.count() == 0
 
 
+def test_plans_over_all_pairs(spark, tmp_path):
+    from siftlode.plans import ingest_queries as Q
+
+    f = lambda s, loc, sum_, at=1: (s, loc, sum_, "docs", "eligible", at)
+    a = [
+        f("s2", "a.md", "sha256:AA"), f("s2", "b.md", "b"), f("s2", "c.md", "c"),  # the first delivered is number 2
+        f("s3", "a.md", "x"),  # incomplete: two files were expected
+        f("s4", "./a.md", "aa"), f("s4", "b.md", "old"), f("s4", "b.md", "b2", 2), f("s4", "d.md", "d"),
+        f("s9", "d.md", "d"),
+    ]
+    spark.createDataFrame(a, "snapshot_id string, logical_locator string, checksum string, extractor_profile string, corpus_eligibility_label string, received_at int").write.parquet(f"{tmp_path}/artifact_candidates.parquet")
+    h = [("s2", "r", 2, 3), ("s3", "r", 3, 2), ("s4", "r", 4, 3), ("s9", "r", 9, 1)]
+    spark.createDataFrame(h, H).write.parquet(f"{tmp_path}/source_snapshots.parquet")
+    got = rows(Q.snapshot_plan_all(spark, str(tmp_path)), "snapshot_seq", "path", "status")
+    assert got == [
+        (2, "a.md", "added"), (2, "b.md", "added"), (2, "c.md", "added"),
+        (4, "a.md", "unchanged"), (4, "b.md", "changed"), (4, "c.md", "tombstoned"), (4, "d.md", "added"),
+        (9, "a.md", "tombstoned"), (9, "b.md", "tombstoned"), (9, "d.md", "unchanged"),
+    ]
+    assert rows(Q.ingestion_counters_all(spark, str(tmp_path))) == [("r", 2, 3, 0, 0, 0), ("r", 4, 1, 1, 1, 1), ("r", 9, 0, 0, 1, 2)]
+    gone = Q.tombstone_absent_all(spark, str(tmp_path))
+    assert rows(gone.where("not is_current"), "snapshot_seq", "path") == [(4, "c.md"), (9, "a.md"), (9, "b.md")] and gone.count() == 6
+
+
 def test_identity(spark):
     df = spark.createDataFrame([("s", None, "text", "é")], "a string, b string, c string, d string")
     key = I.chunk_key(F.col("a"), F.col("b"), I.content_hash(F.col("c")), F.lit("p"), F.array(F.lit("x"), F.lit("y")), F.lit(3))
