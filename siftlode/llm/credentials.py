@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.secrets_model import STATES, Candidate, CharModel, Scorer, bigrams, candidates, features, hashed, weak_label
+from siftlode.llm.secrets_model import STATES, Candidate, CharModel, Scorer, bigrams, candidates, features, hashed, pem_span, weak_label
 from siftlode.plans.runtime import cut, parallelism
 
 #: Documented bound of the fit: texts (smallest hashes of candidate_id) whose weakly labelled values train
@@ -113,15 +113,14 @@ def redacted(text: str, found: list[tuple[Candidate, float]]) -> str:
     """
     lines = text.split("\n")
     gone: set[int] = set()
-    for n, (c, _) in sorted(enumerate(found, 1), key=lambda x: (x[1][0].line, -x[1][0].at)):
+    # from the end, so that places in lines hold until they are used
+    for n, (c, _) in sorted(enumerate(found, 1), key=lambda x: (-x[1][0].line, -x[1][0].at)):
         i, mark = c.line - 1, f"[REDACTED:SECRET:{n}]"
         if c.kind == "private_key":
-            end = re.search(r"-----END [A-Z0-9 ]+-----", lines[i])
-            if end:
-                lines[i] = lines[i][: c.at] + mark + lines[i][end.end() :]
+            end_at, closed = pem_span(lines[i], c.at + len(c.value))
+            lines[i] = lines[i][: c.at] + mark + lines[i][end_at:]
+            if closed:
                 continue
-            rest = re.search(r"[\"'`][^A-Za-z0-9+/=\\]*$", lines[i][c.at :]) if "\\n" in lines[i] else None
-            lines[i] = lines[i][: c.at] + mark + (rest.group(0) if rest else "")
             for j in range(i + 1, len(lines)):
                 end = re.search(r"-----END [A-Z0-9 ]+-----", lines[j])
                 if end:

@@ -20,6 +20,9 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)(PRIVATE KEY|PUBLIC KEY|CERTIFICATE|
 _MAYBE = re.compile(r"[0-9\"'`=:/+]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _PEM_BODY = re.compile(r"^[\s>|#*/\"'+\\n]*[A-Za-z0-9+/=]+[\s\"'+\\n;,]*$")
+#: What follows a BEGIN marker in its line as the block's body: escaped line ends, long pieces, a padded last piece.
+_PEM_RUN = re.compile(r"(?:\\+[nr][A-Za-z0-9+/=]*|\s*[A-Za-z0-9+/=]{16,})*(?:\s[A-Za-z0-9+/]+={1,2})?")
+_PEM_ESCAPED = re.compile(r"\\n[A-Za-z0-9+/=\\]")
 _ATOM = re.compile(r"[^\s\"'`<>(){}\[\],;|]+")
 _NAMED = re.compile(r"^[\"']?([A-Za-z_][\w.\-]*)(?::=|=>|[=:])(?=[^=])")
 _USERINFO = re.compile(r"\b([a-z][a-z0-9+.\-]*)://([^\s/@:\"'`]*):([^\s/@\"'`]+)@")
@@ -129,6 +132,17 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
             out.append(Candidate(n, t2, before + line[:a], line[e:], "atom", a))
 
 
+def pem_span(line: str, at: int) -> tuple[int, bool]:
+    """Where the block whose BEGIN marker ends at ``at`` ends in its line, and whether it is closed there by its END or the next BEGIN."""
+    stop, then = _PEM_END.search(line, at), _PEM.search(line, at)
+    if stop and not (then and then.start() < stop.start()):
+        return stop.end(), True
+    end = _PEM_RUN.match(line, at).end()
+    if then or _PEM_ESCAPED.search(line[at : at + 12]) or re.search(r"[A-Za-z0-9]", line[end:]):
+        return end, then is not None
+    return len(line), False
+
+
 def candidates(text: str) -> list[Candidate]:
     """All candidate values of a text, in order. Bodies of key blocks and continued strings are not values of their own."""
     out: list[Candidate] = []
@@ -137,21 +151,29 @@ def candidates(text: str) -> list[Candidate]:
     folded = False
     for i, line in enumerate(lines):
         n = i + 1
+        blocks: list[tuple[int, int]] = []
+        keys: list[Candidate] = []
         if in_pem:
             end = _PEM_END.search(line)
             if end:
                 in_pem = False
-                line = line[end.end() :]
+                blocks.append((0, end.end()))
             elif _PEM_BODY.match(line):
                 continue
             else:
                 in_pem = False
-        m = _PEM.search(line) if "-----" in line else None
-        if m:
-            what = (m[1] + m[2]).strip()
-            if "PRIVATE KEY" in what:
-                out.append(Candidate(n, m.group(0), line[: m.start()], "", "private_key", m.start()))
-            in_pem = not _PEM_END.search(line, m.end()) and not re.search(r"\\n[A-Za-z0-9+/=\\]", line[m.end() : m.end() + 12])
+        while "-----" in line and (m := _PEM.search(line, blocks[-1][1] if blocks else 0)):
+            if "PRIVATE KEY" in (m[1] + m[2]).strip():
+                keys.append(Candidate(n, m.group(0), line[: m.start()], "", "private_key", m.start()))
+            end_at, closed = pem_span(line, m.end())
+            in_pem = not closed and not _PEM_ESCAPED.search(line[m.end() : m.end() + 12])
+            blocks.append((m.start(), end_at))
+        if blocks:
+            # the line's other values, at their places
+            for start, stop in blocks:
+                line = line[:start] + " " * (stop - start) + line[stop:]
+            _atoms(n, line, "", keys)
+            out += sorted(keys, key=lambda c: c.at)
             continue
         if not _MAYBE.search(line):
             folded = False

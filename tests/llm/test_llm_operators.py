@@ -183,6 +183,33 @@ def test_candidate_lines():
     assert lines("-----BEGIN CERTIFICATE-----\nAb83TaXggCP0PUh88VpT\n-----END CERTIFICATE-----") == []
 
 
+def test_several_key_blocks_in_a_line():
+    class Low:
+        def probability(self, at):
+            return 0.9
+
+    chars = secrets_model.CharModel(np.zeros(secrets_model.STATES**2))
+    body = "QUJDREVG" * 4
+    block = lambda kind, nl: f"-----BEGIN {kind}-----{nl}{body}{nl}-----END {kind}-----"
+
+    def clean(text):
+        found = credentials.hits(text, "a.json", "code", "", chars, Low())
+        return [(c.line, c.kind) for c, _ in found], credentials.redacted(text, found)
+
+    one = '{"cert": "%s", "key": "%s", "password": "tR7!xq92LmPz"}'
+    got, text = clean(one % (block("CERTIFICATE", "\\n"), block("PRIVATE KEY", "\\n")))
+    assert got == [(1, "private_key"), (1, "atom")]
+    assert text == one.replace("tR7!xq92LmPz", "[REDACTED:SECRET:2]") % (block("CERTIFICATE", "\\n"), "[REDACTED:SECRET:1]")
+    got, text = clean('pub="%s" password="tR7!xq92LmPz"' % block("PUBLIC KEY", " "))
+    assert got == [(1, "atom")] and "tR7" not in text and body in text
+    # values behind the end of a block of several lines
+    for kind, n in (("CERTIFICATE", 1), ("PRIVATE KEY", 2)):
+        got, text = clean(block(kind, "\n") + '", password="tR7!xq92LmPz"\nrest')
+        assert len(got) == n and text.endswith(f'", password="[REDACTED:SECRET:{n}]"\nrest') and (body in text) == (n == 1)
+    got, text = clean(block("PUBLIC KEY", " ") + " " + block("RSA PRIVATE KEY", "\n") + "\nrest")
+    assert got == [(1, "private_key")] and text == block("PUBLIC KEY", " ") + " [REDACTED:SECRET:1]\nrest"
+
+
 # markup
 
 MARKED = "candidate_id long, candidate_type string, text string, heading_path array<string>, extracted_at timestamp, element string, element_no int"
