@@ -130,8 +130,8 @@ class LicenceBook:
         if role == "license":
             whole = {lid for lid, g in hits.items() if len(g) >= FILE_SHARE * self.sizes[lid]}
             if not whole:
-                head = [" ".join(x.lower().split()) for x in lines[:12]]
-                whole = {self.titles[x] for x in head if x in self.titles}
+                named = (" ".join(x.lower().split()) for x in lines)
+                whole = {self.titles[x] for x in named if x in self.titles}
             if not whole and not out:
                 first = next((x for x in lines if x and not set(x) <= set("=-~ ") and x.lower() not in ("licence", "license")), "")
                 whole = {f"other:{_plain(first)[:60]}"} if first else set()

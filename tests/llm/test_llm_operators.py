@@ -281,6 +281,13 @@ def test_licences(spark):
     assert licences.posterior([("own", "A"), ("near_licence_file", "B")], 5)[::2] == ("A", True)
 
 
+def test_title_behind_a_long_preamble():
+    book = licences.LicenceBook(BOOK)
+    names = "\n".join(f"Copyright 20{i} Holder {i}" for i in range(10, 40))
+    assert book.declared("license", "LICENSE", names + "\n\n  mit LICENSE\n\nshort words") == ["MIT"]
+    assert book.declared("license", "LICENSE", names + "\nsee the MIT License\n") == ["other:copyright 2010 holder 10"]
+
+
 # containers
 
 
