@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.secrets_model import STATES, Candidate, CharModel, Scorer, bigrams, candidates, features, hashed, pem_span, weak_label
+from siftlode.llm.secrets_model import STATES, Candidate, CharModel, Scorer, bigrams, candidates, features, hashed, no_credential, pem_span, weak_label
 from siftlode.plans.runtime import cut, parallelism
 
 #: Documented bound of the fit: texts (smallest hashes of candidate_id) whose weakly labelled values train
@@ -97,9 +97,9 @@ def hits(text: str, path: str, kind: str, language: str, chars: CharModel, score
     """The values of a text that count as credentials, with their probabilities."""
     out = []
     for c in candidates(text):
+        if no_credential(c):
+            continue  # by definition; other weak negatives only train, and are scored
         s = chars.surprise(c.value)
-        if weak_label(c, s) == 0:
-            continue  # masked, harmless or no value by pattern: no need of a score
         p = scorer.probability(hashed(features(c, s, path, kind, language)))
         if c.kind == "private_key" or p >= LEAST:
             out.append((c, max(p, 0.99) if c.kind == "private_key" else p))

@@ -28,6 +28,7 @@ _NAMED = re.compile(r"^[\"']?([A-Za-z_][\w.\-]*)(?::=|=>|[=:])(?=[^=])")
 _USERINFO = re.compile(r"\b([a-z][a-z0-9+.\-]*)://([^\s/@:\"'`]*):([^\s/@\"'`]+)@")
 _ODD_CASE = re.compile(r"[a-z][A-Z](?:.*[a-z][A-Z]|[A-Z])|^[A-Z]{2,}[a-z]")
 _HUMPS = re.compile(r"^[A-Za-z][a-z]+(?:[A-Z][a-z]{2,})+$")
+_SLASHED = re.compile(r"^(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{20,}={0,2}$")
 _ADDRESS = re.compile(r"^[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+$")
 _HOOK = re.compile(r"https?://[^\s\"'`]*?/([A-Za-z0-9_\-]{20,})(?=[\s\"'`;,)]|$)")
 _QUOTED_ONLY = re.compile(r"^\s*[fbru]*([\"'`])[^\"'`]*\1\s*[)\];,+\\]*\s*$")
@@ -123,7 +124,11 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
                 and (quoted or SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16])) and line[e : e + 1] != "("
             )
         elif plain and "/" in t2:
-            plain = not any(len(x) >= 10 and _ODD_CASE.search(x) and re.search(r"\d", x) for x in t2.split("/"))
+            plain = not (
+                any(len(x) >= 10 and _ODD_CASE.search(x) and re.search(r"\d", x) for x in t2.split("/"))
+                # base64 has slashes anywhere; in a credential's place it is scored
+                or _SLASHED.match(t2) and _ODD_CASE.search(t2) and (SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16]))
+            )
         elif plain and re.fullmatch(r"[A-Za-z]{6,}\.[A-Za-z]{6,}", t2):
             plain = not (_ODD_CASE.search(t2.rsplit(".", 1)[1]) and (SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16])))
         elif plain:
@@ -257,21 +262,27 @@ def features(c: Candidate, surprise: float, path: str, kind: str, language: str)
     return out
 
 
+def no_credential(c: Candidate) -> bool:
+    """Whether a value is by definition none: a placeholder, a mask, an earlier marker, a reference to where it is kept, a checksum or an id."""
+    if c.kind == "private_key":
+        return False
+    v, left = c.value, c.left
+    if ABSENT.search(v) or "REDACTED" in left[-24:] or re.search(r"(?i)(?:vault|environ|getenv|read)\W*$", left[-16:]):
+        return True
+    tail = left.rstrip(" :=\"'`(")[-40:]
+    if HARMLESS.search(tail) or re.search(r"(?i)data:[\w/+.\-]+;base64$|sha\d{1,3}[:\-]?$", left.rstrip(",")[-40:]) or re.match(r"(?i)sha\d{1,3}[:\-]", v):
+        return True
+    return shape(v) == "uuid"
+
+
 def weak_label(c: Candidate, surprise: float) -> int | None:
     """1 for a value that a pattern makes surely a credential, 0 for surely none, None where patterns are silent."""
     v, left = c.value, c.left
-    tail = left.rstrip(" :=\"'`(")[-40:]
     if c.kind == "private_key":
         return 1
-    if ABSENT.search(v) or "REDACTED" in left[-24:] or re.search(r"(?i)(?:vault|environ|getenv|read)\W*$", left[-16:]):
-        return 0
-    if re.match(r"/\*|\\[a-z]+|\$\$", v):
-        return 0
-    if HARMLESS.search(tail) or re.search(r"(?i)data:[\w/+.\-]+;base64$|sha\d{1,3}[:\-]?$", left.rstrip(",")[-40:]) or re.match(r"(?i)sha\d{1,3}[:\-]", v):
+    if no_credential(c) or re.match(r"/\*|\\[a-z]+|\$\$", v):
         return 0
     sh = shape(v)
-    if sh == "uuid":
-        return 0
     if sh == "prefixed":
         return 1
     near = re.search(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|pw|secret(?:_?(?:key|access))?|(?:[a-z]+_)?token|api_?key|credentials?|auth)[\"']?\s*(?:[:=]|,)\s*[\"'`(]*$", left[-48:])

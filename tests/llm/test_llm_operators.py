@@ -210,6 +210,22 @@ def test_several_key_blocks_in_a_line():
     assert got == [(1, "private_key")] and text == block("PUBLIC KEY", " ") + " [REDACTED:SECRET:1]\nrest"
 
 
+def test_weak_labels_are_no_veto():
+    class High:
+        def probability(self, at):
+            return 0.9
+
+    chars = secrets_model.CharModel(1000.0 * secrets_model.bigrams("ab12cd9"))
+    found = lambda text: [c.value for c, _ in credentials.hits(text, "a.py", "code", "", chars, High())]
+    text = "level = ab12cd9"
+    assert [secrets_model.weak_label(c, 3.0) for c in secrets_model.candidates(text)] == [0] and found(text) == ["ab12cd9"]
+    assert found('commit = "9f86d081884c7d659a2feaa0c55ad015"') == []
+    assert found('password = "${DB_PASSWORD_1}"') == found('api_key = "your-key-4-here"') == []
+    # base64 with slashes anywhere, in a credential's place only
+    assert found('secret_key = "wJbrXUtnFEMI/K7MDENG/bPxRfiCYzzQUJDRE"') == ["wJbrXUtnFEMI/K7MDENG/bPxRfiCYzzQUJDRE"]
+    assert found('source = "wJbrXUtnFEMI/K7MDENG/bPxRfiCYzzQUJDRE"') == []
+
+
 # markup
 
 MARKED = "candidate_id long, candidate_type string, text string, heading_path array<string>, extracted_at timestamp, element string, element_no int"
