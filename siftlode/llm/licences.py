@@ -160,10 +160,13 @@ def posterior(evidence: list[tuple[str, str]], states: int) -> tuple[str, float,
     A network of one hidden node, the licence that applies, and one leaf per piece of evidence: a leaf
     names the true licence with its kind's reliability and any other with the rest, spread evenly.
     Equal pieces of one kind count once. What a file says of itself screens off its surroundings: then a
-    licence file above it is no evidence for either side, it can only contradict. Without evidence the result is ``unknown``; a best probability
-    below DECIDED is ``conflict``. Licences outside the book decide to ``unknown``.
+    licence file above it is no evidence for either side, it can only contradict. Without evidence the result is ``unknown``; where the best has
+    less than DECIDED of the weight of what was stated it is ``conflict``. Licences outside the book decide to ``unknown``. The probability is taken
+    over all ``states``, those that nobody named too, so a weak piece alone stays weak. Configured licences shift it, but they are no
+    declaration: they never decide, and :func:`licences` says where they contradict.
     """
-    pieces = sorted(set(evidence))
+    scope = sorted({v for kind, v in evidence if kind == "configured"})
+    pieces = sorted({p for p in evidence if p[0] != "configured"})
     if not pieces:
         return "unknown", 0.0, False
     said = sorted({v for _, v in pieces})
@@ -179,12 +182,50 @@ def posterior(evidence: list[tuple[str, str]], states: int) -> tuple[str, float,
         weight[s] = w
     total = sum(weight.values())
     best = max(values, key=lambda s: (weight[s], s))
-    p = weight[best] / total if total else 0.0
-    if p < DECIDED:
+    decided = total and weight[best] / total >= DECIDED
+    # the states that nobody stated: each piece named another one
+    missed = 1.0
+    for kind, _ in pieces:
+        missed *= (1 - RELIABILITY[kind]) / max(states - 1, 1)
+    # a scope names the true licence with the reliability of configuration, as one of its licences
+    r = RELIABILITY["configured"]
+    held, free = (r / len(scope), (1 - r) / max(states - len(scope), 1)) if scope else (1.0, 1.0)
+    full = {s: w * (held if s in scope else free) for s, w in weight.items()}
+    unseen = [s for s in scope if s not in weight]
+    rest = missed * (len(unseen) * held + max(states - len(values) - len(unseen), 0) * free)
+    p = full[best] / (sum(full.values()) + rest) if rest or any(full.values()) else 0.0
+    if not decided:
         return "conflict", p, True
     return ("unknown" if best.startswith("other:") else best), p, len(said) > 1
 
 
+def _configured(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """(subject, subject_id, configured_ids, configured_policies) of every file and root: licences and policies of its sources, and the files' policy labels."""
+    last = F.max(F.struct("fetched_at", F.col("root_identifier").alias("root"), "source_id", "license_policy_label"))
+    one = files.where("file_id is not null").groupBy("file_id").agg(last.alias("m")).select("file_id", "m.*")
+    newest = F.max_by(F.struct(F.coalesce("license_ids", F.array().cast("array<string>")).alias("ids"), "license_policy"), "updated_at")
+    s = sources.groupBy("source_id").agg(newest.alias("s")).select("source_id", "s.*")
+    # sources is a fixed table of some dozens of rows
+    c = one.join(F.broadcast(s), "source_id", "left").select(
+        "root", F.col("file_id").cast("string").alias("file_id"), "ids", F.array_compact(F.array("license_policy", "license_policy_label")).alias("policies")
+    )
+    flat = lambda x: F.array_sort(F.array_distinct(F.flatten(F.collect_set(x))))
+    each = lambda name, key: c.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("subject_id")).agg(
+        flat("ids").alias("configured_ids"), flat("policies").alias("configured_policies")
+    ).withColumn("subject", F.lit(name))
+    return each("file", "file_id").unionByName(each("root", "root"))
+
+
+def _contradicts():
+    """outside_scope: known, but none of its names is among the configured licences; unknown_allowed: a policy allows what
+    declares no known licence; denied_in_scope: a policy denies what declares a configured licence."""
+    names, ids = F.split("license_id", " OR "), F.col("configured_ids")
+    known, inside = ~F.col("license_id").isin("unknown", "conflict"), F.arrays_overlap(names, ids)
+    has = lambda p: F.array_contains("configured_policies", p)
+    tests = {"outside_scope": known & (F.size(ids) > 0) & ~inside, "unknown_allowed": ~known & has("allowed"), "denied_in_scope": known & inside & has("denied")}
+    return F.array_compact(F.array(*[F.when(t, k) for k, t in tests.items()]))
+
+
 def licence_book(license_texts: DataFrame) -> LicenceBook:
     """The book from license_texts, a fixed table of known licences (some dozens of rows)."""
     return LicenceBook([(r["license_id"], r["title"], list(r["aliases"] or []), r["body"]) for r in license_texts.collect()])
@@ -222,13 +263,14 @@ def _pieces(kind: str, values: str):
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
 
-def licences(files: DataFrame, license_texts: DataFrame) -> DataFrame:
+def licences(files: DataFrame, license_texts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(subject, subject_id, license_id, probability, contradiction) for every file and every root.
 
     File: what its own text declares, beside the licence files of the nearest directory at or above it,
     which hold less evidence and so decide only where the file is silent. Root: its top-level licence
     files and manifests. A null root is a root of its own without files above; a null or empty text
-    declares nothing; readme and documentation files declare nothing.
+    declares nothing; readme and documentation files declare nothing. With ``sources`` also configured_ids,
+    configured_policies and configured_contradictions; the configured licences are evidence for the probability only.
     """
     book = licence_book(license_texts)
     states = len(set(book.names.values())) + 2
@@ -274,5 +316,10 @@ def licences(files: DataFrame, license_texts: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.when(F.col("value").isNotNull(), F.struct("kind", "value"))).alias("evidence"))
         .select(F.lit("root").alias("subject"), F.col("root").alias("subject_id"), "evidence")
     )
-    both = by_file.unionByName(by_root).withColumn("r", _decide(states)("evidence"))
+    both = by_file.unionByName(by_root)
+    if sources is not None:
+        both = both.join(_configured(files, sources), ["subject", "subject_id"], "left").withColumn("evidence", F.concat("evidence", F.coalesce(_pieces("configured", "configured_ids"), none)))
+    both = both.withColumn("r", _decide(states)("evidence"))
+    if sources is not None:
+        return both.select("subject", "subject_id", "r.*", "evidence", "configured_ids", "configured_policies").withColumn("configured_contradictions", _contradicts())
     return both.select("subject", "subject_id", "r.*", "evidence")

@@ -50,11 +50,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_report(spark, d).select("subject", "subject_id", "license_id")
+    return licences.licences(load(spark, d, "artifact_files"), load(spark, d, "license_texts")).select("subject", "subject_id", "license_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return licences.licences(load(spark, d, "artifact_files"), load(spark, d, "license_texts"))
+    return licences.licences(load(spark, d, "artifact_files"), load(spark, d, "license_texts"), load(spark, d, "sources"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

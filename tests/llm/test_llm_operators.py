@@ -297,6 +297,22 @@ def test_licences(spark):
     assert licences.posterior([("own", "A"), ("near_licence_file", "B")], 5)[::2] == ("A", True)
 
 
+def test_licences_beside_configuration(spark):
+    # a weak piece alone stays weak, and configuration shifts it without deciding
+    assert licences.posterior([("near_licence_file", "A")], 5)[:2] == ("A", pytest.approx(0.6))
+    assert licences.posterior([("own", "A")], 5)[1] == pytest.approx(0.98)
+    low, high = (licences.posterior([("near_licence_file", "A"), ("configured", x)], 50) for x in "BA")
+    assert low[0] == high[0] == "A" and low[1] < 0.6 < high[1] and not low[2]
+    files = [lic_file(1, "r", "a.py", "source", "# SPDX-License-Identifier: GPLv3"), lic_file(2, "r", "b.py", "source", "x = 1"), lic_file(3, "q", "c.py", "source", "# SPDX-License-Identifier: MIT")]
+    f = spark.createDataFrame(files, FILES).withColumn("source_id", F.when(F.col("file_id") == 3, "t").otherwise("s")).withColumn("license_policy_label", F.lit("allowed"))
+    sources = spark.createDataFrame([("s", "unknown", ["MIT"], 1), ("t", "denied", ["MIT"], 1)], "source_id string, license_policy string, license_ids array<string>, updated_at int")
+    got = {r.subject_id: (r.license_id, r.configured_ids, r.configured_policies, r.configured_contradictions) for r in licences.licences(f, spark.createDataFrame(BOOK, LIC), sources).collect()}
+    assert got["1"] == ("GPL-3.0-only", ["MIT"], ["allowed", "unknown"], ["outside_scope"])
+    assert got["2"] == ("unknown", ["MIT"], ["allowed", "unknown"], ["unknown_allowed"])
+    assert got["3"] == ("MIT", ["MIT"], ["allowed", "denied"], ["denied_in_scope"])
+    assert set(got) == {"1", "2", "3", "r", "q"}
+
+
 def test_title_behind_a_long_preamble():
     book = licences.LicenceBook(BOOK)
     names = "\n".join(f"Copyright 20{i} Holder {i}" for i in range(10, 40))
