@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlode.functions.paths import plain_checksum, plain_path
 from siftlode.operators.ranking import spread_rank
-from siftlode.plans.runtime import cut, widen
+from siftlode.plans.runtime import cut, stored, widen
 
 
 def snapshot_sequence(headers: DataFrame, counts: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def snapshot_changes(records: DataFrame, headers: DataFrame) -> DataFrame:
 def artifact_changes(artifacts: DataFrame, headers: DataFrame) -> DataFrame:
     """:func:`snapshot_changes` over artifact_candidates and source_snapshots.
 
-    Locators and checksums are compared by their plain spelling.
+    Locators and checksums are compared by their plain spelling, which is worked out once: the records are
+    written as a table, of which the completeness test reads two columns and the comparison all.
     """
     records = widen(artifacts.select("snapshot_id", "logical_locator", "checksum", "received_at")).select(
         "snapshot_id",
@@ -89,6 +90,7 @@ def artifact_changes(artifacts: DataFrame, headers: DataFrame) -> DataFrame:
         plain_checksum(F.col("checksum")).alias("sum"),
         F.col("received_at").alias("at"),
     ).select("snapshot_id", "key", F.when(F.col("sum").isNotNull(), F.xxhash64("sum")).alias("row_hash"), "at")
+    records = stored(records)
     heads = headers.select(
         "snapshot_id",
         F.col("root_identifier").alias("root"),

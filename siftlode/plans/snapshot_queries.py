@@ -16,18 +16,15 @@ QUERIES = {"p1_found": p1_found}
 
 ORACLE = {
     "p1_found": r"""
-with recursive raw as (
+with raw as (
   select snapshot_id, received_at,
-    regexp_replace(regexp_replace(lower(regexp_replace(checksum, '\s+', '', 'g')), '^[a-z0-9]{2,12}[:=-]', ''), '^$', '') as sum,
-    '/' || regexp_replace(replace(url_decode(regexp_replace(trim(logical_locator, E' \t\r\n'), '%([^0-9A-Fa-f]|$)', '%25\1', 'g')), '\', '/'), '/+', '/', 'g') || '/' as loc
-  from artifact_candidates where logical_locator is not null),
-undotted as (select *, replace(replace(loc, '/./', '/'), '/./', '/') as l from raw),
-resolved as (
-  select distinct l as l0, l from undotted
-  union all
-  select l0, regexp_replace(l, '/[^/]+/\.\./', '/') from resolved where l like '%/../%'),
-final as (select l0, nfc_normalize(trim(l, '/')) as k from resolved where l not like '%/../%'),
-rec as (select snapshot_id, received_at, sum, k from undotted u join final f on u.l = f.l0),
+    nullif(regexp_replace(lower(regexp_replace(checksum, '\s+', '', 'g')), '^[a-z0-9]{2,12}[:=-]', ''), '') as sum, logical_locator as loc
+  from artifact_candidates where logical_locator is not null and snapshot_id is not null),
+spelled as (select loc, string_split(replace(url_decode(regexp_replace(trim(loc, E' \t\r\n'), '%([^0-9A-Fa-f]|$)', '%25\1', 'g')), '\', '/'), '/') as parts
+  from (select distinct loc from raw)),
+named as (select loc, nfc_normalize(list_reduce(parts, lambda a, x: case when x in ('', '.') then a when x = '..' then regexp_replace(a, '/?[^/]*$', '')
+    when a = '' then x else a || '/' || x end, '')) as k from spelled),
+rec as (select snapshot_id, received_at, sum, k from raw join named using (loc)),
 n as (select snapshot_id, count(distinct k) as n from rec group by 1),
 h as (select root_identifier, snapshot_seq, min(s.snapshot_id) as snapshot_id
       from source_snapshots s join n using (snapshot_id) where n.n >= s.artifact_count group by 1, 2),
