@@ -113,8 +113,11 @@ def test_store(spark, tmp_path):
     s.upsert("t", spark.createDataFrame([(2, "c", "y"), (3, "d", "y")], schema), ["id"], keep=["first"])
     assert sorted(map(tuple, s.read("t").collect())) == [(1, "a", "x"), (2, "c", "x"), (3, "d", "y")]
     s.append("t", spark.createDataFrame([(9, "z", "z")], schema))
-    assert s.read("t").count() == 4 and s.purge("t") == 1 and s.missing(["t", "u"]) == ["u"]
+    assert s.read("t").count() == 4 and s.purge("t") > 0 and s.read("t").count() == 4 and s.missing(["t", "u"]) == ["u"]
+    s.upsert("t", spark.createDataFrame([(9, "y", "z")], schema), ["id"])
+    assert sorted(r.id for r in s.read("t").collect()) == [1, 2, 3, 9] and s.purge("t") > 0 and s.read("t").count() == 4
     runs = Runs(s)
+    assert runs.latest().count() == 0
     runs.record("r1", "src", "started")
     runs.record("r1", "src", "completed", {"added": 1})
     assert [(r.id, r.status) for r in runs.latest().collect()] == [("r1", "completed")]
@@ -131,6 +134,38 @@ def test_store(spark, tmp_path):
         Collection(s, "bad", "G")
 
 
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"), buckets=8)
+    s.upsert("t", spark.createDataFrame([(i, f"v{i}") for i in range(40)], "id int, v string"), ["id"])
+    before = s._version("t")[1]["parts"]
+    s.upsert("t", spark.createDataFrame([(7, "new", 1)], "id int, v string, extra int"), ["id"])
+    after = s._version("t")[1]["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    rows = {r.id: (r.v, r.extra) for r in s.read("t").collect()}
+    assert len(rows) == 40 and rows[7] == ("new", 1) and rows[8] == ("v8", None)
+    s.upsert("e", spark.createDataFrame([], "id int, v string"), ["id"])
+    assert s.read("e").count() == 0 and s.upsert("e", spark.createDataFrame([(1, "a")], "id int, v string"), ["id"]).count() == 1
+
+
+def test_store_writer_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "store"))
+    one = spark.createDataFrame([(1, "a")], "id int, v string")
+    s.upsert("t", one, ["id"])
+    put = Store._put
+
+    def dies(self, path, text):
+        put(self, path, text)
+        raise OSError("gone")  # after the list is written, before it is made valid
+
+    monkeypatch.setattr(Store, "_put", dies)
+    for call in (lambda: s.upsert("t", spark.createDataFrame([(1, "b")], "id int, v string"), ["id"]), lambda: s.append("t", one), lambda: s.replace("t", one.limit(0))):
+        with pytest.raises(OSError):
+            call()
+        assert [tuple(r) for r in s.read("t").collect()] == [(1, "a")]
+    monkeypatch.undo()
+    assert s.upsert("t", spark.createDataFrame([(2, "c")], "id int, v string"), ["id"]).count() == 2
+
+
 def test_config(spark, tmp_path):
     docs = {
         "sources": {"sources": [{"source_id": "a", "extractor_profile": "p"}, {"source_id": "a", "extractor_profile": "x"}]},
