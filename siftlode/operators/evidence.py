@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlode.operators.ranking import spread_sum
+
 _UNSAFE = r"(?i)\b(token|secret|password|credential|api[_-]?key)\b"
 PROVENANCE = ["source_id", "source_version_id", "item_id", "source_type", "locator", "redaction_status", "visibility_label", "corpus_eligibility_label"]
 
@@ -56,15 +58,22 @@ def pack_budget(ranked: DataFrame, tokens: int, group: list[str] | None = None,
     """Add excerpt, estimated_tokens and truncated: texts in rank order until four characters a token are used up.
 
     The text that meets the end is cut; those behind it are left out. Estimated tokens are a quarter of the
-    characters, rounded up.
+    characters, rounded up. Without ``group`` the rows are one query's list, some hundred at most. With it a group
+    may hold any number of rows, ``rank`` is unique within it, and only ranks and lengths are put in order: the
+    texts are joined to the rows that fit.
     """
-    by = [F.col(g) for g in group or []] or [F.lit(0)]
-    before = Window.partitionBy(*by).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(tokens * 4) - F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))
-    out = ranked.withColumn("_left", F.greatest(left, F.lit(0)).cast("int"))
+    if not group:
+        before = Window.partitionBy(F.lit(0)).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+        out = ranked.withColumn("_used", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)))
+    else:
+        keys = [*group, rank]
+        sizes = ranked.select(*keys, F.length(text).cast("long").alias("_len")).where("_len > 0")
+        used = spread_sum(sizes, group, [F.col(rank).asc()], "_len", "_used").where(F.col("_used") < tokens * 4)
+        out = ranked.join(used.select(*keys, "_used"), keys)
+    out = out.withColumn("_left", F.greatest(F.lit(tokens * 4) - F.col("_used"), F.lit(0)).cast("int"))
     out = out.withColumn("excerpt", F.substring(F.col(text), F.lit(1), F.col("_left")))
     out = out.withColumns({"estimated_tokens": F.ceil(F.length("excerpt") / 4).cast("int"), "truncated": F.length("excerpt") < F.length(text)})
-    return out.where(F.length("excerpt") > 0).drop("_left")
+    return out.where(F.length("excerpt") > 0).drop("_left", "_used")
 
 
 def conflict_markers(conflicts: DataFrame, claims: DataFrame, citations: DataFrame, items: DataFrame, strict: bool = True) -> DataFrame:

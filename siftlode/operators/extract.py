@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.operators.parsers import FIELDS, PARSERS, choose
@@ -77,17 +77,20 @@ def extract(artifacts: DataFrame, keep: list[str], content: str = "content", pat
 
 
 def paragraphs_native(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, ordinal, text, line_start, line_end) of the runs of non-blank lines, by built-in functions alone."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    each = df.select(key, F.posexplode(lines).alias("n", "line")).withColumn("blank", ~F.col("line").rlike(r"(?U)\S"))
-    run = F.sum(F.col("blank").cast("int")).over(Window.partitionBy(key).orderBy("n"))
-    w = each.withColumn("run", run).where(~F.col("blank"))
-    got = w.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    got = got.select(
-        key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), (F.col("l")[0]["n"] + 1).alias("line_start"),
-        (F.element_at("l", -1)["n"] + 1).alias("line_end"),
+    """(key, ordinal, text, line_start, line_end) of the runs of non-blank lines, by array functions on each text, without a shuffle."""
+    lines = df.select(key, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("_l"))
+    flags = lines.withColumn("_f", F.transform("_l", lambda x: x.rlike(r"(?U)\S")))
+    full = lambda i: F.coalesce(F.get("_f", i), F.lit(False))
+    # the last line before each run, and the last line of it, counted from 1
+    at = F.sequence(F.lit(0), F.size("_l") - 1)
+    edges = flags.select(
+        key, "_l", F.filter(at, lambda i: full(i) & ~full(i - 1)).alias("a"), F.transform(F.filter(at, lambda i: full(i) & ~full(i + 1)), lambda i: i + 1).alias("b")
+    )
+    runs = edges.select(key, "_l", F.posexplode(F.arrays_zip("a", "b")).alias("ordinal", "r"))
+    return runs.select(
+        key, F.array_join(F.slice("_l", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "\n").alias("text"), (F.col("r.a") + 1).alias("line_start"),
+        F.col("r.b").alias("line_end"), "ordinal",
     )
-    return got.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("line_start")) - 1)
 
 
 def extraction_summary(extracted: DataFrame, group: list[str]) -> DataFrame:

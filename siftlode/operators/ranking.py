@@ -39,3 +39,22 @@ def spread_rank(df: DataFrame, group: list[str], order: list[Column], out: str,
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("long"))
         .select(*df.columns, out)
     )
+
+
+def spread_sum(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the group that stand before the row by ``order``; 0 for the first.
+
+    Works as :func:`spread_rank`, so that one group may be of any size. ``order`` must be total. Null values count as 0.
+    """
+    spark = df.sparkSession
+    keyed = df.repartitionByRange(parallelism(spark), *[F.col(g) for g in group], *order)
+    placed = cut(keyed.withColumn("_pid", F.spark_partition_id()))
+    sums = placed.groupBy("_pid", *group).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_n"))
+    prior = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"_b_{c}") for c in ["_pid", *group]], F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    on = F.lit(True)
+    for c in ["_pid", *group]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return local.join(before, on).withColumn(out, F.col("_local") + F.col("_before")).select(*df.columns, out)

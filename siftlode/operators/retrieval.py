@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlode.plans.runtime import parallelism, stored
+
 #: Fields by priority (small first), fields of the metadata, fields matched as a whole.
 PRIORITY = {
     "symbol_path": 10, "artifact_path": 20, "structure_path": 30, "heading_path": 40, "signature_text": 50, "version_label": 60, "sanitized_text": 70,
@@ -135,6 +137,7 @@ def bm25(scope: DataFrame, query: list[str], text: str = "sanitized_text", limit
 
     tf = [count_of(w).alias(f"_f{i}") for i, w in enumerate(words)]
     counted = t.select("chunk_id", F.size("_w").alias("_dl"), *tf)
+    counted = stored(counted)  # a few numbers a chunk: texts are cut into words once
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(words))]
     ).first()  # one row
@@ -170,6 +173,51 @@ def bm25_batch(post: DataFrame, queries: DataFrame, corpus_size: int, mean_lengt
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def field_index(scope: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The inverted file over several fields (field, term, chunk_id, tf, dl) and the field sizes (field, chunks, words).
+
+    To be written once and read by every query: rows lie in order of their term, so that a query for a few terms
+    skips the other files and row groups by their bounds. A frequent term spreads over several files.
+    """
+    parts = [F.struct(F.lit(f).alias("field"), tokens(F.array_join(f, " ") if _is_list(scope, f) else F.col(f)).alias("w")) for f in fields]
+    each = scope.select("chunk_id", F.explode(F.array(*parts)).alias("x")).select("chunk_id", "x.field", "x.w")
+    sizes = each.groupBy("field").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("w")).alias("words"))
+    rows = each.select("field", "chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("field", "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    ordered = rows.repartitionByRange(parallelism(scope.sparkSession), "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id")
+    return ordered.select("field", "term", "chunk_id", "tf", "dl"), sizes
+
+
+def _is_list(scope: DataFrame, field: str) -> bool:
+    return scope.schema[field].dataType.simpleString().startswith("array")
+
+
+def candidate_limit(n: int) -> int:
+    """The number of candidates a profile may ask a path for: 50 to 200."""
+    if not 50 <= n <= 200:
+        raise ValueError("candidate limit must be between 50 and 200")
+    return n
+
+
+def search_index(index: DataFrame, sizes: DataFrame, query: list[str], fields: list[str], limit: int = 50, k1: float = K1, b: float = B) -> DataFrame:
+    """(chunk_id, score, matched_fields, rank) of a :func:`field_index`: any word in any field, scores of the fields added up.
+
+    matched_fields are in the order of ``fields``. The words and fields are pushed to the scan; the frequencies of
+    the query's words are one aggregate of at most words x fields rows.
+    """
+    limit = candidate_limit(limit)
+    words = list(dict.fromkeys(w.lower() for w in query))
+    hits = index.where(F.col("term").isin(words) & F.col("field").isin(fields))
+    freq = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    known = freq.join(F.broadcast(sizes), "field")  # a row per field
+    j = hits.join(F.broadcast(known), ["field", "term"])
+    idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.col("dl") * F.col("chunks") / F.greatest(F.col("words"), F.lit(1))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
+    found = j.groupBy("chunk_id").agg(F.round(F.sum(part), 9).alias("score"), F.collect_set("field").alias("_f"))
+    names = F.filter(F.array(*[F.lit(f) for f in fields]), lambda x: F.array_contains("_f", x))
+    return _numbered(found.select("chunk_id", "score", names.alias("matched_fields")), [F.col("score").desc(), F.col("chunk_id").asc()], limit)
+
+
 def substring_search(scope: DataFrame, query: str, fields: list[str], limit: int) -> DataFrame:
     """The plain stand-in for BM25: chunks whose fields hold the whole query, score 1, with matched_fields."""
     q = query.lower()
@@ -198,6 +246,31 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = 50, key:
     return _numbered(d, [F.col("distance").asc(), F.col(key).asc()], limit)
 
 
+def guarded_vector_search(
+    vectors: DataFrame, models: DataFrame, indexes: DataFrame, model_id: str, index_id: str, query: list[float], scope: DataFrame | None = None, limit: int = 50, threshold: int = 200
+) -> DataFrame:
+    """:func:`vector_search` behind its guards, with the strategy: (chunk_id, distance, rank, strategy).
+
+    ``models``: id, promotion_status, dimensions; ``indexes``: id, status, embedding_model_id; ``vectors``: chunk_id,
+    embedding_model_id, is_active, vector. A missing, inactive or retired model and an index that is missing, not
+    active or bound to another model give no rows; a query of other dimensions than the model is an error. Only active
+    vectors of the model, of its length, and of chunks in ``scope`` are searched. Strategy is ``exact`` up to
+    ``threshold`` searched vectors, else ``scan``: also exact, spread over all tasks.
+    """
+    limit = candidate_limit(limit)
+    model = models.where(F.col("id") == model_id).first()
+    index = indexes.where((F.col("id") == index_id) & (F.col("status") == "active") & (F.col("embedding_model_id") == model_id)).first()
+    usable = model is not None and model["promotion_status"] not in ("inactive", "retired") and index is not None
+    if usable and model["dimensions"] != len(query):
+        raise ValueError("query and model dimensions differ")
+    chosen = vectors.where(F.lit(usable) & F.col("is_active") & (F.col("embedding_model_id") == model_id) & (F.size("vector") == len(query)))
+    if scope is not None:
+        chosen = chosen.join(scope.select("chunk_id"), "chunk_id", "left_semi")
+    best = chosen.groupBy("chunk_id").agg(F.max(F.struct("vector")).alias("m")).select("chunk_id", "m.vector")
+    few = best.select("chunk_id").limit(threshold + 1).count() <= threshold
+    return vector_search(best, query, limit).withColumn("strategy", F.lit("exact" if few else "scan"))
+
+
 def check_vector_index(model: dict | None, index: dict | None, dimensions: int) -> None:
     """Raises unless the model is usable, the index is active and bound to it, and the dimensions agree."""
     if model is None or model.get("status") in ("inactive", "retired"):

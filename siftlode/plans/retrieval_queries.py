@@ -14,7 +14,7 @@ from siftlode.operators import intent as Q
 from siftlode.operators import retrieval as T
 from siftlode.operators import scope as S
 from siftlode.plans.corpus import CANDIDATES, CHUNKS, VERSIONS, candidates, chunk_citations, chunk_versions, chunks
-from siftlode.plans.runtime import load
+from siftlode.plans.runtime import load, stored
 
 TRUSTED = S.Trusted(
     visibility_labels=("public", "internal", "invited_users"), sensitivity_classes=("public", "internal", "confidential"),
@@ -50,9 +50,29 @@ def scope_fail_closed_empty(spark: SparkSession, d: str) -> DataFrame:
     return _scope(spark, d, S.Filters(visibility_labels=("secret",))).select("chunk_id")
 
 
+INDEXES = "id string, index_kind string, status string, source_ids array<string>, exact_index_profile string, bm25_profile string, vector_profile string"
+
+
+def _indexes(spark: SparkSession) -> DataFrame:
+    """The index table of the corpus: an active one over three sources, a retired one, and one of another kind without named sources."""
+    rows = [
+        ("index-1", "hybrid", "active", ["src-lantern-core", "src-tempri-cli", "src-pritas-svc"], "docs_qa", "docs_qa", "docs_qa"),
+        ("index-0", "hybrid", "retired", [], "docs_qa", "docs_qa", "docs_qa"),
+        ("index-v", "vector", "active", [], None, None, "docs_qa"),
+    ]
+    return spark.createDataFrame(rows, INDEXES)
+
+
 def scope_active_index(spark: SparkSession, d: str) -> DataFrame:
-    index = {"index_kind": "hybrid", "status": "active", "source_ids": ["src-lantern-core", "src-tempri-cli", "src-pritas-svc"], "bm25_profile": "docs_qa"}
-    return _scope(spark, d, S.with_active_index(S.Filters(), index, "bm25", "docs_qa")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    """Chunks per source in reach of each index as it is asked for: fit, retired, of another kind, of another profile, without named sources."""
+    i = _indexes(spark)
+    asked = [("fit", "index-1", "bm25", "docs_qa"), ("retired", "index-0", "bm25", "docs_qa"), ("kind", "index-v", "bm25", None), ("profile", "index-1", "exact", "code_qa"), ("all", "index-v", "vector", "docs_qa")]
+    out = None
+    for name, *args in asked:
+        part = S.chunk_scope(chunks(spark, d), chunk_versions(spark, d), chunk_citations(spark, d), TRUSTED, S.Filters(), S.covered_by(i, *args))
+        part = part.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("asked"), "source_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def scope_post_filter_count(spark: SparkSession, d: str) -> DataFrame:
@@ -158,8 +178,18 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return T.bm25_batch(T.postings(s), q, n["n"], float(n["l"] or 1), limit=10)
 
 
+FIELDS = ["sanitized_text", "artifact_path", "artifact_role"]
+
+
+def bm25_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Words in any of three fields, through the written inverted file."""
+    index, sizes = T.field_index(_scope(spark, d), FIELDS)
+    r = T.search_index(stored(index), stored(sizes), WORDS, FIELDS, 120)
+    return r.select("chunk_id", "rank", F.round("score", 7).alias("score"), F.array_join("matched_fields", ",").alias("matched_fields"))
+
+
 def bm25_fallback(spark: SparkSession, d: str) -> DataFrame:
-    r = T.substring_search(_scope(spark, d), "Remote Log", ["sanitized_text", "artifact_path"], 50)
+    r = T.substring_search(_scope(spark, d), "The Token", ["sanitized_text", "artifact_path"], 50)
     return r.select("chunk_id", "rank", "score", F.array_join("matched_fields", ",").alias("matched_fields"))
 
 
@@ -177,6 +207,20 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return T.vector_search(e, _probe(spark, d), 50, "vec_id", "embedding")
 
 
+def vector_guarded(spark: SparkSession, d: str) -> DataFrame:
+    """The active vectors of one model behind the model's and the index's guards; a retired model and a foreign index give nothing."""
+    v = load(spark, d, "chunk_embeddings").where(~F.exists("vector", lambda x: F.isnan(x)) & F.exists("vector", lambda x: x != 0))
+    own = v.where("is_active and dimensions = 64 and size(vector) = 64").select("embedding_model_id", "vector", "vec_id").orderBy("vec_id").first()
+    name = own["embedding_model_id"]
+    models = spark.createDataFrame([(name, "active", 64), ("old", "retired", 64)], "id string, promotion_status string, dimensions int")
+    indexes = spark.createDataFrame([("i1", "active", name), ("i2", "building", name), ("i3", "active", "old")], "id string, status string, embedding_model_id string")
+    out = None
+    for model, index in ((name, "i1"), (name, "i2"), (name, "i3"), ("old", "i3"), ("none", "i1")):
+        part = T.guarded_vector_search(v, models, indexes, model, index, own["vector"], None, 60).select("chunk_id", "rank", "strategy", F.round("distance", 6).alias("distance"), F.lit(index).alias("index_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def hybrid_alpha(spark: SparkSession, d: str) -> DataFrame:
     lex = T.bm25(_scope(spark, d), WORDS, limit=100)
     e = load(spark, d, "embeddings").withColumn("chunk_id", F.concat(F.lit("chunk:"), F.lpad(F.col("vec_id").cast("string"), 9, "0")))
@@ -206,13 +250,36 @@ def graph_bounded_traversal(spark: SparkSession, d: str) -> DataFrame:
     return t.select("entity_type", "entity_id", "depth", "edge_id", "seed_id", F.array_join(F.transform("path", lambda p: p["edge_id"]), ">").alias("path"))
 
 
+#: The fault written into each path, by the customer's number in a round of thirteen.
+_BROKEN = ["", "too_deep", "depth_order", "direction", "uncited", "gap", "cycle", "endpoint", "edge_ineligible", "kind", "type", "empty", "identifier"]
+
+
 def graph_path_check(spark: SparkSession, d: str) -> DataFrame:
-    t = G.traverse(_edges(spark, d), [("region", "r1")], _TYPES, 2, 5, 40, "inbound")
-    p = t.select(
-        F.col("entity_id").alias("item_id"),
-        F.transform("path", lambda s: F.struct(s["relationship_type"].alias("relationship_type"), s["direction"].alias("direction"), s["depth"].alias("depth"), s["from_id"].alias("from_id"), s["to_id"].alias("to_id"), F.array(s["edge_id"]).alias("citation_ids"))).alias("path"),
+    """Paths from customers over their nation to an end of their own, each broken in the way its number says, and the faults found."""
+    c = load(spark, d, "customer").join(F.broadcast(load(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    k = F.col("c_custkey") % len(_BROKEN)
+    is_ = lambda name: k == _BROKEN.index(name)
+    me, nation = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "n_nationkey")
+    end = F.when(is_("cycle"), me).when(is_("identifier"), F.lit("")).otherwise(F.concat(F.lit("r"), "n_regionkey", F.lit("-"), "c_custkey"))
+    far = F.concat(F.lit("w"), "c_custkey")
+
+    def step(kind, a, b, depth, direction="outbound", cited=True, fit=True):  # noqa: ANN001, ANN202
+        ids = F.when(F.lit(cited) if isinstance(cited, bool) else cited, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
+        col = lambda x: F.lit(x) if isinstance(x, str | int | bool) else x
+        return F.struct(
+            col(kind).alias("relationship_type"), col(direction).alias("direction"), col(depth).cast("int").alias("depth"), a.alias("from_id"), b.alias("to_id"),
+            ids.alias("citation_ids"), col(fit).alias("endpoint_eligible"),
+        )
+
+    one = step("customer_of", me, nation, 1)
+    two = step(
+        F.when(is_("type"), "other_of").otherwise("nation_of"), F.when(is_("gap"), F.lit("elsewhere")).otherwise(nation), end, F.when(is_("depth_order"), 7).otherwise(2),
+        F.when(is_("direction"), "sideways").otherwise("outbound"), ~is_("uncited"), ~is_("edge_ineligible"),
     )
-    return G.path_faults(p, ["nation_of"], 2, "inbound").groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+    path = F.when(is_("too_deep"), F.array(one, two, step("nation_of", end, far, 3))).when(is_("empty"), F.slice(F.array(one), 1, 0)).otherwise(F.array(one, two))
+    item = F.when(is_("too_deep"), far).when(is_("endpoint"), F.lit("nowhere")).otherwise(end)
+    p = c.select(item.alias("item_id"), path.alias("path"), F.when(is_("kind"), "vector").otherwise("relationship").alias("retrieval_path"), F.lit(True).alias("endpoint_eligible"))
+    return G.path_faults(p, ["customer_of", "nation_of"], 2, "outbound", fanout=60).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
 def traversal_seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -383,7 +450,8 @@ ORACLE = {
     "scope_narrowed": f"with {_SCOPE} select chunk_id, source_type from scope where visibility_label = 'public' and source_type = 'git_repository'",
     "scope_version_range": f"with {_SCOPE} select chunk_id, version_label from scope where version_label >= 'v1.2' and version_label <= 'v4.1' and first_seen_at >= timestamp '2024-01-01 06:00:00'",
     "scope_fail_closed_empty": f"with {_SCOPE} select chunk_id from scope where false",
-    "scope_active_index": f"with {_SCOPE} select source_id, count(*) as n from scope where source_id in ('src-lantern-core', 'src-tempri-cli', 'src-pritas-svc') group by 1",
+    "scope_active_index": f"""with {_SCOPE} select 'fit' as asked, source_id, count(*) as n from scope where source_id in ('src-lantern-core', 'src-tempri-cli', 'src-pritas-svc') group by 2
+ union all select 'all', source_id, count(*) from scope group by 2""",
     "scope_post_filter_count": f"with {_SCOPE} select count(*) as n from scope",
     "citation_semi_join": f"with {_SCOPE} select citation_id, chunk_id from citations where {_POLICY}",
     "claim_scope": f"with {_SCOPE}, {_CLAIMS} select claim_id, citation_item_id from okclaims",
@@ -418,8 +486,18 @@ df as (select term, count(*) as df from post group by 1),
 s as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) as score from q join post using (term) join df using (term), st group by 1, 2)
 select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s qualify rank <= 10""",
     "bm25_fallback": f"""with {_SCOPE} select chunk_id, row_number() over (order by chunk_id)::int as rank, 1.0::double as score,
- array_to_string(list_filter([case when contains(lower(sanitized_text), 'remote log') then 'sanitized_text' end, case when contains(lower(artifact_path), 'remote log') then 'artifact_path' end], lambda x: x is not null), ',') as matched_fields
-from scope where contains(lower(sanitized_text), 'remote log') or contains(lower(artifact_path), 'remote log') qualify rank <= 50""",
+ array_to_string(list_filter([case when contains(lower(sanitized_text), 'the token') then 'sanitized_text' end, case when contains(lower(artifact_path), 'the token') then 'artifact_path' end], lambda x: x is not null), ',') as matched_fields
+from scope where contains(lower(sanitized_text), 'the token') or contains(lower(artifact_path), 'the token') qualify rank <= 50""",
+    "bm25_fields": f"""with {_SCOPE}, f as (select chunk_id, unnest(['sanitized_text', 'artifact_path', 'artifact_role']) as field, unnest([{_TOKENS.format('sanitized_text')}, {_TOKENS.format('artifact_path')}, {_TOKENS.format('artifact_role')}]) as w from scope),
+st as (select field, count(*) as n, avg(len(w)) as a from f group by 1), post as (select field, chunk_id, len(w) as dl, unnest(list_filter(w, lambda x: x in {tuple(WORDS)})) as term from f),
+tf as (select field, term, chunk_id, dl, count(*) as tf from post group by 1, 2, 3, 4), df as (select field, term, count(*) as df from tf group by 1, 2),
+s as (select chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) as score, list_distinct(list(field)) as fs from tf join df using (field, term) join st using (field) group by 1)
+select chunk_id, row_number() over (order by score desc, chunk_id)::int as rank, round(score, 7) as score, array_to_string(list_filter(['sanitized_text', 'artifact_path', 'artifact_role'], lambda x: list_contains(fs, x)), ',') as matched_fields from s qualify rank <= 120""",
+    "vector_guarded": """with v as (select * from chunk_embeddings where len(list_filter(vector, lambda x: isnan(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+q as (select embedding_model_id as m, vector::double[] as q from v where is_active and dimensions = 64 and len(vector) = 64 order by vec_id limit 1),
+own as (select chunk_id, max(vector) as vector from v, q where is_active and embedding_model_id = m and len(vector) = 64 group by 1),
+s as (select chunk_id, round(1 - list_dot_product(vector::double[], q) / (sqrt(list_dot_product(vector::double[], vector::double[])) * sqrt(list_dot_product(q, q))), 9) + 0.0 as d from own, q)
+select chunk_id, row_number() over (order by d, chunk_id)::int as rank, case when (select count(*) from own) <= 200 then 'exact' else 'scan' end as strategy, round(d, 6) + 0.0 as distance, 'i1' as index_id from s qualify rank <= 60""",
     "vector_topk_cosine": f"with {_NEAR} select vec_id, distance, row_number() over (order by distance, vec_id)::int as rank from near qualify rank <= 50",
     "vector_topk_filtered": f"with {_NEAR} select vec_id, distance, row_number() over (order by distance, vec_id)::int as rank from near where label % 2 = 1 qualify rank <= 50",
     "hybrid_alpha": f"""with {_SCOPE}, {_bm25_sql(100)}, {_NEAR}, v as (select 'chunk:' || lpad(vec_id::varchar, 9, '0') as chunk_id, -distance as d from near order by distance, vec_id limit 100),
@@ -428,7 +506,10 @@ b as (select chunk_id, case when max(d) over () > min(d) over () then (d - min(d
 s as (select chunk_id, round(0.6::double * coalesce(vs, 0) + (1 - 0.6::double) * coalesce(ls, 0), 9) as score from a full join b using (chunk_id))
 select chunk_id, row_number() over (order by score desc, chunk_id)::int as rank, score from s qualify rank <= 30""",
     "graph_bounded_traversal": f"with {_walk_sql(4, 70, ['r1', 'r3'], 3)} select et as entity_type, eid as entity_id, depth, edge_id, seed as seed_id, array_to_string(path, '>') as path from found",
-    "graph_path_check": f"with {_walk_sql(5, 40, ['r1'], 2)} select 'type' as fault, count(*) as n from found where len(list_filter(types, lambda x: x <> 'nation_of')) > 0 having count(*) > 0",
+    "graph_path_check": f"""with c as (select c_custkey as c, c_custkey % 13 as k, 'n' || c_nationkey as f from customer),
+e as (select case k when 7 then 'nowhere' when 12 then '' else c::varchar end as item, case when k = 5 then 'elsewhere' else f end as f, case when k = 2 then 7 else 2 end as d, case when k = 12 then '' else c::varchar end as t from c where k <> 11),
+w as (select f, d from e group by 1, 2 having count(distinct t) > 60)
+select {_BROKEN[1:]!r}[k] as fault, count(*) as n from c where k > 0 group by 1 union all select 'fanout', count(distinct item) from e join w using (f, d) having count(*) > 0""",
     "traversal_seeds": """with m as (select chunk_id, min((case path when 'exact' then 0 else 1 end, rank)) as m from ranked_candidates where path in ('exact', 'bm25') and rank is not null group by 1)
 select chunk_id, row_number() over (order by m[1], m[2], chunk_id)::int as seed_rank from m qualify seed_rank <= 25""",
     "rrf_weighted_ties": f"with {_RRF} select query_id, chunk_id, fused_rank, round(score, 9) as fused_score, excerpt from fused",

@@ -56,7 +56,9 @@ def retrieve(
     lexical = retrieval.bm25(scope, words, limit=limit["bm25"] or 50)
     probe = query_vector(query, *embedding)
     near = retrieval.vector_search(vectors.join(scope.select("chunk_id"), "chunk_id", "left_semi"), probe, limit["vector"] or 50)
-    base = scope.select("chunk_id", "authority_rank", "first_seen_at", F.col("sanitized_text").alias("excerpt"), F.lit(True).alias("excerpt_trusted"))
+    # a text is trusted if the scope says so, or else if its redaction has been done or was not needed
+    trusted = F.col("excerpt_trusted") if "excerpt_trusted" in scope.columns else F.col("redaction_status").isin("redacted", "not_required")
+    base = scope.select("chunk_id", "authority_rank", "first_seen_at", F.col("sanitized_text").alias("excerpt"), trusted.alias("excerpt_trusted"))
     lists = {"exact": exact.select("chunk_id", "rank"), "bm25": lexical.select("chunk_id", "rank"), "vector": near.select("chunk_id", "rank")}
     walk = profile.get("traversal") or {}
     if edges is not None and walk.get("enabled"):
@@ -67,8 +69,8 @@ def retrieve(
         first = reached.groupBy(F.col("entity_id").alias("chunk_id")).agg(F.min(F.struct("depth", "edge_id")).alias("m"))
         lists["relationship"] = retrieval._numbered(first, [F.col("m").asc(), F.col("chunk_id").asc()], walk["max_relationship_candidates"]).select("chunk_id", "rank")
     fused = fusion.weighted_rrf(_together(lists).join(base, "chunk_id"), weights).where(F.col("fused_rank") <= (limit["fused"] or 60))
-    labels = scope.select("chunk_id", F.col("corpus_eligibility_label").alias("eligibility"), "source_id", "sanitized_content_hash")
-    inputs = cut(fusion.rerank_inputs(fused.withColumn("excerpt_trusted", F.lit(True)).join(labels, "chunk_id"), limit["rerank"] or 10, 2048))
+    labels = scope.select("chunk_id", F.col("corpus_eligibility_label").alias("eligibility"), "source_id", "sanitized_content_hash", trusted.alias("excerpt_trusted"))
+    inputs = cut(fusion.rerank_inputs(fused.join(labels, "chunk_id"), limit["rerank"] or 10, 2048))
     ordered = fusion.rerank(inputs, lambda i: fusion.overlap_scores(i, F.lit(query), []), [], fallback=True)
     ids = evidence.grouped_citations(citations).withColumnRenamed("item_id", "chunk_id")
     cited = ordered.join(ids, "chunk_id").withColumns({"rank": F.col("reranked_rank"), "item_id": F.col("chunk_id"), "sanitized_text": F.col("excerpt")})

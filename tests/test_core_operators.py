@@ -185,17 +185,52 @@ def test_intent_frame_equals_driver(spark):
         assert {k: r[k] for k in intent.KINDS} == intent.parse_intent(q or "")
 
 
-def test_scope_narrowing_fails_closed():
+def test_scope_narrowing_fails_closed(spark):
     t = scope.Trusted(source_ids=("a", "b"))
     assert scope.narrow(t, scope.Filters()).source_ids == ("a", "b")
     assert scope.narrow(t, scope.Filters(source_ids=("b", "c"))).source_ids == ("b",)
-    assert scope.narrow(t, scope.Filters(source_ids=("c",))).source_ids == (scope.NO_MATCH,)
-    f = scope.Filters()
-    for index in (None, {"status": "retired", "index_kind": "bm25"}, {"status": "active", "index_kind": "vector"}):
-        assert scope.with_active_index(f, index, "bm25").source_ids == (scope.NO_INDEX,)
-    ok = {"status": "active", "index_kind": "hybrid", "bm25_profile": "p", "source_ids": ["a"]}
-    assert scope.with_active_index(f, ok, "bm25", "p").source_ids == ("a",) and scope.with_active_index(f, ok, "bm25", "q").source_ids == (scope.NO_INDEX,)
-    assert scope.with_active_index(f, ok | {"source_ids": []}, "bm25", "p") is f
+    none = scope.narrow(t, scope.Filters(source_ids=("c",)))
+    assert none.nothing and scope.narrow(t, none).nothing and not scope.narrow(t, scope.Filters()).nothing
+    rows_ = [("s1", "bm25", "active", ["a"], None, "p", None), ("s2", "bm25", "retired", ["a"], None, "p", None), ("s3", "hybrid", "active", [], "e", "p", "v"), ("s4", "vector", "active", None, None, None, "v")]
+    schema = "id string, index_kind string, status string, source_ids array<string>, exact_index_profile string, bm25_profile string, vector_profile string"
+    i, c = spark.createDataFrame(rows_, schema), spark.createDataFrame([("a",), ("b",), (None,)], "source_id string")
+    seen = lambda *args: sorted(str(r[0]) for r in c.where(scope.covered_by(i, *args)).collect())
+    assert seen("s1", "bm25", "p") == ["a"] and seen("s1") == ["a"] and seen("s3", "exact", "e") == ["None", "a", "b"] and seen("s4", "vector") == ["None", "a", "b"]
+    assert seen("s1", "bm25", "q") == seen("s2") == seen("s4", "bm25") == seen("nope") == []
+
+
+def test_pack_budget_in_groups_equals_loop(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(f"g{r.choice([0, 0, 0, 1, 2])}", i, "x" * r.choice([0, 1, 7, 30])) for i in range(300)] + [("n", 1, None)]
+    df = spark.createDataFrame(data, "g string, rank int, t string")
+    got = sorted((x.g, x["rank"], len(x.excerpt), x.truncated) for x in evidence.pack_budget(df, 25, ["g"], "rank", "t").collect())
+    want, left = [], {}
+    for g, k, t in sorted(data, key=lambda x: (x[0], x[1])):
+        room = left.setdefault(g, 100)
+        n = min(room, len(t or ""))
+        left[g] = room - n
+        if n:
+            want.append((g, k, n, n < len(t)))
+    assert got == sorted(want)
+
+
+def test_field_index_and_guards(spark):
+    s = spark.createDataFrame([("a", "red fox", ["Red", "Hut"]), ("b", "blue", ["sea"]), ("c", None, None)], "chunk_id string, sanitized_text string, heading_path array<string>")
+    index, sizes = retrieval.field_index(s, ["sanitized_text", "heading_path"])
+    got = retrieval.search_index(index, sizes, ["RED", "sea"], ["heading_path", "sanitized_text"]).orderBy("rank").collect()
+    assert [(r.chunk_id, r.matched_fields) for r in got] == [("a", ["heading_path", "sanitized_text"]), ("b", ["heading_path"])]
+    assert retrieval.search_index(index, sizes, ["none"], ["sanitized_text"]).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.search_index(index, sizes, ["red"], ["sanitized_text"], 10)
+    v = spark.createDataFrame([("a", "m", True, [1.0, 0.0]), ("b", "m", False, [1.0, 0.0]), ("c", "m", True, [1.0]), ("d", "x", True, [1.0, 0.0])], "chunk_id string, embedding_model_id string, is_active boolean, vector array<float>")
+    m = spark.createDataFrame([("m", "active", 2), ("r", "retired", 2)], "id string, promotion_status string, dimensions int")
+    i = spark.createDataFrame([("i", "active", "m"), ("o", "old", "m")], "id string, status string, embedding_model_id string")
+    find = lambda model, index, q, sc=None: [(r.chunk_id, r.strategy) for r in retrieval.guarded_vector_search(v, m, i, model, index, q, sc).collect()]
+    assert find("m", "i", [1.0, 0.0]) == [("a", "exact")] and find("m", "o", [1.0, 0.0]) == find("r", "i", [1.0, 0.0]) == [] == find("m", "i", [1.0, 0.0], s.where("chunk_id = 'b'"))
+    with pytest.raises(ValueError):
+        find("m", "i", [1.0])
 
 
 def test_exact_lookup_order_and_plain_text(spark):
@@ -256,6 +291,16 @@ def test_graph(spark):
     assert rows(graph.path_faults(p, ["x"], 2, "outbound")) == [("a", "cycle"), ("b2", "type"), ("b2", "uncited"), ("c", "gap"), ("q", "empty"), ("zz", "depth_order"), ("zz", "endpoint")]
 
 
+def test_sound_candidates(spark):
+    step = lambda n, a, b: ("x", "outbound", n, a, b, ["k"])
+    data = [("b", 2, [step(1, "a", "b")]), ("b", 1, [step(1, "a", "b")]), ("c", 3, [step(1, "a", "c")]), ("d", 4, [step(1, "z", "d")]), ("e", 5, [step(1, "q", "e")])]
+    p = spark.createDataFrame(data, "item_id string, rank int, path array<struct<relationship_type:string,direction:string,depth:int,from_id:string,to_id:string,citation_ids:array<string>>>")
+    seeds = spark.createDataFrame([("a",), ("q",)], "seed_id string")
+    got = graph.sound_candidates(p, ["x"], 1, "outbound", 2, seeds, fanout=2)
+    assert [(r.item_id, r["rank"]) for r in got.orderBy("rank").collect()] == [("b", 1), ("c", 2)]
+    assert [r.item_id for r in graph.sound_candidates(p, ["x"], 1, "outbound", 9, seeds, fanout=1).collect()] == ["e"]
+
+
 RANKED = "chunk_id string, path string, rank int, authority_rank int, first_seen_at timestamp, excerpt string, excerpt_trusted boolean"
 
 
