@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.sampling import bounded_sample
 from siftlode.llm.secrets_model import STATES, Candidate, CharModel, Scorer, bigrams, candidates, features, hashed, no_credential, pem_span, weak_label
-from siftlode.plans.runtime import cut, parallelism
+from siftlode.plans.runtime import parallelism, stored
 
 #: Documented bound of the fit: texts (smallest hashes of candidate_id) whose weakly labelled values train
 #: the classifier. Character counts come from all texts, and every text is scored.
@@ -74,7 +75,8 @@ def fit(t: DataFrame, chars: CharModel) -> Scorer:
                         rows.append((hashed(features(c, s, path, kind, language)).astype(np.int32), y))
             yield pd.DataFrame(rows, columns=["at", "y"])
 
-    some = t.orderBy(F.xxhash64("candidate_id"), "candidate_id").limit(FIT_TEXTS)
+    # FIT_TEXTS ids at most, some 160 KB
+    some = t.join(F.broadcast(bounded_sample(t, "candidate_id", FIT_TEXTS)), "candidate_id", "left_semi")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_k=[x.tobytes() for x in pdf["at"]]).sort_values(["_k", "y"])
@@ -82,7 +84,7 @@ def fit(t: DataFrame, chars: CharModel) -> Scorer:
         return pd.DataFrame({"w": [s.w.tobytes()], "scale": [s.scale], "shift": [s.shift]})
 
     rows = (
-        some.repartition(max(2, t.rdd.getNumPartitions()))
+        some.repartition(parallelism(t.sparkSession), "candidate_id")
         .mapInPandas(label, "at array<int>, y int")
         .groupBy(F.lit(1).alias("one"))
         .applyInPandas(one, "w binary, scale double, shift double")
@@ -143,7 +145,7 @@ def find_credentials(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     last extracted row of each candidate. Clean texts: (candidate_id, text, values) for the candidates with
     findings. Null texts have none; repeated rows count once; all candidate types are searched.
     """
-    t = cut(texts(table))
+    t = stored(texts(table))
     chars = char_model(t)
     model = t.sparkSession.sparkContext.broadcast((chars, fit(t, chars)))
 

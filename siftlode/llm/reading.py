@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.plans.runtime import widen
+from siftlode.llm.sampling import bounded_sample
+from siftlode.plans.runtime import cut, widen
 
 BANDS = 5
 #: Pseudo-count of every unit in every level.
@@ -115,8 +116,8 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModels:
     added up by Spark; what reaches the driver is bounded by the vocabulary of MOST_LABELLED texts.
     """
     said = labels.where(F.col("band").between(1, BANDS)).groupBy("doc_id", "reader", "band").agg(F.lit(1).alias("one"))
-    per = said.groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
-    per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    per = cut(said.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("band").alias("bands")))
+    per = per.join(bounded_sample(per, "doc_id", MOST_LABELLED), "doc_id", "left_semi")
     texts = documents.where(english(F.col("lang"))).select("doc_id", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +137,7 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModels:
     # at most MOST_LABELLED rows of an id and some levels, some megabytes
     rows = collected(texts.join(F.broadcast(per), "doc_id").select("text", "bands"))
     if not rows:
-        some = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+        some = texts.join(F.broadcast(bounded_sample(texts.where("doc_id is not null"), "doc_id", MOST_LABELLED)), "doc_id", "left_semi")
         rows = collected(some.select("text", F.lit(None).cast("array<int>").alias("bands")))
     counts: dict[str, np.ndarray] = {}
     docs = np.zeros(BANDS)
