@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.partition_index import Router, fit_router, unit
+from siftlode.llm.partition_index import Index, Router, fit_router, unit
 from siftlode.operators.ranking import spread_rank
-from siftlode.plans.runtime import cut
+from siftlode.plans.runtime import cut, stored
 
-#: Documented bounds of the fit: rows of one model that the router is fitted on, rows a part shall have,
-#: and the most parts. The index holds every row; only the fit sees a sample.
+#: Documented bounds of the fit: rows that one router is fitted on, rows a part shall have, and the parts that one
+#: router tells apart. Beyond MAX_PARTS parts a second level of routers cuts each part of the first again, so
+#: parts keep their size up to MAX_PARTS x MAX_PARTS of them (some 33 million vectors a model; more makes parts
+#: larger, which are then searched in more blocks). The index holds every row; only the fits see a sample.
 SAMPLE = 8192
 PART_ROWS = 2048
 MAX_PARTS = 128
@@ -45,60 +47,70 @@ def usable_vectors(e: DataFrame) -> DataFrame:
     return e.where(good).groupBy("vec_id").agg(last.alias("m")).select("vec_id", "m.model", "m.vector")
 
 
-def _fit(spark_reps: DataFrame) -> dict[str, Router]:
-    """A router per model, each fitted in a task over a bounded sample, then held on the driver.
+def _train(picked: DataFrame, names: list[str], most: int) -> dict[tuple, Router]:
+    """A router per group of ``names``, each fitted in a task; ``picked``: the groups' sampled rows with _parts, the parts to make.
 
-    Size on the driver: a model's weights are dimensions x 128 + 128 x parts numbers, some 200 KB.
+    Size on the driver: a router's weights are (dimensions + parts) x 128 numbers of four bytes, some 100 KB.
     """
-    sizes = spark_reps.groupBy("model").agg(F.count(F.lit(1)).alias("_n"))
-    chance = F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(1.05 * SAMPLE) / F.col("_n"))
-    picked = (
-        spark_reps.withColumn("_h", F.abs(F.xxhash64(F.col("rep"), F.lit(11))).cast("double"))
-        .join(F.broadcast(sizes), "model")  # one row per model
-        .where(F.col("_h") <= chance)
-    )
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "rep"]).head(SAMPLE)
-        parts = int(np.clip(np.ceil(pdf["_n"].iloc[0] / PART_ROWS), 1, min(MAX_PARTS, max(1, len(pdf) // 64))))
+        parts = int(np.clip(pdf["_parts"].iloc[0], 1, min(most, max(1, len(pdf) // 16))))
         # rows of another length than most cannot be compared with them; they form no part of the fit
         arrays = [np.asarray(a, dtype=np.float64) for a in pdf["vector"]]
         d = max(sorted({len(a) for a in arrays}), key=lambda n: sum(len(a) == n for a in arrays))
         router = fit_router(np.stack([a for a in arrays if len(a) == d]), parts)
-        return pd.DataFrame({"model": [pdf["model"].iloc[0]], "router": [pickle.dumps(router)]})
+        return pd.DataFrame({**{n: [pdf[n].iloc[0]] for n in names}, "router": [pickle.dumps(router)]})
+
+    schema = ", ".join(f"{n} {picked.schema[n].dataType.simpleString()}" for n in names)
+    rows = picked.groupBy(*names).applyInPandas(one, f"{schema}, router binary").collect()
+    return {tuple(r[n] for n in names): pickle.loads(bytes(r["router"])) for r in rows}
+
+
+def _fit(reps: DataFrame, part_rows: int, max_parts: int) -> Index:
+    """The index of all models: one level of routers, and a second one for models of more than ``max_parts`` parts."""
+    sizes = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per model
+    wanted = {m: -(-n // part_rows) for m, n in sizes.items()}
+    first = {m: p if p <= max_parts else min(max_parts, int(np.ceil(np.sqrt(p)))) for m, p in wanted.items()}
+    chance = {m: min(1.0, 1.05 * SAMPLE / n) for m, n in sizes.items()}
+    spark = reps.sparkSession
+    small = spark.createDataFrame([(m, first[m], chance[m]) for m in sizes], "model string, _parts int, _chance double")
+    hashed = reps.withColumn("_h", F.abs(F.xxhash64(F.col("rep"), F.lit(11))).cast("double") / F.lit(2.0**63))
+    top = _train(hashed.join(F.broadcast(small), "model").where("_h <= _chance"), ["model"], max_parts)
+    index = Index({m: r for (m,), r in top.items()}, {}, max_parts)
+    deep = [m for m, p in wanted.items() if p > max_parts]
+    if not deep:
+        return index
+    shared = spark.sparkContext.broadcast(index)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            part = np.zeros(len(b), dtype=np.int32)
+            for model in b["model"].unique():
+                at = np.flatnonzero(b["model"].to_numpy() == model)
+                part[at] = shared.value.homes(model, [b["vector"].iloc[i] for i in at])
+            yield b.assign(part=part)
 
-    rows = picked.groupBy("model").applyInPandas(one, "model string, router binary").collect()
-    return {r["model"]: pickle.loads(bytes(r["router"])) for r in rows}
+    cols = "model string, rep long, vector array<float>, _h double, part int"
+    within = hashed.where(F.col("model").isin(deep)).select("model", "rep", "vector", "_h").mapInPandas(placed, cols)
+    n = within.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # at most max_parts rows a model
+    plan = spark.createDataFrame([(r["model"], r["part"], -(-r["n"] // part_rows), min(1.0, 1.05 * SAMPLE / r["n"])) for r in n], "model string, part int, _parts int, _chance double")
+    index.below = _train(within.join(F.broadcast(plan), ["model", "part"]).where("_h <= _chance"), ["model", "part"], max_parts)
+    return index
 
 
-def _route(reps: DataFrame, routers: dict[str, Router]) -> DataFrame:
+def _route(reps: DataFrame, index: Index, mass: float) -> DataFrame:
     """(model, rep, v, parts): the vector as float32 bytes and the parts to visit, the own part first."""
-    shared = reps.sparkSession.sparkContext.broadcast(routers)
+    shared = reps.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             b = b.assign(_d=b["vector"].map(len))
             for (model, d), g in b.groupby(["model", "_d"]):
-                router = shared.value[model]
                 raw = np.stack([np.asarray(a, dtype=np.float32) for a in g["vector"]])
-                if router.w1.shape[0] == d:
-                    p = router.probabilities(unit(raw.astype(np.float64)))
-                else:  # an odd length meets only its own kind, in part 0
-                    p = np.ones((len(raw), 1))
-                order = np.argsort(-p, axis=1, kind="stable")
-                need = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < MASS).sum(1) + 1
-                need = np.minimum(np.maximum(need, MIN_PROBES), p.shape[1])
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "model": model + f"#{d}",
-                            "rep": g["rep"].to_numpy(),
-                            "v": [x.tobytes() for x in raw],
-                            "parts": [o[:n].astype(np.int32) for o, n in zip(order, need)],
-                        }
-                    )
-                )
+                parts = shared.value.visits(model, raw, mass, MIN_PROBES)
+                out.append(pd.DataFrame({"model": model + f"#{d}", "rep": g["rep"].to_numpy(), "v": [x.tobytes() for x in raw], "parts": parts}))
             if out:
                 yield pd.concat(out)
 
@@ -140,11 +152,12 @@ def _meet(k: int):
     return run
 
 
-def _search(routed: DataFrame, k: int) -> DataFrame:
-    """(rep, near array<struct<far, other>>): the k most similar other representatives in the visited parts."""
+def _search(routed: DataFrame, k: int, asking: DataFrame | None) -> DataFrame:
+    """(rep, near array<struct<far, other>>): the k most similar other representatives in the visited parts; ``asking``: reps that search, all by default."""
+    ask = routed if asking is None else routed.join(asking, "rep", "left_semi")
     home = routed.groupBy("model", F.col("parts")[0].alias("part")).agg(F.count(F.lit(1)).alias("nb"))
-    asked = routed.select("model", F.explode("parts").alias("part")).groupBy("model", "part").agg(F.count(F.lit(1)).alias("nq"))
-    # one row per part, at most MAX_PARTS a model: small enough for a broadcast at any size of the data
+    asked = ask.select("model", F.explode("parts").alias("part")).groupBy("model", "part").agg(F.count(F.lit(1)).alias("nq"))
+    # one row per part, at most MAX_PARTS x MAX_PARTS a model (16,384): small enough for a broadcast at any size of the data
     plan = F.broadcast(
         home.join(asked, ["model", "part"]).select(
             "model",
@@ -160,7 +173,7 @@ def _search(routed: DataFrame, k: int) -> DataFrame:
         .select("model", "part", (spread % F.col("nb")).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.lit(0).alias("role"), "rep", "v")
     )
     query = (
-        routed.withColumn("part", F.explode("parts"))
+        ask.withColumn("part", F.explode("parts"))
         .join(plan, ["model", "part"])
         .select("model", "part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"), (spread % F.col("nq")).cast("int").alias("qb"), F.lit(1).alias("role"), "rep", "v")
     )
@@ -172,14 +185,19 @@ def _search(routed: DataFrame, k: int) -> DataFrame:
     return met.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), "other"))), 1, k).alias("near"))
 
 
-def nearest_vectors(e: DataFrame, k: int = 5) -> DataFrame:
+def nearest_vectors(
+    e: DataFrame, k: int = 5, exact: bool = False, every: int = 1, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, mass: float = MASS
+) -> DataFrame:
     """(vec_id, other_id, similarity): the ``k`` most similar usable vectors of the same model, per vector.
 
     Equal vectors are searched once, by a representative, and expanded again: of a group of copies only
     the ``k`` + 1 smallest ids can be among anyone's nearest, since ties go to the smaller id. Models
     with one vector give no rows. See :func:`usable_vectors` for what takes part.
+
+    ``exact`` holds every vector against all of its model, in blocks: the measure for the index. ``every``: only
+    vectors whose id it divides ask; all can be found. ``mass``: the probability of the parts that a vector visits.
     """
-    u = cut(usable_vectors(e).withColumn("key", F.xxhash64("model", F.to_json("vector"))))
+    u = stored(usable_vectors(e).withColumn("key", F.xxhash64("model", F.to_json("vector"))))
     numbered = spread_rank(u.select("model", "key", "vec_id"), ["model", "key"], [F.col("vec_id")], "n", ties=False)
     groups = cut(
         numbered.where(F.col("n") <= k + 1)
@@ -187,9 +205,12 @@ def nearest_vectors(e: DataFrame, k: int = 5) -> DataFrame:
         .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
         .withColumn("rep", F.col("ids")[0])
     )
-    reps = cut(u.join(groups.select(F.col("rep").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("rep"), "model", "vector"))
-    routed = cut(_route(reps, _fit(reps)))
-    near = _search(routed, k)
+    reps = stored(u.join(groups.select(F.col("rep").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("rep"), "model", "vector"))
+    index = Index({}, {}, max_parts) if exact else _fit(reps, part_rows, max_parts)
+    routed = stored(_route(reps, index, mass))
+    chosen = u.where(F.col("vec_id") % every == 0) if every > 1 else u
+    asking = chosen.select("model", "key").distinct().join(groups, ["model", "key"]).select("rep") if every > 1 else None
+    near = _search(routed, k, asking)
     # the neighbours' copies, at most k of each
     ids = groups.select(F.col("rep").alias("other"), F.slice("ids", 1, k).alias("ids"))
     wide = (
@@ -204,7 +225,7 @@ def nearest_vectors(e: DataFrame, k: int = 5) -> DataFrame:
         "model", "key", F.concat(F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("id"))), F.coalesce("others", none)).alias("all")
     )
     return (
-        u.select("vec_id", "model", "key")
+        chosen.select("vec_id", "model", "key")
         .join(lists, ["model", "key"])
         .select("vec_id", F.slice(F.array_sort(F.filter("all", lambda x: x["id"] != F.col("vec_id"))), 1, k).alias("best"))
         .select("vec_id", F.explode("best").alias("b"))
@@ -212,6 +233,19 @@ def nearest_vectors(e: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def recall(e: DataFrame, k: int = 5, every: int = 100, **index: float) -> DataFrame:
+    """(neighbours, found, recall): one row, of the true ``k`` nearest of every vector whose id ``every`` divides, how many the index gives.
+
+    A neighbour of equal similarity counts as found, whichever of equal ones is named.
+    """
+    truth = nearest_vectors(e, k, exact=True, every=every).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.round("similarity", 9))).alias("want"))
+    got = nearest_vectors(e, k, every=every, **index).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.round("similarity", 9))).alias("have"))
+    least = F.try_element_at("want", F.lit(1))
+    both = truth.join(got, "vec_id", "left").select(F.size("want").alias("n"), F.coalesce(F.size(F.filter("have", lambda x: x >= least)), F.lit(0)).alias("m"))
+    s = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("neighbours"), F.coalesce(F.sum("m"), F.lit(0)).alias("found"))
+    return s.withColumn("recall", F.try_divide("found", "neighbours"))
+
+
 def similar_pairs(nearest: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id_a, vec_id_b), a < b: pairs of :func:`nearest_vectors` with at least this similarity."""
     return (

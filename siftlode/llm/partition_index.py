@@ -88,7 +88,7 @@ class Router:
     """A classifier with one hidden layer: vector to probabilities of the parts."""
 
     def __init__(self, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray):
-        self.w1, self.b1, self.w2, self.b2 = w1, b1, w2, b2
+        self.w1, self.b1, self.w2, self.b2 = (np.asarray(a, dtype=np.float32) for a in (w1, b1, w2, b2))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum(x @ self.w1 + self.b1, 0)
@@ -139,3 +139,65 @@ def fit_router(sample: np.ndarray, parts: int, k: int = GRAPH_K) -> Router:
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph.ravel()]), 1.0)
     target[np.arange(len(x)), label] += graph.shape[1]
     return Router.fit(x, target / target.sum(1, keepdims=True))
+
+
+class Index:
+    """Routers of all models: ``top`` by model, ``below`` by (model, part) where parts are cut again."""
+
+    #: Rows that are routed together.
+    BATCH = 1024
+
+    def __init__(self, top: dict[str, Router], below: dict[tuple, Router], width: int):
+        self.top, self.below, self.width = top, below, width
+
+    def homes(self, model: str, vectors: list) -> np.ndarray:
+        """The most probable part of the first level for each vector; 0 for vectors of another length than the router's."""
+        router = self.top[model]
+        d = router.w1.shape[0]
+        out = np.zeros(len(vectors), dtype=np.int32)
+        at = [i for i, v in enumerate(vectors) if len(v) == d]
+        if at:
+            out[at] = router.probabilities(unit(np.stack([np.asarray(vectors[i], dtype=np.float64) for i in at]))).argmax(1)
+        return out
+
+    def visits(self, model: str, raw: np.ndarray, mass: float, least: int) -> list[np.ndarray]:
+        """The parts that each row of ``raw`` visits, the most probable first: until they hold ``mass``, and at least ``least``.
+
+        A model without router, and rows of another length than its router's, have the one part 0.
+        """
+        router = self.top.get(model)
+        if router is None or router.w1.shape[0] != raw.shape[1]:
+            return [np.zeros(1, dtype=np.int32)] * len(raw)
+        x = unit(raw.astype(np.float64))
+        p = router.probabilities(x)
+        if not any(m == model for m, _ in self.below):
+            return _most(p, np.arange(p.shape[1], dtype=np.int32), mass, least)
+        out: list = [None] * len(raw)
+        home = p.argmax(1)
+        # rows of one home share their few probable parts, so each batch opens a few routers only
+        for h in np.unique(home):
+            rows = np.flatnonzero(home == h)
+            for i in range(0, len(rows), self.BATCH):
+                at = rows[i : i + self.BATCH]
+                order = np.argsort(-p[at], axis=1, kind="stable")
+                need = (np.cumsum(np.take_along_axis(p[at], order, 1), axis=1) < mass).sum(1) + 1
+                opened = np.zeros(p[at].shape, dtype=bool)
+                np.put_along_axis(opened, order, np.arange(p.shape[1])[None, :] < np.maximum(need, 2)[:, None], 1)
+                tables, names = [], []
+                for t in np.flatnonzero(opened.any(0)):
+                    sub = self.below.get((model, int(t)))
+                    q = sub.probabilities(x[at]) if sub is not None else np.ones((len(at), 1))
+                    tables.append(q * (p[at, t] * opened[:, t])[:, None])
+                    names.append(t * self.width + np.arange(q.shape[1]))
+                joint = np.concatenate(tables, axis=1)
+                joint /= joint.sum(1, keepdims=True)
+                for r, parts in zip(at, _most(joint, np.concatenate(names).astype(np.int32), mass, least)):
+                    out[r] = parts
+        return out
+
+
+def _most(p: np.ndarray, names: np.ndarray, mass: float, least: int) -> list[np.ndarray]:
+    order = np.argsort(-p, axis=1, kind="stable")
+    need = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < mass).sum(1) + 1
+    need = np.minimum(np.maximum(need, least), p.shape[1])
+    return [names[o[:n]] for o, n in zip(order, need)]
