@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.operators.ranking import spread_rank
@@ -10,12 +10,26 @@ from siftlode.plans.runtime import cut
 
 #: Constant of the published method (Cormack, Clarke, Buettcher 2009).
 RRF_K = 60
-#: Items of one group that are held together while candidates for the majority winner are knocked out.
+#: Challengers of one group that are held together while the last possible winner is sought.
 BLOCK = 1024
+#: Rows of one group up to which a group is ordered within a task.
+TASK_ROWS = 1_000_000
+
+
+def has_wide_group(rows: DataFrame, group: str, most: int = TASK_ROWS) -> bool:
+    """Whether any group has more than ``most`` rows: such data are ranked by :func:`spread_rank`. One count per group, of one column."""
+    return bool(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).limit(1).count())
+
+
+def _place(df: DataFrame, group: list[str], order: list[Column], out: str, ties: bool, wide: bool) -> DataFrame:
+    if wide:
+        return spread_rank(df, group, order, out, ties=ties)
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn(out, (F.rank() if ties else F.row_number()).over(w).cast("long"))
 
 
 def reciprocal_rank_fusion(
-    scores: DataFrame, group: str, item: str, k: int = RRF_K, weights: dict[str, float] | None = None
+    scores: DataFrame, group: str, item: str, k: int = RRF_K, weights: dict[str, float] | None = None, wide: bool = True
 ) -> DataFrame:
     """(group, item, places, rrf, fused_rank) from long rows (group, item, measure, score, tie).
 
@@ -23,7 +37,10 @@ def reciprocal_rank_fusion(
     place. Of several rows of an item in one measure the best counts. Rows with a null or NaN score and a
     null tie are no evidence: the item then lacks the measure; an item without any place still appears,
     last. ``places`` maps measure to place. Items of a group are numbered by (rrf desc, item); a null
-    group or item is left out. Groups may be of any size: places come from :func:`spread_rank`.
+    group or item is left out.
+
+    ``wide``: groups may be of any size, and places come from :func:`spread_rank`. Where :func:`has_wide_group` says
+    no, ``wide=False`` gives the same rows from one shuffle by group, which serves every step.
     """
     clean = scores.where(F.col(group).isNotNull() & F.col(item).isNotNull()).withColumn(
         "score", F.when(~F.isnan("score"), F.col("score"))
@@ -34,22 +51,21 @@ def reciprocal_rank_fusion(
     best = best.select(
         group, item, "measure", "b.score", "b.tie", (F.col("b.none") & (F.col("b.tie") == 2**62)).alias("none")
     )
-    order = [F.col("score").asc_nulls_last(), F.col("tie").asc()]
-    placed = spread_rank(best.where("not none"), [group, "measure"], order, "place")
+    # rows without evidence are ordered behind all others, so they do not shift a place, and get none
+    order = [F.col("none").asc(), F.col("score").asc_nulls_last(), F.col("tie").asc()]
+    placed = _place(best, [group, "measure"], order, "place", True, wide)
+    placed = placed.withColumn("place", F.when(~F.col("none"), F.col("place")))
     weight = F.lit(1.0)
     if weights is not None:
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("measure")], F.lit(0.0))
-    allrows = placed.select(group, item, "measure", "place").unionByName(
-        best.where("none").select(group, item, F.lit(None).cast("string").alias("measure"), F.lit(None).cast("long").alias("place"))
-    )
     entry = F.when(F.col("place").isNotNull(), F.struct("measure", "place"))
-    items = allrows.groupBy(group, item).agg(
+    items = placed.groupBy(group, item).agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("places"),
         # whole numbers make the sum free of the order of addition
         F.sum(F.coalesce(F.round(weight * 1e15 / (k + F.col("place"))).cast("long"), F.lit(0))).alias("units"),
     )
     items = items.withColumn("rrf", F.col("units") / F.lit(1e15)).drop("units")
-    return spread_rank(items, [group], [F.col("rrf").desc(), F.col(item).asc()], "fused_rank", ties=False)
+    return _place(items, [group], [F.col("rrf").desc(), F.col(item).asc()], "fused_rank", False, wide)
 
 
 def _ahead(x: Column, y: Column, measures: list[str]) -> Column:
@@ -63,26 +79,36 @@ def _ahead(x: Column, y: Column, measures: list[str]) -> Column:
     return total
 
 
-def majority_first(fused: DataFrame, group: str, item: str, measures: list[str], need: int) -> DataFrame:
-    """(group, item): the item ahead of every other item of its group in at least ``need`` measures.
+def majority_first(fused: DataFrame, group: str, item: str, measures: list[str], need: int, wide: bool = True) -> DataFrame:
+    """(group, item, decided): the item ahead of every other item of its group in at least ``need`` measures.
 
-    ``fused`` is the output of :func:`reciprocal_rank_fusion`. The fused order gives the candidate: along
-    it, a candidate that is not ahead of the next item cannot win and gives way to it, so only a winner
-    of all comparisons survives. This runs in blocks of bounded size, then over the block survivors, and
-    the last survivor is held against every item of its group. ``need`` must be more than half of the
-    measures. A group of one item is won by it; a group may have no winner.
+    ``fused`` is the output of :func:`reciprocal_rank_fusion`, whose order names the candidates. The leader of the
+    fused order is held against every item of its group; if it is ahead of all, it has won (decided = ``leader``).
+    Otherwise only the items that are ahead of the leader can still win. The next candidate is sought among
+    those alone, down the fused order: one that is not ahead of the next of them gives way to it. The last one
+    is held against every item too (decided = ``challenger``). ``need`` must be more than half of the
+    measures, so there is one winner at most; a group may have none. A group of one item is won by it.
+
+    ``wide`` as in :func:`reciprocal_rank_fusion`. Challengers are folded in blocks of bounded size.
     """
-    f = cut(
-        fused.select(
-            group, item, "fused_rank", F.struct(*[F.col("places")[m].alias(m) for m in measures]).alias("p")
-        )
-    )
-    blocks = f.withColumn("_b", F.floor((F.col("fused_rank") - 1) / BLOCK))
+    p = F.struct(*[F.col("places")[m].alias(m) for m in measures]).alias("p")
+    f = fused.select(group, item, "fused_rank", p)
+    if wide:
+        f = cut(f)
+        lead = f.where("fused_rank = 1").select(group, F.col("p").alias("lp"))
+        held = f.join(lead, group)
+    else:
+        # groups lie within a task already, so this adds no shuffle
+        held = f.withColumn("lp", F.min_by("p", "fused_rank").over(Window.partitionBy(group)))
+    held = held.withColumn("led", (F.col("fused_rank") == 1) | (_ahead(F.col("lp"), F.col("p"), measures) >= need))
+    rival = (_ahead(F.col("p"), F.col("lp"), measures) >= need) & (F.col("fused_rank") > 1)
+    blocks = held.where(rival).withColumn("_b", F.floor(F.col("fused_rank") / BLOCK))
+    typed = f"struct<fused_rank:bigint,{item}:string,p:struct<{','.join(m + ':bigint' for m in measures)}>>"
     # three levels hold a group of 2**30 items, each task at most BLOCK of them at a time
     for level in range(3):
         fold = F.reduce(
             F.array_sort(F.collect_list(F.struct("fused_rank", item, "p"))),
-            F.lit(None).cast(f"struct<fused_rank:bigint,{item}:string,p:struct<{','.join(m + ':bigint' for m in measures)}>>"),
+            F.lit(None).cast(typed),
             lambda acc, x: F.when(acc.isNotNull() & (_ahead(acc["p"], x["p"], measures) >= need), acc).otherwise(x),
         )
         blocks = (
@@ -91,14 +117,14 @@ def majority_first(fused: DataFrame, group: str, item: str, measures: list[str],
             .select(group, F.col("_b").alias("_r"), "w.*")
             .withColumn("_b", F.floor(F.col("_r") / BLOCK) if level < 1 else F.lit(0).cast("long"))
         )
-    last = blocks.select(F.col(group), F.col(item).alias("_w"), F.col("p").alias("_wp"))
-    beaten = _ahead(F.col("_wp"), F.col("p"), measures) >= need
-    return (
-        f.join(last, group)
-        .groupBy(group, F.col("_w").alias(item))
-        .agg(F.min(beaten | (F.col(item) == F.col("_w"))).alias("all_beaten"))
-        .where("all_beaten")
-        .select(group, item)
+    last = blocks.select(group, F.col(item).alias("_c"), F.col("p").alias("_cp"))
+    both = held.select(group, item, "fused_rank", "p", "led").join(last, group, "left")
+    beaten = F.col("_c").isNotNull() & ((F.col(item) == F.col("_c")) | (_ahead(F.col("_cp"), F.col("p"), measures) >= need))
+    won = both.groupBy(group).agg(
+        F.min("led").alias("led"), F.min(F.coalesce(beaten, F.lit(False))).alias("beaten"), F.min_by(item, "fused_rank").alias("_l"), F.first("_c", True).alias("_c")
+    )
+    return won.where("led or beaten").select(
+        group, F.when(F.col("led"), F.col("_l")).otherwise(F.col("_c")).alias(item), F.when(F.col("led"), "leader").otherwise("challenger").alias("decided")
     )
 
 

@@ -9,16 +9,29 @@ from siftlode.llm import credentials, fusion, licences, markup, mixing, neighbou
 from siftlode.plans.runtime import load
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(fusion.candidate_scores(load(spark, d, "ranked_candidates")), "query_id", "chunk_id")
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, bool]:
+    ranked = load(spark, d, "ranked_candidates")
+    wide = fusion.has_wide_group(ranked, "query_id")
+    scores = fusion.candidate_scores(ranked if wide else ranked.repartition("query_id"))
+    return fusion.reciprocal_rank_fusion(scores, "query_id", "chunk_id", wide=wide), wide
+
+
+def _winners(spark: SparkSession, d: str) -> DataFrame:
+    fused, wide = _fused(spark, d)
+    return fusion.majority_first(fused, "query_id", "chunk_id", fusion.MEASURES, 3, wide=wide)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.majority_first(_fused(spark, d), "query_id", "chunk_id", fusion.MEASURES, 3)
+    return _winners(spark, d).select("query_id", "chunk_id")
+
+
+def p2_decided(spark: SparkSession, d: str) -> DataFrame:
+    """How many queries the leader of the fused order wins, and how many a challenger."""
+    return _winners(spark, d).groupBy("decided").agg(F.count(F.lit(1)).alias("queries"))
 
 
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select("query_id", "chunk_id", "fused_rank", F.round("rrf", 9).alias("rrf"))
+    return _fused(spark, d)[0].select("query_id", "chunk_id", "fused_rank", F.round("rrf", 9).alias("rrf"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +42,11 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings"))
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The index against brute force: every hundredth vector asks, all can be found; the index with parts of 256 rows, so that it prunes at any size."""
+    return neighbours.recall(load(spark, d, "chunk_embeddings"), part_rows=256)
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return source_files.not_hand_written(load(spark, d, "artifact_files"))
 
@@ -98,23 +116,23 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p2_decided": p2_decided, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_recall": p3_recall, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
-ORACLE = {
-    "p2_found": _P2
-    + """, wide as (
+_RANKING = """, s as (select c.query_id, c.chunk_id, coalesce(sum(round(1e15 / (60 + place))::hugeint), 0) / 1e15 as r
+  from (select distinct query_id, chunk_id from ranked_candidates) c left join placed using (query_id, chunk_id) group by 1, 2),
+ranking as (select query_id, chunk_id, row_number() over (partition by query_id order by r desc, chunk_id) as fused_rank, round(r, 9) as rrf from s)"""
+_WINNER = """, wide as (
   select c.query_id, c.chunk_id, max(place) filter (measure = 'exact') as m1, max(place) filter (measure = 'bm25') as m2,
     max(place) filter (measure = 'vector') as m3, max(place) filter (measure = 'fused') as m4, max(place) filter (measure = 'rerank') as m5
-  from (select distinct query_id, chunk_id from ranked_candidates) c left join placed using (query_id, chunk_id) group by 1, 2)
-select query_id, chunk_id from wide x where not exists (
+  from (select distinct query_id, chunk_id from ranked_candidates) c left join placed using (query_id, chunk_id) group by 1, 2),
+winner as (select query_id, chunk_id from wide x where not exists (
   select 1 from wide y where y.query_id = x.query_id and y.chunk_id <> x.chunk_id and
     (coalesce(x.m1, 1000000000) < coalesce(y.m1, 1000000000))::int + (coalesce(x.m2, 1000000000) < coalesce(y.m2, 1000000000))::int
     + (coalesce(x.m3, 1000000000) < coalesce(y.m3, 1000000000))::int + (coalesce(x.m4, 1000000000) < coalesce(y.m4, 1000000000))::int
-    + (coalesce(x.m5, 1000000000) < coalesce(y.m5, 1000000000))::int < 3)
-""",
-    "p2_ranking": _P2
-    + """, s as (select c.query_id, c.chunk_id, coalesce(sum(round(1e15 / (60 + place))::hugeint), 0) / 1e15 as r
-  from (select distinct query_id, chunk_id from ranked_candidates) c left join placed using (query_id, chunk_id) group by 1, 2)
-select query_id, chunk_id, row_number() over (partition by query_id order by r desc, chunk_id) as fused_rank, round(r, 9) as rrf from s
-""",
+    + (coalesce(x.m5, 1000000000) < coalesce(y.m5, 1000000000))::int < 3))"""
+
+ORACLE = {
+    "p2_found": f"{_P2}{_WINNER} select query_id, chunk_id from winner",
+    "p2_ranking": f"{_P2}{_RANKING} select * from ranking",
+    "p2_decided": f"{_P2}{_RANKING}{_WINNER} select case fused_rank when 1 then 'leader' else 'challenger' end as decided, count(*) as queries from winner join ranking using (query_id, chunk_id) group by 1",
 }

@@ -32,7 +32,7 @@ def test_fusion_scale_free_and_ties(spark):
     assert got[1, "a"].rrf == pytest.approx(2 / 61, abs=1e-12) and got[1, "b"].places == got[1, "c"].places == {"exact": 2, "vector": 2}
     assert [got[1, c].fused_rank for c in "abc"] == [1, 2, 3] and got[2, "z"].rrf == 0
     empty = fusion.reciprocal_rank_fusion(fusion.candidate_scores(spark.createDataFrame([], RANKED)), "query_id", "chunk_id")
-    assert empty.count() == 0 and fusion.majority_first(empty, "query_id", "chunk_id", fusion.MEASURES, 3).count() == 0
+    assert empty.count() == 0 and all(fusion.majority_first(empty, "query_id", "chunk_id", fusion.MEASURES, 3, wide=w).count() == 0 for w in (True, False))
 
 
 def test_majority_winner_equals_brute_force(spark, monkeypatch):
@@ -52,8 +52,14 @@ def test_majority_winner_equals_brute_force(spark, monkeypatch):
         for x in items:
             if all(sum(big(score[x, m]) < big(score[y, m]) for m in fusion.MEASURES) >= 3 for y in items if y != x):
                 truth[q] = x
-    f = fusion.reciprocal_rank_fusion(spark.createDataFrame(data, "query_id long, chunk_id string, measure string, score double, tie long"), "query_id", "chunk_id")
-    assert dict(rows(fusion.majority_first(f, "query_id", "chunk_id", fusion.MEASURES, 3))) == truth
+    df = spark.createDataFrame(data, "query_id long, chunk_id string, measure string, score double, tie long")
+    for wide in (True, False):
+        f = fusion.reciprocal_rank_fusion(df, "query_id", "chunk_id", wide=wide)
+        first = {r.query_id: r.chunk_id for r in f.where("fused_rank = 1").collect()}
+        won = rows(fusion.majority_first(f, "query_id", "chunk_id", fusion.MEASURES, 3, wide=wide))
+        assert {q: x for q, x, _ in won} == truth and all((first[q] == x) == (how == "leader") for q, x, how in won)
+        assert {how for _, _, how in won} == {"leader", "challenger"}
+    assert not fusion.has_wide_group(df, "query_id") and fusion.has_wide_group(df, "query_id", 5)
 
 
 # most similar vectors
@@ -80,6 +86,37 @@ def test_neighbours_against_brute_force(spark):
     assert {(r.vec_id, r.other_id) for r in got if r.vec_id == 159} == {(159, i) for i in range(100, 105)}
     pairs = rows(neighbours.similar_pairs(spark.createDataFrame(got)))
     assert all(a < b for a, b in pairs)
+    df = spark.createDataFrame(data, VEC)
+    assert {(r.vec_id, r.other_id) for r in neighbours.nearest_vectors(df, exact=True).collect()} == want
+    # some fifteen parts, on one level and on two; the index prunes, and still finds nine of ten
+    for most in (128, 4):
+        few = {(r.vec_id, r.other_id) for r in neighbours.nearest_vectors(df, part_rows=60, max_parts=most).collect()}
+        assert len(want & few) / len(want) >= 0.9
+    r = neighbours.recall(df, every=10, part_rows=60, max_parts=4).first()
+    assert r.neighbours == 450 and r.recall >= 0.9
+
+
+def test_two_levels_prune():
+    from siftlode.llm.partition_index import Index, fit_router, unit
+
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(60, 12))
+    x = centre[rng.integers(0, 60, 3000)] + 0.15 * rng.normal(size=(3000, 12))
+    index = Index({"m": fit_router(x, 6)}, {}, 6)
+    home = index.homes("m", list(x))
+    index.below = {("m", int(t)): fit_router(x[home == t], 6) for t in np.unique(home)}
+    seen = index.visits("m", x.astype(np.float32), 0.99, 2)
+    own = np.array([v[0] for v in seen])
+    s = unit(x) @ unit(x).T
+    np.fill_diagonal(s, -1)
+    near = s.argmax(1)
+    assert np.mean([own[near[i]] in seen[i] for i in range(3000)]) > 0.95
+    assert len(np.unique(own)) > 20 and np.mean([len(v) for v in seen]) < 8
+    assert all(len(v) == 1 for v in index.visits("none", x[:3].astype(np.float32), 0.99, 2))
+
+
+def test_no_vectors(spark):
+    assert neighbours.recall(spark.createDataFrame([], VEC)).first().recall is None
     assert neighbours.nearest_vectors(spark.createDataFrame([], VEC)).count() == 0
 
 
@@ -391,6 +428,30 @@ def test_mixture(spark):
     assert e.count() == 0 and r.count() == 7
 
 
+def test_mixture_chances_grow_with_size(spark):
+    docs = [(i, "s", 10 if i % 2 else 40) for i in range(4000)] + [(9000, "one", 100), (9001, "huge", 100_000)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    # half of s; one text of which six tenths are wanted is nearer whole; of a huge one a hundredth is wanted
+    t = spark.createDataFrame([("m", "s", 50.0, 1), ("m", "r", 0.0, 1), ("n", "s", 100_000.0, 1), ("n", "one", 60.0, 1), ("o", "s", 100_000.0, 1), ("o", "huge", 1000.0, 1)], "mix_id string, source string, target_weight double, max_repeats int")
+    out = {(r.mix_id, r.doc_id) for r in mixing.mixture(d, t)[0].collect()}
+    assert ("n", 9000) in out and ("o", 9001) not in out
+    half = [{"mix_id": "h", "source": "s", "target_share": 1.0, "possible_share": 1.0, "max_repeats": 1, "whole": 0, "odds": 0.5, "quota": 50_000.0}]
+    c = mixing.scale_chances([(10.0, 20_000.0), (40.0, 80_000.0)], half[0]["quota"], 0.5)
+    assert c * 10**0.5 < c * 40**0.5 < 1 and 20_000 * c * 10**0.5 + 80_000 * c * 40**0.5 == pytest.approx(50_000, rel=1e-6)
+    assert mixing.scale_chances([(10.0, 5.0)], 9.0, 0.5) == float("inf") and mixing.scale_chances([], 9.0, 0.5) == 0
+
+
+def test_mixture_draws_large_texts_more_often(spark, monkeypatch):
+    docs = [(i, "s", 10 if i % 2 else 40) for i in range(4000)] + [(10_000 + i, "t", 10) for i in range(2500)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("m", "s", 2.0, 1), ("m", "t", 1.0, 1)], "mix_id string, source string, target_weight double, max_repeats int")
+    for power in (0.5, 0.0):
+        got = [r for r in mixing.mixture(d, t, power=power)[0].collect() if r.source == "s"]
+        small, large = sum(r.tokens == 10 for r in got), sum(r.tokens == 40 for r in got)
+        assert abs(sum(r.tokens for r in got) - 50_000) <= 20
+        assert 1.7 < large / small < 2.3 if power else 0.85 < large / small < 1.15
+
+
 # reading level
 
 
