@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from siftlode.plans.runtime import cut
 
+#: A text's chance to be drawn grows with this power of its size: 0 gives equal chances, 1 chances in proportion to size.
+SIZE_POWER = 0.5
+#: Size classes per doubling of size, in which the texts of a source are counted to scale the chances.
+CLASSES = 8
 #: Steps of the order statistic in which tokens are first added up; the step that holds the quota's end
 #: is then resolved row by row, so the number affects only speed.
 STEPS = 4096
@@ -53,15 +57,35 @@ def allocate(targets: list[dict], tokens: dict[str, int]) -> list[dict]:
     return out
 
 
-def mixture(sized: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def scale_chances(classes: list[tuple[float, float]], quota: float, power: float) -> float:
+    """The factor c for which texts with chances min(1, c * size**power) hold ``quota`` tokens on average.
+
+    ``classes``: (mean size, tokens) of each size class of a source. Where all texts together hold no more than the
+    quota, every chance is 1 (c is infinite).
+    """
+    if quota <= 0 or not classes:
+        return 0.0
+    if sum(t for _, t in classes) <= quota:
+        return math.inf
+    expected = lambda c: sum(min(1.0, c * m**power) * t for m, t in classes)
+    low, high = 0.0, max(1.0 / m**power for m, _ in classes)
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if expected(mid) < quota else (low, mid)
+    return high
+
+
+def mixture(sized: DataFrame, targets: DataFrame, seed: int = 1, power: float = SIZE_POWER) -> tuple[DataFrame, DataFrame]:
     """The mixture (mix_id, source, doc_id, tokens, copies) and its report per (mix_id, source).
 
     ``sized``: doc_id (unique), source, tokens. ``targets``: a small fixed table of mix_id, source,
     target_weight, max_repeats. Every text of a source gets its certain whole copies; the rest of the
-    source's quota is an unequal-probability sample of fixed size: texts are ordered by the odds of a
-    random number over their inclusion odds (a text larger than the quota has none) and taken until the
+    source's quota is an unequal-probability sample of fixed size: a text's inclusion probability grows with a
+    power of its size, scaled so that the source's texts hold the quota on average (certain texts, with
+    probability 1, come first, in random order). Texts are ordered by the odds of a random number over their inclusion odds, and
+    taken until the
     quota's tokens are reached, the last one if that is nearer. So the size misses its target by at most
-    half a text. Texts without copies, without source or of sources outside the mix have no row. The
+    half a text. A text of more than twice the quota could only miss it by more than no text does, so it has no chance. Texts without copies, without source or of sources outside the mix have no row. The
     order is cut by a histogram, never by sorting a source in one task.
     """
     spark = sized.sparkSession
@@ -70,15 +94,22 @@ def mixture(sized: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFr
     named = targets.select("source").distinct()
     totals = sized.join(F.broadcast(named), "source").groupBy("source").agg(F.sum("tokens").alias("t")).collect()
     plan_rows = allocate(wanted, {r["source"]: int(r["t"] or 0) for r in totals})
-    schema = "mix_id string, source string, target_share double, possible_share double, max_repeats int, whole int, odds double, quota double"
+    # some hundred size classes of the few sources named
+    step = F.floor(F.log2("tokens") * CLASSES)
+    held = sized.where("tokens > 0").join(F.broadcast(named), "source").groupBy("source", step.alias("c")).agg(F.avg("tokens").alias("m"), F.sum("tokens").alias("t")).collect()
+    for r in plan_rows:
+        own = [(float(h["m"]), float(h["t"])) for h in held if h["source"] == r["source"] and h["m"] <= 2 * r["quota"]]
+        r["scale"] = scale_chances(own, r["quota"], power)
+    schema = "mix_id string, source string, target_share double, possible_share double, max_repeats int, whole int, odds double, quota double, scale double"
     plan = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in plan_rows], schema)
     small = F.broadcast(plan)  # one row per row of the fixed target table
 
     u = (F.abs(F.xxhash64("doc_id", "mix_id", F.lit(seed)).cast("double")) + 0.5) / F.lit(2.0**63)
     u = F.least(u, F.lit(1 - 2.0**-53))
-    p = F.when(F.col("tokens") <= F.col("quota"), F.col("odds")).otherwise(0.0)
+    p = F.least(F.col("scale") * F.pow("tokens", F.lit(power)), F.lit(1.0))
     ratio = (u / (1 - u)) / (p / (1 - p))
-    drawn = sized.join(small, "source").withColumn("_q", F.when(p > 0, ratio / (1 + ratio)))
+    fit = (F.col("odds") > 0) & (F.col("tokens") > 0) & (F.col("tokens") <= 2 * F.col("quota"))
+    drawn = sized.join(small, "source").withColumn("_q", F.when(fit & (p >= 1), u - 1).when(fit, ratio / (1 + ratio)))
     drawn = drawn.withColumn("_step", F.floor(F.col("_q") * STEPS))
     sums = drawn.where("_q is not null").groupBy("mix_id", "source", "_step").agg(F.sum("tokens").alias("t"), F.max("quota").alias("quota"))
     upto = Window.partitionBy("mix_id", "source").orderBy("_step")  # at most STEPS rows each
