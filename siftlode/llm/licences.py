@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from siftlode.plans.runtime import cut, widen
 
-#: How often evidence of a kind names the licence that really applies (priors of the network).
-RELIABILITY = {"own": 0.98, "licence_file": 0.98, "manifest": 0.98, "near_licence_file": 0.60, "configured": 0.20}
+#: How often evidence of a kind names the licence that really applies.
+RELIABILITY = {"own": 0.98, "licence_file": 0.98, "manifest": 0.98, "near_licence_file": 0.60, "readme": 0.25, "configured": 0.20}
+#: Kinds that declare a licence, those first that speak for their subject itself; the others only shift the probability.
+OWN, DECLARING = ("own", "licence_file", "manifest"), ("own", "licence_file", "manifest", "near_licence_file")
+#: Prior probabilities that no licence applies and that contradictory ones do; the rest is spread over all licences.
+NONE, CONTRADICTION = 0.05, 0.05
 #: A posterior below this is no decision.
-DECIDED = 0.80
+DECIDED = 0.50
 #: Share of a licence's own word 4-grams that a licence file must hold, and the number a file header must.
 FILE_SHARE = 0.15
 HEADER_GRAMS = 8
@@ -22,16 +26,21 @@ HEADER_GRAMS = 8
 _COMMENT = re.compile(r"^[ \t]*(?://+!?|#+!?|/\*+!?|\*+/|\*+|--+|;+|<!--|%+|\"\"\"|''')?[ \t]*")
 _LINE_FORMS = re.compile(
     r"(?i)^(?:spdx-licen[cs]e-identifier\s*:?\s*|@licen[cs]e\s*:?\s+|__licen[cs]e__\s*=\s*|licen[cs]es?\s*[:=]\s*"
-    r"|terms of use\s*[-:]\s*|rights\s*:\s*)(?P<x>[^\n]{1,160})$"
+    r"|terms of use\s*[-:]\s*|rights\s*:\s*)(?P<x>[^\n]+)$"
 )
 _PROSE_FORMS = re.compile(
     r"(?i)\b(?:(?:licen[cs]ed|released|distributed|published|redistributed|provided|available|allowed|offered|use this (?:file|work|program)"
-    r"|by its makers)\b[^.;,¶]{0,60}?\bunder|covered by|subject to)\s+(?:the\s+terms\s+of\s+)?(?P<either>either\s+)?(?:the\s+)?"
+    r"|by its makers)\b[^.;,¶]*?\bunder|covered by|subject to)\s+(?:the\s+terms\s+of\s+)?(?P<either>either\s+)?(?:the\s+)?"
 )
 _GENERIC = re.compile(r"(?:[A-Z0-9][\w.+-]*|of|and|for)(?:\s+(?:[A-Z0-9][\w.+-]*|of|and|for|version|v?\d[\w.]*)){0,7}")
+_OR = re.compile(r"(?i)\s*,?\s+or\s+(?:the\s+|under\s+(?:the\s+)?)?")
 _LEGAL = re.compile(r"(?i)\b(?:licen[cs]e|terms|notice|agreement|conditions|eula)\b")
 
 
+def is_readme(path: str | None) -> bool:
+    return (path or "").rsplit("/", 1)[-1].lower().startswith("readme")
+
+
 def _plain(name: str) -> str:
     s = re.sub(r"(?i)\b(the|licen[cs]e|version|v)\b|[^a-z0-9.+]+", " ", name.lower())
     return " ".join(s.split()).strip(". ")
@@ -93,8 +102,7 @@ class LicenceBook:
         if not text:
             return []
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-        base = (path or "").rsplit("/", 1)[-1].lower()
-        if base.startswith("readme") or role == "documentation":
+        if is_readme(path) or role == "documentation":
             return []
         if role == "manifest":
             return self._manifest(text)
@@ -108,18 +116,17 @@ class LicenceBook:
                     out.add(e)
         flat = " ".join(x if x else "¶" for x in lines)
         for m in _PROSE_FORMS.finditer(flat):
-            rest = flat[m.end() : m.end() + 200]
-            first = self.name.match(rest)
+            first = self.name.match(flat, m.end())
             if first:
                 ids = {self.names[" ".join(first.group(0).lower().split())]}
-                second = re.match(r"(?i)\s*,?\s+or\s+(?:the\s+|under\s+(?:the\s+)?)?", rest[first.end() :])
+                second = _OR.match(flat, first.end())
                 if second:
-                    more = self.name.match(rest[first.end() + second.end() :])
+                    more = self.name.match(flat, second.end())
                     if more:
                         ids.add(self.names[" ".join(more.group(0).lower().split())])
                 out.add(" OR ".join(sorted(ids)))
             elif role != "license":
-                g = _GENERIC.match(rest)
+                g = _GENERIC.match(flat, m.end())
                 if g and _LEGAL.search(g.group(0)) and len(g.group(0).split()) > 1:
                     out.add(f"other:{_plain(g.group(0))}")
         hits: dict[str, set] = {}
@@ -134,7 +141,7 @@ class LicenceBook:
                 whole = {self.titles[x] for x in named if x in self.titles}
             if not whole and not out:
                 first = next((x for x in lines if x and not set(x) <= set("=-~ ") and x.lower() not in ("licence", "license")), "")
-                whole = {f"other:{_plain(first)[:60]}"} if first else set()
+                whole = {f"other:{_plain(first)}"} if first else set()
             out |= whole
         else:
             out |= {lid for lid, g in hits.items() if len(g) >= HEADER_GRAMS}
@@ -154,49 +161,67 @@ class LicenceBook:
         return sorted(out)
 
 
+def _beliefs(pieces: list[tuple[str, str]], states: int, contradictory: list[str], scope: list[str]) -> tuple[dict[str, float], float]:
+    """Joint weights of the named states (licences, ``none`` and ``conflict``), and of all licences that nobody named together."""
+    n = max(states, 2)
+    each = (1 - NONE - (CONTRADICTION if contradictory else 0)) / n
+    named = sorted({v for _, v in pieces} | set(scope))
+
+    def leaf(kind: str, value: str, truth: list[str]) -> float:
+        r = RELIABILITY[kind]
+        return r / len(truth) if value in truth else (1 - r) / max(n - len(truth), 1)
+
+    def held(truth: list[str]) -> float:
+        # a configured scope names one of its licences at its reliability, evenly
+        if not scope:
+            return 1.0
+        r = RELIABILITY["configured"]
+        inside = sum(t in scope for t in truth)
+        return r * inside / (len(scope) * len(truth)) if inside else (1 - r) / max(n - len(scope), 1)
+
+    def weight(prior: float, truth: list[str]) -> float:
+        w = prior * (held(truth) if truth else (1 - RELIABILITY["configured"]) / n if scope else 1.0)
+        for kind, value in pieces:
+            w *= leaf(kind, value, truth) if truth else (1 - RELIABILITY[kind]) / n
+        return w
+
+    out = {v: weight(each, [v]) for v in named}
+    out["none"] = weight(NONE, [])
+    if contradictory:
+        out["conflict"] = weight(CONTRADICTION, contradictory)
+    return out, max(n - len(named), 0) * weight(each, ["\0 nobody's"])
+
+
 def posterior(evidence: list[tuple[str, str]], states: int) -> tuple[str, float, bool]:
     """(licence, probability, contradiction) from (kind, licence) evidence.
 
-    A network of one hidden node, the licence that applies, and one leaf per piece of evidence: a leaf
-    names the true licence with its kind's reliability and any other with the rest, spread evenly.
-    Equal pieces of one kind count once. What a file says of itself screens off its surroundings: then a
-    licence file above it is no evidence for either side, it can only contradict. Without evidence the result is ``unknown``; where the best has
-    less than DECIDED of the weight of what was stated it is ``conflict``. Licences outside the book decide to ``unknown``. The probability is taken
-    over all ``states``, those that nobody named too, so a weak piece alone stays weak. Configured licences shift it, but they are no
-    declaration: they never decide, and :func:`licences` says where they contradict.
+    A Bayesian network of one hidden node, what applies: one of all ``states`` licences (known ones and unlisted
+    ones), none, or several that contradict each other; and one leaf per piece of evidence, which names
+    the true licence with its kind's reliability, one of the contradictory ones evenly, and any other with the rest.
+    Equal pieces of one kind count once. What can contradict is what the subject says of itself, or where it says
+    nothing, what the licence file above it says. The declarations decide: the best state of at least DECIDED
+    probability; with less, ``conflict`` where several licences are stated, else ``unknown``. A licence outside the
+    book, and none, are ``unknown``. The probability given is that of the decided state after all evidence,
+    readme and configuration too, so one weak piece alone stays weak, and an ``unknown`` without evidence is near its prior.
     """
-    scope = sorted({v for kind, v in evidence if kind == "configured"})
-    pieces = sorted({p for p in evidence if p[0] != "configured"})
-    if not pieces:
-        return "unknown", 0.0, False
+    pieces = sorted({p for p in evidence if p[0] in DECLARING})
     said = sorted({v for _, v in pieces})
-    if any(kind == "own" for kind, _ in pieces):
-        pieces = [p for p in pieces if p[0] == "own"]
-    values = sorted({v for _, v in pieces})
-    weight = {}
-    for s in values:
-        w = 1.0
-        for kind, v in pieces:
-            r = RELIABILITY[kind]
-            w *= r if v == s else (1 - r) / max(states - 1, 1)
-        weight[s] = w
-    total = sum(weight.values())
-    best = max(values, key=lambda s: (weight[s], s))
-    decided = total and weight[best] / total >= DECIDED
-    # the states that nobody stated: each piece named another one
-    missed = 1.0
-    for kind, _ in pieces:
-        missed *= (1 - RELIABILITY[kind]) / max(states - 1, 1)
-    # a scope names the true licence with the reliability of configuration, as one of its licences
-    r = RELIABILITY["configured"]
-    held, free = (r / len(scope), (1 - r) / max(states - len(scope), 1)) if scope else (1.0, 1.0)
-    full = {s: w * (held if s in scope else free) for s, w in weight.items()}
-    unseen = [s for s in scope if s not in weight]
-    rest = missed * (len(unseen) * held + max(states - len(values) - len(unseen), 0) * free)
-    p = full[best] / (sum(full.values()) + rest) if rest or any(full.values()) else 0.0
-    if not decided:
+    own = sorted({v for kind, v in pieces if kind in OWN}) or said
+    contradictory = own if len(own) > 1 else []
+    first, rest = _beliefs(pieces, states, contradictory, [])
+    total = sum(first.values()) + rest
+    best = max(sorted(first), key=lambda s: first[s])
+    if not pieces:
+        best = "none"
+    elif first[best] < DECIDED * total:
+        best = "conflict" if len(said) > 1 else "none"
+    soft = sorted({p for p in evidence if p[0] not in DECLARING and p[0] != "configured"})
+    scope = sorted({v for kind, v in evidence if kind == "configured"})
+    full, rest = _beliefs(sorted({*pieces, *soft}), states, contradictory, scope)
+    p = full.get(best, 0.0) / (sum(full.values()) + rest)
+    if best == "conflict":
         return "conflict", p, True
-    return ("unknown" if best.startswith("other:") else best), p, len(said) > 1
+    return ("unknown" if best == "none" or best.startswith("other:") else best), p, len(said) > 1
 
 
 def _configured(files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -232,29 +257,32 @@ def licence_book(license_texts: DataFrame) -> LicenceBook:
 
 
 def file_declarations(files: DataFrame, book: LicenceBook) -> DataFrame:
-    """(file_id, root, path, dir, role, declared array): one row per file; repeated rows count once, the last fetched holds."""
+    """(file_id, root, path, dir, role, declared array, mentioned array): one row per file; repeated rows count once, the last fetched holds."""
     shared = files.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["declared"] = [shared.value.declared(r, p, t) for r, p, t in zip(b["role"], b["path"], b["text"])]
-            yield b[["file_id", "root", "path", "role", "fetched_at", "declared"]]
+            # what a readme says is no declaration, but evidence
+            b["mentioned"] = [shared.value.declared("source", None, t) if is_readme(p) else [] for p, t in zip(b["path"], b["text"])]
+            yield b[["file_id", "root", "path", "role", "fetched_at", "declared", "mentioned"]]
 
     rows = files.where("file_id is not null").select(
         "file_id", F.col("root_identifier").alias("root"), "path", F.col("artifact_role").alias("role"), "text", "fetched_at"
     )
     kind = files.schema["fetched_at"].dataType.simpleString()
-    found = widen(rows).mapInPandas(run, f"file_id long, root string, path string, role string, fetched_at {kind}, declared array<string>")
-    last = F.max(F.struct("fetched_at", "path", "root", "role", "declared"))
-    one = found.groupBy("file_id").agg(last.alias("m")).select("file_id", "m.root", "m.path", "m.role", "m.declared")
+    found = widen(rows).mapInPandas(run, f"file_id long, root string, path string, role string, fetched_at {kind}, declared array<string>, mentioned array<string>")
+    last = F.max(F.struct("fetched_at", "path", "root", "role", "declared", "mentioned"))
+    one = found.groupBy("file_id").agg(last.alias("m")).select("file_id", "m.root", "m.path", "m.role", "m.declared", "m.mentioned")
     return one.withColumn("dir", F.regexp_replace(F.coalesce("path", F.lit("")), "/?[^/]*$", ""))
 
 
 def _decide(states: int):
     @F.pandas_udf("struct<license_id:string,probability:double,contradiction:boolean>")
     def f(e: pd.Series) -> pd.DataFrame:
-        out = [posterior([(x["kind"], x["value"]) for x in (v if v is not None else [])], states) for v in e]
-        return pd.DataFrame(out, columns=["license_id", "probability", "contradiction"])
+        keys = [tuple(sorted((x["kind"], x["value"]) for x in (v if v is not None else []))) for v in e]
+        known = {k: posterior(list(k), states) for k in set(keys)}
+        return pd.DataFrame([known[k] for k in keys], columns=["license_id", "probability", "contradiction"])
 
     return f
 
@@ -264,12 +292,13 @@ def _pieces(kind: str, values: str):
 
 
 def licences(files: DataFrame, license_texts: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(subject, subject_id, license_id, probability, contradiction) for every file and every root.
+    """(subject, subject_id, license_id, probability, contradiction, low_confidence, evidence) for every file and every root.
 
     File: what its own text declares, beside the licence files of the nearest directory at or above it,
     which hold less evidence and so decide only where the file is silent. Root: its top-level licence
     files and manifests. A null root is a root of its own without files above; a null or empty text
-    declares nothing; readme and documentation files declare nothing. With ``sources`` also configured_ids,
+    declares nothing; readme and documentation files declare nothing, though a root's readme is evidence for the
+    probability. ``low_confidence`` is a probability below DECIDED. With ``sources`` also configured_ids,
     configured_policies and configured_contradictions; the configured licences are evidence for the probability only.
     """
     book = licence_book(license_texts)
@@ -308,7 +337,8 @@ def licences(files: DataFrame, license_texts: DataFrame, sources: DataFrame | No
     )
     top = d.where((F.col("dir") == "") & F.col("role").isin("license", "manifest"))
     kind = F.when(F.col("role") == "license", "licence_file").otherwise("manifest")
-    said = top.select("root", kind.alias("kind"), F.explode("declared").alias("value")).distinct()
+    said = top.select("root", kind.alias("kind"), F.explode("declared").alias("value"))
+    said = said.unionByName(d.where("dir = ''").select("root", F.lit("readme").alias("kind"), F.explode("mentioned").alias("value"))).distinct()
     by_root = (
         d.select("root").distinct().where("root is not null")
         .join(said, "root", "left")
@@ -319,7 +349,8 @@ def licences(files: DataFrame, license_texts: DataFrame, sources: DataFrame | No
     both = by_file.unionByName(by_root)
     if sources is not None:
         both = both.join(_configured(files, sources), ["subject", "subject_id"], "left").withColumn("evidence", F.concat("evidence", F.coalesce(_pieces("configured", "configured_ids"), none)))
+    low = (F.col("r.probability") < DECIDED).alias("low_confidence")
     both = both.withColumn("r", _decide(states)("evidence"))
     if sources is not None:
-        return both.select("subject", "subject_id", "r.*", "evidence", "configured_ids", "configured_policies").withColumn("configured_contradictions", _contradicts())
-    return both.select("subject", "subject_id", "r.*", "evidence")
+        return both.select("subject", "subject_id", "r.*", low, "evidence", "configured_ids", "configured_policies").withColumn("configured_contradictions", _contradicts())
+    return both.select("subject", "subject_id", "r.*", low, "evidence")

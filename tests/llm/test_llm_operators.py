@@ -336,10 +336,20 @@ def test_licences(spark):
 
 def test_licences_beside_configuration(spark):
     # a weak piece alone stays weak, and configuration shifts it without deciding
-    assert licences.posterior([("near_licence_file", "A")], 5)[:2] == ("A", pytest.approx(0.6))
-    assert licences.posterior([("own", "A")], 5)[1] == pytest.approx(0.98)
+    near = licences.posterior([("near_licence_file", "A")], 5)
+    assert near[0] == "A" and 0.5 < near[1] < 0.65 and licences.posterior([("own", "A")], 5)[1] == pytest.approx(0.98, abs=0.01)
     low, high = (licences.posterior([("near_licence_file", "A"), ("configured", x)], 50) for x in "BA")
-    assert low[0] == high[0] == "A" and low[1] < 0.6 < high[1] and not low[2]
+    assert low[0] == high[0] == "A" and low[1] < near[1] < high[1] and not low[2]
+    # weak evidence alone decides nothing; several own declarations contradict each other whatever else agrees with one of them
+    assert licences.posterior([("configured", "A")], 13)[::2] == licences.posterior([("readme", "A")], 13)[::2] == licences.posterior([], 13)[::2] == ("unknown", False)
+    for pieces in ([("own", "A"), ("own", "B")], [("own", "A"), ("own", "B"), ("near_licence_file", "A")], [("licence_file", "A"), ("manifest", "A"), ("manifest", "B")], [("near_licence_file", "A"), ("near_licence_file", "B")], [("own", v) for v in "ABCD"]):
+        for n in (5, 13, 500):
+            assert licences.posterior(pieces, n)[::2] == ("conflict", True), (pieces, n)
+    strong, weak = licences.posterior([("own", "A"), ("near_licence_file", "A")], 13), licences.posterior([("own", "A"), ("near_licence_file", "B")], 13)
+    assert strong[:1] == weak[:1] == ("A",) and strong[1] > 0.99 > weak[1] > 0.9 and weak[2] and not strong[2]
+    for e in ([], [("own", "A")], [("own", "A"), ("own", "B"), ("near_licence_file", "C"), ("configured", "D"), ("readme", "A")]):
+        w, rest = licences._beliefs([p for p in e if p[0] != "configured"], 13, [v for k, v in e if k == "own"] if len(e) > 2 else [], ["D"])
+        assert min([*w.values(), rest]) > 0
     files = [lic_file(1, "r", "a.py", "source", "# SPDX-License-Identifier: GPLv3"), lic_file(2, "r", "b.py", "source", "x = 1"), lic_file(3, "q", "c.py", "source", "# SPDX-License-Identifier: MIT")]
     f = spark.createDataFrame(files, FILES).withColumn("source_id", F.when(F.col("file_id") == 3, "t").otherwise("s")).withColumn("license_policy_label", F.lit("allowed"))
     sources = spark.createDataFrame([("s", "unknown", ["MIT"], 1), ("t", "denied", ["MIT"], 1)], "source_id string, license_policy string, license_ids array<string>, updated_at int")
@@ -357,6 +367,14 @@ def test_title_behind_a_long_preamble():
     assert book.declared("license", "LICENSE", names + "\nsee the MIT License\n") == ["other:copyright 2010 holder 10"]
 
 
+def test_long_declaration_lines():
+    book = licences.LicenceBook(BOOK)
+    pad = "this work and its documentation " * 20
+    assert book.declared("source", "a.py", "# License: MIT" + " " * 400) == ["MIT"]
+    assert book.declared("source", "a.py", f"# {pad}is distributed {pad}under the MIT License") == ["MIT"]
+    assert book.declared("source", "README.md", "Licensed under the MIT License") == []
+
+
 # containers
 
 
