@@ -155,6 +155,62 @@ def test_not_hand_written(spark):
     assert source_files.not_hand_written(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_telling_phrases_without_lists(spark):
+    """Flags that are wrong for most files still tell which phrases stand in files that nobody wrote."""
+    rng = random.Random(8)
+    names = [f"n{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(400)]
+    files = []
+
+    def add(path, text, rate):
+        i = len(files)
+        flag = rng.random() < rate
+        files.append((i, f"r{i % 120}", path, "source", text, None, None, flag, False, None, "clash", 3))
+        return i
+
+    def body():
+        a, b, c = (rng.choice(names) for _ in range(3))
+        return f"def {a}({b}):\n    # keep the {c} in order\n    if {b} is None:\n        return {a}_{c}({rng.randint(0, 999)})\n    return {c}({b}, {a})\n"
+
+    table = lambda: "".join(f"var f{i} = desc({i}, 'n_{rng.randint(0, 9999)}', {i % 7});\n" for i in range(60))
+    known = {add("src/t.js", table(), 0.5) for _ in range(150)}
+    made = {add(f"src/{rng.choice(names)}.py", f"# written by machine from {rng.choice(names)}.spec\n" + body(), 0.5) for _ in range(120)}
+    placed = {add(f"lib/outland/{rng.choice(names)}.py", body(), 0.5) for _ in range(120)}
+    for _ in range(900):
+        add(f"src/{rng.choice(names)}.py", body(), 0.04)
+    for _ in range(100):  # mentions the banner
+        add(f"tools/{rng.choice(names)}.py", "# refuse what says written by machine from a spec\n" + body(), 0.04)
+    df = spark.createDataFrame(files, FILES)
+    got = {r.file_id: r.reason for r in source_files.not_hand_written(df, lists=False).collect()}
+    assert {i for i, r in got.items() if r == "generated"} == known
+    assert {i for i, r in got.items() if r == "marked"} == made | placed and set(got) == known | made | placed
+    told = {r.phrase for r in source_files.phrases_report(df).collect()}
+    assert any("written by machine from" in p for p in told) and any("outland" in p for p in told)
+    # without flags nothing can be learned, and nothing is guessed
+    bare = df.withColumn("generated", F.lit(None).cast("boolean"))
+    assert {r.file_id for r in source_files.not_hand_written(bare, lists=False).collect()} == known
+
+
+def test_small_copies_and_look_alikes(spark):
+    small = "import zeta\nzeta.go(alpha_one, 17)\n"
+    glob = "set -eu\nfor x in \"$a\"/*.tmp; do\n  echo $x\ndone\n"
+    css = ".a-b {\n  margin: 313px;\n  color: #201ef7;\n}\n\n.c-d {\n  margin: 227px;\n  color: #1122aa;\n}\n" * 3
+    data = [source(1, "a", "x/z.py", small * 2), source(2, "b", "y/z.py", small + small), source(3, "a", "s.sh", glob), source(4, "b", "t.sh", glob.replace("tmp", "log")), source(5, "a", "a.css", css), source(6, "c", "v.py", "VERSION = '1.2.3'\n")]
+    got = {r.file_id: r.reason for r in source_files.not_hand_written(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {1: "vendored", 2: "vendored"}
+    assert source_files.split_comments(glob)[1].count("echo") == 1
+
+
+def test_phrase_grammar():
+    lines = [f"keep the {w} in order".split() for w in "abcdefghij"] * 3 + [["keep", "the", "rest"]] * 9 + [[], ["one"]]
+    g = grammar.PhraseGrammar(lines, {"keep", "the", "in", "order", "rest"}, least=6)
+    for s in lines:
+        got = [w for x in g.parse(s) for w in g.words(x)]
+        assert got == grammar.symbol_classes(s, g.known)
+    assert [g.words(x) for x in g.parse("keep the q in order".split())] == [["keep", "the", "~", "in", "order"]]
+    assert len(g.parse(["keep", "the", "rest"])) == 1 and g.nested(g.parse(["keep", "the", "rest"])) <= g.named
+    assert grammar.PhraseGrammar([], set()).parse(["x"]) == [0] and grammar.PhraseGrammar([["a", "a", "a"]] * 9, {"a"}).rules == []
+
+
 @pytest.mark.parametrize("text", ["", "a", "abab" * 50, "aaaaaaaaaaaaaaaa", "abcdefgh", "the cat the dog the cat the dog ."])
 def test_repair_expands_to_its_input(text):
     seq = list(text)
@@ -501,7 +557,7 @@ def test_reading_levels(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_fill", "p9_shares", "p10_found", "p10_profile"])
+@pytest.mark.parametrize("name", ["p2_decided", "p3_found", "p3_recall", "p4_found", "p4_unlisted", "p5_found", "p6_found", "p7_found", "p8_fill", "p9_shares", "p10_found", "p10_profile"])
 def test_queries_run(spark, name):
     from siftlode.llm.queries import QUERIES
 
