@@ -7,17 +7,19 @@ import re
 
 #: Element names of HTML and of wiki extensions that count as tags; others are plain text.
 TAGS = (
-    "p|h[1-6]|ul|ol|li|table|thead|tbody|tr|td|th|div|span|em|i|b|u|s|strong|code|pre|a|br|hr|img|script|style|math|source"
+    "p|h[1-6]|ul|ol|li|table|thead|tbody|tr|td|th|div|span|em|i|b|u|s|strong|code|pre|a|br|hr|img|script|style|math"
     "|syntaxhighlight|ref|nowiki|sub|sup|blockquote|dl|dt|dd|section|article|nav|header|footer|main|body|html|head|title"
     "|small|tt|kbd|var|del|ins|figure|figcaption|cite|q|font|center|caption|gallery|references"
 )
-TAG = re.compile(rf"(?is)</?(?:{TAGS})(?=[\s/>])[^<>]*>")
+#: ``<source>`` without attributes or end is a word in brackets.
+TAG = re.compile(rf"(?is)</?(?:{TAGS})(?=[\s/>])[^<>]*>|<source\s+\w+\s*=[^<>]*>|</source\s*>")
 _COMMENT = re.compile(r"(?s)<!--.*?(?:-->|\Z)")
 ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _BRACED = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 
 _FENCE = re.compile(r"(?m)^ {0,3}(?P<f>`{3,}|~{3,})[ \t]*(?P<info>[^`\n]*)$")
-_CODE_TAG = re.compile(r"(?is)<(pre|source|syntaxhighlight)(?=[\s>])[^<>]*>(.*?)(?:</\1\s*>|\Z)")
+#: A code element that is never closed must begin its line.
+_CODE_TAG = re.compile(r"(?ism)<(pre|source|syntaxhighlight)(?=[\s>])[^<>]*>(.*?)</\1\s*>|^[ \t]*<(pre|source|syntaxhighlight)(?=[\s>])[^<>]*>(.*)\Z")
 _CODE_ENV = re.compile(r"(?s)\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}(?:\[[^\]\n]*\])?(?:\{\w+\}(?=\n))?(.*?)(?:\\end\{\1\}|\Z)")
 _FORMULAS = [
     re.compile(r"(?is)<script\b[^<>]*type\s*=\s*[\"']?math/tex[^<>]*>(.*?)</script\s*>"),
@@ -81,7 +83,7 @@ def inline(s: str) -> str:
     s = re.sub(r"[ \t]*\{#[\w:.-]+\}", "", s)
     s = re.sub(r"\\(?:label|ref|cite|footnote)\s*\{[^{}]*\}", "", s)
     s = re.sub(r"(?m)(?<![\\\w])%[ \t]+\S[^\n]*$", "", s)
-    for _ in range(3):
+    while True:
         t = re.sub(r"\\href\s*\{[^{}]*\}\s*" + _BRACED, r"\1", s)
         t = re.sub(rf"\\(?:{_TEX_WORDS})\*?\s*" + _BRACED, r"\1", t)
         t = re.sub(r"\{\\(?:itshape|bfseries|ttfamily|it|bf|tt|em|sc|sl|rm)\b[ \t]*((?:[^{}]|\{[^{}]*\})*)\}", r"\1", t)
@@ -122,28 +124,91 @@ def _fences(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def elements(text: str, style: str) -> tuple[list[tuple[str, int, str]], bool]:
-    """((element, position, clean text) in reading order, whether any markup was seen).
+class Page:
+    """A text with its code spans found, and its lines with their signs: what the page model looks at and what is read by its decisions.
 
-    ``style`` is the format of the page: it decides what a leading ``#`` or ``=`` means. Everything else is
-    told apart by its own delimiters. A page of style ``plain`` has no markup.
+    ``lines``: (structure, sign) per line: what the line's beginning may be, and the first sign of markup in it. Lines of
+    code spans have the sign of the span's delimiter in their first line only. ``blocks``: the line numbers between blank lines.
     """
-    if style == "plain":
-        return [], False
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    out: list[tuple[str, int, str]] = []
+
+    def __init__(self, text: str):
+        self.text = text = text.replace("\r\n", "\n").replace("\r", "\n")
+        #: (start, end, body, whether it is tagged)
+        self.code: list[tuple[int, int, str, bool]] = [(a, b, c, False) for a, b, c in _fences(text)]
+        free = _mask(text, [(a, b) for a, b, *_ in self.code], "\x02")
+        for pattern, tagged in ((_CODE_ENV, False), (_CODE_TAG, True)):
+            self.code += [(m.start(), m.end(), m[2] if m[1] else m[4], tagged) for m in pattern.finditer(free)]
+            free = _mask(free, [(a, b) for a, b, *_ in self.code], "\x02") if len(self.code) else free
+        self.free = free
+        raw, open_, first = text.split("\n"), free.split("\n"), set()
+        if self.code:
+            starts, at = {a for a, *_ in self.code}, 0
+            for n, x in enumerate(raw):
+                if any(at <= a <= at + len(x) for a in starts):
+                    first.add(n)
+                at += len(x) + 1
+        self.lines: list[tuple[str, str]] = []
+        self.blocks: list[list[int]] = []
+        now: list[int] = []
+        for n, (x, y) in enumerate(zip(raw, open_)):
+            masked = bool(self.code) and "\x02" in y and not y.replace("\x02", "").strip()
+            if masked:
+                self.lines.append(("code", signature(x) if n in first else "code"))
+            else:
+                self.lines.append((structure(y, open_[n + 1] if n + 1 < len(open_) else ""), signature(x)))
+            if x.strip() or masked:
+                now.append(n)
+            elif now:
+                self.blocks.append(now)
+                now = []
+        if now:
+            self.blocks.append(now)
+        for block in self.blocks:
+            # several such lines in one block are no strong sign of headings
+            if sum(self.lines[n][0] in ("hash", "hashes") for n in block) > 1:
+                for n in block:
+                    if self.lines[n][0] in ("hash", "hashes"):
+                        sign = self.lines[n][1]
+                        self.lines[n] = ("hash_run", "hash_run" if sign in ("hash", "md_head_strong") else sign)
+
+
+_STRUCTURES = [
+    ("wiki_head", _WIKI_HEAD), ("hash", re.compile(r"^ {0,3}#[ \t]+\S")), ("hashes", re.compile(r"^ {0,3}#{2,6}[ \t]+\S")), ("hash_tight", re.compile(r"^#+[^\s#]|^#{7,}|^[*#]*#[*#]*[ \t]*\S")),
+    ("star", re.compile(r"^\*[ \t]+\S")), ("star_in", re.compile(r"^[ \t]+\*[ \t]+\S")), ("stars", re.compile(r"^\*{2,}[ \t]+\S|^\*+[^\s*]")), ("dash", re.compile(r"^[ \t]*[-+][ \t]+\S")), ("number", re.compile(r"^[ \t]*\d{1,9}[.)][ \t]+\S")),
+    ("table", re.compile(r"^\s*\|.*\|\s*$")), ("indent", re.compile(r"^(?: {4}|\t)\S")),
+]
+
+
+def structure(line: str, following: str = "") -> str:
+    """What the beginning of a line may be in some format; ``underlined`` if the next line is a rule, ``text`` for nothing."""
+    if following and line.strip() and _SETEXT.match(f"{line}\n{following}"):
+        return "underlined"
+    for name, p in _STRUCTURES:
+        if p.match(line):
+            return name
+    return "text"
+
+
+#: What a line of a structure is in the formats that know it; elsewhere it is text.
+MEANING = {
+    "markdown": {"hash": "heading", "hash_run": "heading", "hashes": "heading", "underlined": "heading", "star": "list", "star_in": "list", "dash": "list", "number": "list", "code": "code"},
+    "wiki": {"wiki_head": "heading", "hash": "list", "hash_run": "list", "hashes": "list", "hash_tight": "list", "star": "list", "stars": "list", "code": "code"},
+    "html": {"code": "code"}, "latex": {"code": "code"}, "plain": {},
+}
+
+
+def elements(page: Page, kinds: list[str], continued: bool) -> tuple[list[tuple[str, int, int, str]], bool]:
+    """((element, start, end, clean text) in reading order, whether any markup was seen).
+
+    ``kinds``: what each line is: heading, list or another. It decides about the lines whose beginning has several
+    meanings; elements with delimiters of their own are read by these. ``continued``: indented lines belong to the list item before them.
+    """
+    text, free, code = page.text, page.free, page.code
+    out: list[tuple[str, int, int, str]] = []
     marked = False
-    code = [(a, b, c, False) for a, b, c in _fences(text)]
-    free = _mask(text, [(a, b) for a, b, *_ in code], "\x02")
-    for m in _CODE_ENV.finditer(free):
-        code.append((m.start(), m.end(), m[2], False))
-    free = _mask(free, [(a, b) for a, b, *_ in code], "\x02")
-    for m in _CODE_TAG.finditer(free):
-        code.append((m.start(), m.end(), m[2], True))
-    free = _mask(free, [(a, b) for a, b, *_ in code], "\x02")
-    for a, _, body, tagged in code:
+    for a, b, body, tagged in code:
         body = html.unescape(TAG.sub("", body)) if tagged else body
-        out.append(("code", a, squeeze(body)))
+        out.append(("code", a, b, squeeze(body)))
     masked = free
     for m in _COMMENT.finditer(masked):
         marked = True
@@ -152,60 +217,88 @@ def elements(text: str, style: str) -> tuple[list[tuple[str, int, str]], bool]:
     for p in _FORMULAS:
         for m in p.finditer(rest):
             body = m["x"] if "x" in p.groupindex else m[1]
-            out.append(("formula", m.start(), squeeze(html.unescape(body))))
+            out.append(("formula", m.start(), m.end(), squeeze(html.unescape(body))))
             rest = _mask(rest, [m.span()], "\x03")
 
     def piece(a: int, b: int) -> str:
         return inline(masked[a:b].replace("\x02", " "))
 
     taken: list[tuple[int, int]] = []
-    for m in _HTML_HEAD.finditer(rest):
-        out.append(("heading", m.start(), piece(*m.span(2))))
-        taken.append(m.span())
-    for m in _TEX_HEAD.finditer(rest):
-        out.append(("heading", m.start(), piece(*m.span(1))))
-        taken.append(m.span())
-    for m in _HTML_ITEM.finditer(rest):
-        out.append(("list_item", m.start(), piece(*m.span(1))))
-        taken.append(m.span())
-    for m in _TEX_ITEM.finditer(rest):
-        out.append(("list_item", m.start(), piece(*m.span(1))))
-        taken.append(m.span())
-    lines = _mask(rest, taken, "\x04")
-    heads: list[tuple[int, int]] = []
-    if style == "wiki":
-        for m in _WIKI_HEAD.finditer(lines):
-            out.append(("heading", m.start(), piece(*m.span(2))))
-            heads.append(m.span())
-    elif style == "markdown":
-        for m in _ATX_HEAD.finditer(lines):
-            out.append(("heading", m.start(), piece(*m.span(2))))
-            heads.append(m.span())
-        for m in _SETEXT.finditer(lines):
-            out.append(("heading", m.start(), piece(*m.span(1))))
-            heads.append(m.span())
-    lines = _mask(lines, heads, "\x04")
-    if style in ("wiki", "markdown"):
-        item = _WIKI_ITEM if style == "wiki" else _MD_ITEM
-        at, open_item = 0, None
-        for line in lines.split("\n"):
-            m = item.match(line)
+    for element, pattern, group in (("heading", _HTML_HEAD, 2), ("heading", _TEX_HEAD, 1), ("list_item", _HTML_ITEM, 1), ("list_item", _TEX_ITEM, 1)):
+        for m in pattern.finditer(rest):
+            out.append((element, m.start(), m.end(), piece(*m.span(group))))
+            taken.append(m.span())
+    lines = _mask(rest, taken, "\x04") if taken else rest
+    at, item = 0, None
+    under = False
+    for n, line in enumerate(lines.split("\n")):
+        end, kind, shape = at + len(line), kinds[n], page.lines[n][0]
+        m = None
+        if under:
+            under = False
+            at = end + 1
+            continue
+        if kind == "heading":
+            if shape == "underlined":
+                m = re.match(r"[ \t]{0,3}(\S.*)", line)
+                under = m is not None
+            else:
+                m = (_WIKI_HEAD if shape == "wiki_head" else _ATX_HEAD).match(line)
             if m:
-                if open_item:
-                    out.append(("list_item", open_item[0], piece(*open_item[1:])))
-                open_item = (at, at + m.start(1), at + m.end(1))
-            elif open_item and line[:1] in (" ", "\t") and line.strip(" \t\x02\x04") and style == "markdown":
-                open_item = (open_item[0], open_item[1], at + len(line))
-            elif open_item:
-                out.append(("list_item", open_item[0], piece(*open_item[1:])))
-                open_item = None
-            at += len(line) + 1
-        if open_item:
-            out.append(("list_item", open_item[0], piece(*open_item[1:])))
+                out.append(("heading", at, end, piece(*(at + x for x in m.span(m.lastindex if shape != "wiki_head" else 2)))))
+        elif kind == "list":
+            m = (_WIKI_ITEM if line[:1] in "*#" else _MD_ITEM).match(line)
+        if item and (m or not (line[:1] in (" ", "\t") and line.strip(" \t\x02\x04") and continued)):
+            out.append(("list_item", item[0], item[2], piece(*item[1:])))
+            item = None
+        if m and kind == "list":
+            item = (at, at + m.start(1), at + m.end(1))
+        elif item:
+            item = (item[0], item[1], end)
+        at = end + 1
+    if item:
+        out.append(("list_item", item[0], item[2], piece(*item[1:])))
     marked = marked or bool(out) or has_inline(masked)
     return sorted(out, key=lambda x: x[1]), marked
 
 
+def clean_blocks(page: Page, found: list[tuple[str, int, int, str]]) -> list[tuple[str, str]]:
+    """(kind, clean text) of the whole page in reading order: headings, list items, code blocks with their lines, and paragraphs.
+
+    Formulas stay in the text around them, in their inner notation.
+    """
+    bodies = {a: (html.unescape(TAG.sub("", body)) if tagged else body) for a, _, body, tagged in page.code}
+    out: list[tuple[str, str]] = []
+
+    def prose(a: int, b: int) -> None:
+        part = page.text[a:b]
+        for p in _FORMULAS[2:3] + _FORMULAS[5:6]:  # a formula's blank lines end no paragraph
+            part = p.sub(lambda m: re.sub(r"\n[ \t]*(?=\n)", "", m[0]), part)
+        for x in re.split(r"\n[ \t]*\n|(?i:</p\s*>|</?[uo]l(?=[\s>])[^<>]*>|</tr\s*>)", part):
+            clean = inline(_LAYOUT.sub(" ", x))
+            if clean:
+                out.append(("paragraph", clean))
+
+    at = 0
+    for element, a, b, clean in found:
+        if element == "formula" or a < at:
+            continue
+        prose(at, a)
+        if element == "code":
+            out.append(("code", "\n".join(x.rstrip() for x in bodies[a].strip("\n").split("\n")).strip("\n")))
+        elif clean:
+            out.append((element, clean))
+        at = b
+        if element == "heading":
+            rule = re.match(r"\n {0,3}(?:={3,}|-{3,})[ \t]*(?=\n|\Z)", page.text[at:])
+            at += rule.end() if rule else 0
+    prose(at, len(page.text))
+    return out
+
+
+_LAYOUT = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]\n]*\])?|(?m:^ {0,3}(?:[-*_] ?){3,}$)|(?m:^\{\|.*$|^\|\}.*$|^\|-.*$)")
+
+
 def has_inline(text: str) -> bool:
     """Whether a text holds inline markup of any of the formats."""
     return bool(
@@ -232,7 +325,7 @@ def clean_path_entry(entry: str) -> str | None:
 _SIGNS = [
     ("html_block", re.compile(rf"(?i)</?(?:p|h[1-6]|ul|ol|li|table|div|span|em|i|b|strong|a|img)(?=[\s/>])|<script\b|<pre[\s>]<code|<pre class|<h[1-6]$")),
     ("wiki_head", re.compile(r"^(={2,6})[^=].*\1\s*$")),
-    ("wiki_inline", re.compile(r"'''?[^'\s]|\[\[|\{\{[^{}]*\}\}|\[https?://\S+|__(?:NO|FORCE|TOC)|<(?:ref|math|source|syntaxhighlight)(?=[\s>/])")),
+    ("wiki_inline", re.compile(r"'''?[^'\s]|\[\[|\{\{[^{}]*\}\}|\[https?://\S+|__(?:NO|FORCE|TOC)|<(?:ref|math)(?=[\s>/])|^\s*<(?:source|syntaxhighlight)(?=[\s>])|</(?:source|syntaxhighlight)\s*>")),
     ("tex", _TEX_MARK),
     ("md_fence", re.compile(r"^ {0,3}(?:`{3,}|~{3,})")),
     ("setext", re.compile(r"^ {0,3}(?:={3,}|-{3,})[ \t]*$")),

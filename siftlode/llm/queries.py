@@ -76,6 +76,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(load(spark, d, "extraction_candidates"))
 
 
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_documents(load(spark, d, "extraction_candidates"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return licences.licences(load(spark, d, "artifact_files"), load(spark, d, "license_texts")).select("subject", "subject_id", "license_id")
 
@@ -125,7 +129,7 @@ best as (select query_id, chunk_id, measure, min(score) as score,
 placed as (select *, rank() over (partition by query_id, measure order by score, tie) as place from best)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p2_decided": p2_decided, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_recall": p3_recall, "p4_found": p4_found, "p4_report": p4_report, "p4_phrases": p4_phrases, "p4_unlisted": p4_unlisted, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
+QUERIES = {"p2_found": p2_found, "p2_ranking": p2_ranking, "p2_decided": p2_decided, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_recall": p3_recall, "p4_found": p4_found, "p4_report": p4_report, "p4_phrases": p4_phrases, "p4_unlisted": p4_unlisted, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_report": p7_report, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _RANKING = """, s as (select c.query_id, c.chunk_id, coalesce(sum(round(1e15 / (60 + place))::hugeint), 0) / 1e15 as r
   from (select distinct query_id, chunk_id from ranked_candidates) c left join placed using (query_id, chunk_id) group by 1, 2),

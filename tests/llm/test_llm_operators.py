@@ -346,19 +346,57 @@ def test_markup_elements(spark):
     assert markup.clean_markup(spark.createDataFrame([], MARKED)).count() == 0
 
 
-def test_tree_marginals_are_probabilities():
-    m = markup.PageModel({("root", "markdown", "", ""): 3.0, ("kind", "markdown", "list", ""): 3.0, ("sign", "markdown", "list", "bullet_md"): 3.0})
-    f, k = m.marginals([["bullet_md", "bullet_md"], ["text"]])
-    assert f.sum() == pytest.approx(1) and k.sum(1) == pytest.approx([1, 1]) and markup.FORMATS[int(f.argmax())] == "markdown"
-    # brute force over all assignments of the same tree
-    tot = np.zeros(len(markup.FORMATS))
-    for i in range(len(markup.FORMATS)):
-        p = np.exp(m.root[i])
-        for block in ([m.sign["bullet_md"]] * 2, [m.sign["text"]]):
-            p *= sum(np.exp(m.mid[i, j]) * np.prod([np.exp(m.leaf[i, j, s]) for s in block]) for j in range(len(markup.KINDS)))
-        tot[i] = p
-    assert f == pytest.approx(tot / tot.sum())
+def test_tree_marginals_equal_brute_force():
+    pages = [markup_parse.Page(x) for x in ("## Head\n\n- one **b**\n- two\n\ntext", "== Head ==\n\n# one\n# two\n\ntext [[x]]", "just text\nand more", "* a `b`\n* c", "* a ''b''\n** c", *["# Head\n\ntext **b** and `c`"] * 5, *["# one\n\ntext ''b'' and [[c]]"] * 5)]
+    counts = {}
+    for p in pages:
+        for k, n in markup.page_counts(p).items():
+            counts[k] = counts.get(k, 0) + float(n)
+    m = markup.PageModel(counts)
+    tree = [[("hash_run", "text"), ("hash_run", "md_inline")], [("text", "text")]]
+    f, kinds = m.marginals(tree)
+    # every assignment of a format, of a kind to each block and of a kind to each line
+    lines = [x for b in tree for x in b]
+    of = [i for i, b in enumerate(tree) for _ in b]
+    total, by_format, by_line = 0.0, np.zeros(len(markup.FORMATS)), np.zeros((len(lines), len(markup.LINES)))
+    for fmt in range(len(markup.FORMATS)):
+        for blocks in itertools.product(range(len(markup.KINDS)), repeat=len(tree)):
+            for kind in itertools.product(range(len(markup.LINES)), repeat=len(lines)):
+                p = m.root[fmt] * np.prod([m.mid[fmt, k] for k in blocks])
+                for (s, g), b, k in zip(lines, of, kind):
+                    p *= m.low[fmt, blocks[b], k] * m._at("structure", s)[fmt, k] * m._at("sign", g)[fmt, 0]
+                total += p
+                by_format[fmt] += p
+                for i, k in enumerate(kind):
+                    by_line[i, k] += p
+    assert f == pytest.approx(by_format / total) and np.concatenate(kinds) == pytest.approx(by_line / total)
+    # the same lines are headings or list items as the rest of the page says; alone they cannot be told
+    for rest, want in (("text **b** and `c`", "heading"), ("text ''b'' and [[c]]", "list")):
+        page = markup_parse.Page("# a\n\n" + rest)
+        assert m.decide(page)[1][0] == want
+    assert m.decide(markup_parse.Page("# a\n\ntext **b**"), messages=False)[0] == m.decide(markup_parse.Page("# a\n\ntext [[b]]"), messages=False)[0]
+    assert m.marginals([])[0] == pytest.approx(m.root)
+
+
+def test_inline_markup_of_any_depth():
     assert markup_parse.inline("a **b** [c](d) &amp; \\textbf{e} ''f'' `g`") == "a b c & e f g"
+    deep = "x"
+    for i in range(6):
+        deep = f"\\{('emph', 'textbf')[i % 2]}{{{deep}}}"
+    assert markup_parse.inline(f"a {deep} b") == "a x b"
+
+
+def test_clean_documents(spark):
+    md = "## Top\n\nText *here* with $a_1$.\nMore.\n\n* one\n* two\n\n```py\nx = 1\n  y\n```\nEnd."
+    ht = "<h2>Head &amp; x</h2><p>one <b>two</b></p><p>three</p><ul><li>a</li></ul><pre>p &lt; q\n  r</pre>"
+    filler = [page(100 + i, x) for i, x in enumerate([md, ht, "Plain text.\n\nMore text."] * 5)]
+    data = [page(1, md, ["## A", "b", None]), page(2, ht), page(3, "Plain a < b.\n\nNext * one."), page(4, None), page(5, ""), *filler]
+    got = {r.candidate_id: ([tuple(x) for x in r.blocks], r.heading_path, r.clean_text) for r in markup.clean_documents(spark.createDataFrame(data, MARKED)).collect()}
+    assert got[1][0] == [("heading", "Top"), ("paragraph", "Text here with a_1. More."), ("list_item", "one"), ("list_item", "two"), ("code", "x = 1\n  y"), ("paragraph", "End.")]
+    assert got[1][1] == ["A", "b", ""] and got[1][2].startswith("Top\nText here")
+    assert got[2][0] == [("heading", "Head & x"), ("paragraph", "one two"), ("paragraph", "three"), ("list_item", "a"), ("code", "p < q\n  r")]
+    assert got[3][0] == [("paragraph", "Plain a < b."), ("paragraph", "Next * one.")] and got[4][0] == got[5][0] == []
+    assert len(got) == 5 + len(filler)
 
 
 # licences
@@ -557,7 +595,7 @@ def test_reading_levels(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["p2_decided", "p3_found", "p3_recall", "p4_found", "p4_unlisted", "p5_found", "p6_found", "p7_found", "p8_fill", "p9_shares", "p10_found", "p10_profile"])
+@pytest.mark.parametrize("name", ["p2_decided", "p3_found", "p3_recall", "p4_found", "p4_unlisted", "p5_found", "p6_found", "p6_clean", "p7_found", "p8_fill", "p9_shares", "p10_found", "p10_profile"])
 def test_queries_run(spark, name):
     from siftlode.llm.queries import QUERIES
 
