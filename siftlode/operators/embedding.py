@@ -80,6 +80,30 @@ def finish(claimed: DataFrame, now: Column) -> DataFrame:
     ).drop("_s", "_a")
 
 
+def run_pass(jobs: DataFrame, chunks: DataFrame, vectors: DataFrame, provider: tuple[str, str, int], batch: int, now: Column) -> tuple[DataFrame, DataFrame]:
+    """One pass of the worker: (all jobs after it, all vectors after it).
+
+    ``jobs``: id, chunk_id, sanitized_content_hash, embedding_model_id, index_version_id, status, attempt_count,
+    next_retry_at, created_at; ``vectors``: id, chunk_id, embedding_model_id, index_version_id, sanitized_content_hash, vector, is_active.
+    The due jobs are claimed (at most ``batch``), the texts of those whose hash is still the chunk's are embedded by
+    ``provider`` (profile, model, dimensions), and the vectors put in place of the chunk's older ones. A chunk that is
+    gone or has another hash cancels its job; one without a usable text is an error and is retried.
+    """
+    due = claim(jobs, batch, now)
+    own = chunks.select("chunk_id", F.col("sanitized_content_hash").alias("_now"), embeddable().alias("_fit"))
+    same = F.col("_now").eqNullSafe(F.col("sanitized_content_hash"))
+    outcome = F.when(~F.coalesce(same, F.lit(False)) | F.col("_now").isNull(), "changed").when(F.coalesce("_fit", F.lit(False)), "ok").otherwise("error")
+    # a batch of jobs, so the chunks are joined to it by broadcast
+    tried = own.join(F.broadcast(due), "chunk_id", "right").withColumn("outcome", outcome)
+    done = finish(tried, now)
+    made = tried.where("outcome = 'ok'").select(
+        embedding_id(F.col("chunk_id"), F.col("embedding_model_id"), F.col("index_version_id"), F.col("sanitized_content_hash")).alias("id"), "chunk_id",
+        "embedding_model_id", "index_version_id", "sanitized_content_hash", hash_embedding(F.col("sanitized_content_hash"), *provider).alias("vector"), F.lit(True).alias("is_active"),
+    )
+    rest = jobs.join(F.broadcast(due.select("id")), "id", "left_anti")
+    return rest.unionByName(done.select(*jobs.columns)), upsert_vectors(vectors, made)
+
+
 def active_vectors(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     """Vectors with is_active set anew: only those whose hash is the present one of their chunk stay active."""
     now = chunks.select("chunk_id", F.col("sanitized_content_hash").alias("_now"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlode.operators import extract as X
 from siftlode.plans.corpus import candidates
 from siftlode.plans.runtime import load, parallelism
+from siftlode.sources import config as C
 from siftlode.streaming.increments import windowed_counts
 
 
@@ -63,9 +64,8 @@ def safe_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "sources").select(
-        "source_id", "source_type", "url", "local_path", "extractor_profile", "source_priority", "visibility_label", "corpus_eligibility", "sensitivity_class", "license_policy", "enabled"
-    )
+    """The catalog operator over the fixed table of sources, read as configuration."""
+    return C.source_catalog(spark, [r.asDict() for r in load(spark, d, "sources").collect()])
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,7 @@ select file_id, k as key, json_extract_string(v, '$') as text from v where json_
     "markdown_headings": r"""with f as (select distinct file_id, text from artifact_files where artifact_role not in ('source') and (path like '%.md' or path like '%.MD')), l as (select file_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line from f)
 select file_id, count(*) as headings from l where regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)') or regexp_matches(line, '^=+[ \t]*$') group by 1""",
     "safe_metadata": """select distinct candidate_id, candidate_type, 'sha256:' || sha256(text) as text_hash, 'sha256:' || sha256(signature_text) as signature_hash from (select *, row_number() over (partition by candidate_id order by extracted_at desc) as rn from extraction_candidates) where rn = 1""",
-    "source_catalog": "select source_id, source_type, url, local_path, extractor_profile, source_priority, visibility_label, corpus_eligibility, sensitivity_class, license_policy, enabled from sources",
+    "source_catalog": """select source_id, source_type, null::varchar[] as tracked_refs, null::varchar as version_strategy, extractor_profile, source_priority, visibility_label, corpus_eligibility,
+  sensitivity_class, license_policy, null::varchar as refresh_cadence, enabled from sources""",
     "event_windows": "select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n from events group by 1, 2",
 }

@@ -182,29 +182,6 @@ plan as (select root_identifier, snapshot_seq, path, b.checksum as checksum, a.c
    from a full join b using (root_identifier, snapshot_seq, path))"""
 
 
-def _plan(spark: SparkSession, d: str) -> DataFrame:
-    s = _snapshots(spark, d)
-    prev = s.where("snapshot_seq = 1").withColumn("live", F.lit(True))
-    return N.plan_snapshot(prev, s.where("snapshot_seq = 2"), ["root_identifier", "path"], ["checksum", "extractor_profile", "corpus_eligibility_label"])
-
-
-def snapshot_plan(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d).select("root_identifier", "path", "status", "checksum", "previous_checksum")
-
-
-def ingestion_counters(spark: SparkSession, d: str) -> DataFrame:
-    return N.plan_counts(_plan(spark, d), ["root_identifier"])
-
-
-def tombstone_absent(spark: SparkSession, d: str) -> DataFrame:
-    s = _snapshots(spark, d)
-    stored = s.where("snapshot_seq = 1").select(
-        "root_identifier", "path", F.lit(True).alias("is_current"), F.lit(None).cast("timestamp").alias("tombstoned_at"), F.lit(None).cast("string").alias("tombstone_reason")
-    )
-    t = N.tombstone_absent(stored, s.where("snapshot_seq = 2"), ["root_identifier", "path"], F.lit("2024-01-01 00:00:00").cast("timestamp"), "absent_from_snapshot")
-    return t.select("root_identifier", "path", "is_current", "tombstone_reason")
-
-
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     """The files of every complete delivered snapshot, with its number and the root's next one (next_seq, null for the last).
 
@@ -227,19 +204,19 @@ def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _plan_all(spark: SparkSession, d: str) -> DataFrame:
+def _plan(spark: SparkSession, d: str) -> DataFrame:
     return N.plan_sequence(_deliveries(spark, d), ["root_identifier", "path"], ["checksum", "extractor_profile", "corpus_eligibility_label"])
 
 
-def snapshot_plan_all(spark: SparkSession, d: str) -> DataFrame:
-    return _plan_all(spark, d).select("root_identifier", "snapshot_seq", "path", "status", "checksum", "previous_checksum")
+def snapshot_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d).select("root_identifier", "snapshot_seq", "path", "status", "checksum", "previous_checksum")
 
 
-def ingestion_counters_all(spark: SparkSession, d: str) -> DataFrame:
-    return N.plan_counts(_plan_all(spark, d), ["root_identifier", "snapshot_seq"])
+def ingestion_counters(spark: SparkSession, d: str) -> DataFrame:
+    return N.plan_counts(_plan(spark, d), ["root_identifier", "snapshot_seq"])
 
 
-def tombstone_absent_all(spark: SparkSession, d: str) -> DataFrame:
+def tombstone_absent(spark: SparkSession, d: str) -> DataFrame:
     t = N.tombstone_sequence(_deliveries(spark, d), ["root_identifier", "path"], "absent_from_snapshot")
     return t.select("root_identifier", "snapshot_seq", "path", "is_current", "tombstone_reason")
 
@@ -361,23 +338,11 @@ from cand group by 1, 2""",
 w as (select doc_id, t, unnest(range(0, case when length(t) <= 1200 then 1 else ceil((length(t) - 1200) / 1080.0)::int + 1 end)) as i from t),
 p as (select doc_id, i, {_TRIM.format('substr(t, i * 1080 + 1, 1200)')} as piece from w)
 select doc_id, i::int as ordinal, length(piece)::int as chars, md5(piece) as digest from p""",
-    "snapshot_plan": f"""with {_SNAPSHOTS}, a as (select * from snap where snapshot_seq = 1), b as (select * from snap where snapshot_seq = 2)
-select root_identifier, path, case when a.snapshot_seq is null then 'added' when b.snapshot_seq is null then 'tombstoned'
-  when a.checksum is not distinct from b.checksum and a.extractor_profile is not distinct from b.extractor_profile and a.corpus_eligibility_label = b.corpus_eligibility_label then 'unchanged' else 'changed' end as status,
-  b.checksum as checksum, a.checksum as previous_checksum from a full join b using (root_identifier, path)""",
-    "ingestion_counters": f"""with {_SNAPSHOTS}, a as (select * from snap where snapshot_seq = 1), b as (select * from snap where snapshot_seq = 2),
-x as (select root_identifier, case when a.snapshot_seq is null then 'added' when b.snapshot_seq is null then 'tombstoned'
-  when a.checksum is not distinct from b.checksum and a.extractor_profile is not distinct from b.extractor_profile and a.corpus_eligibility_label = b.corpus_eligibility_label then 'unchanged' else 'changed' end as s
- from a full join b using (root_identifier, path))
-select root_identifier, count(*) filter (s = 'added') as added_artifacts, count(*) filter (s = 'changed') as changed_artifacts, count(*) filter (s = 'unchanged') as unchanged_artifacts, count(*) filter (s = 'tombstoned') as tombstoned_artifacts from x group by 1""",
-    "tombstone_absent": f"""with {_SNAPSHOTS}, b as (select root_identifier, path, 1 as here from snap where snapshot_seq = 2)
-select s.root_identifier, s.path, here is not null as is_current, case when here is null then 'absent_from_snapshot' end as tombstone_reason
-from snap s left join b using (root_identifier, path) where snapshot_seq = 1""",
-    "snapshot_plan_all": f"with {_DELIVERIES} select root_identifier, snapshot_seq, path, status, checksum, previous_checksum from plan",
-    "ingestion_counters_all": f"""with {_DELIVERIES} select root_identifier, snapshot_seq, count(*) filter (status = 'added') as added_artifacts,
+    "snapshot_plan": f"with {_DELIVERIES} select root_identifier, snapshot_seq, path, status, checksum, previous_checksum from plan",
+    "ingestion_counters": f"""with {_DELIVERIES} select root_identifier, snapshot_seq, count(*) filter (status = 'added') as added_artifacts,
   count(*) filter (status = 'changed') as changed_artifacts, count(*) filter (status = 'unchanged') as unchanged_artifacts, count(*) filter (status = 'tombstoned') as tombstoned_artifacts
 from plan group by 1, 2""",
-    "tombstone_absent_all": f"""with {_DELIVERIES} select a.root_identifier, a.snapshot_seq, a.path, b.here is not null as is_current,
+    "tombstone_absent": f"""with {_DELIVERIES} select a.root_identifier, a.snapshot_seq, a.path, b.here is not null as is_current,
   case when b.here is null then 'absent_from_snapshot' end as tombstone_reason from a left join b using (root_identifier, snapshot_seq, path)""",
     "current_version_flip": """with s as (select distinct snapshot_id, root_identifier, snapshot_seq, received_at from source_snapshots)
 select snapshot_id, root_identifier, row_number() over (partition by root_identifier order by snapshot_seq desc, received_at desc, snapshot_id desc) = 1 as is_current from s""",

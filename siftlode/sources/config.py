@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 KINDS = ["access", "evaluation", "extractors", "memory", "models", "retrieval", "security", "sources"]
 #: Columns of a source in the catalog, and filters that every query profile must apply.
-CATALOG = [
-    "source_id", "source_type", "url", "local_path", "extractor_profile", "source_priority", "visibility_label", "corpus_eligibility",
-    "sensitivity_class", "license_policy", "enabled", "version_strategy",
-]
+CATALOG = {
+    "source_id": "string", "source_type": "string", "tracked_refs": "array<string>", "version_strategy": "string", "extractor_profile": "string",
+    "source_priority": "int", "visibility_label": "string", "corpus_eligibility": "string", "sensitivity_class": "string", "license_policy": "string",
+    "refresh_cadence": "string", "enabled": "boolean",
+}
 MANDATORY_FILTERS = ["source_allowlist", "visibility", "sensitivity_class", "license_policy_status", "version_or_release_scope", "active_index_version"]
 INDEXED_FIELDS = {"sanitized_text", "heading_path", "artifact_path", "symbol_path", "signature_text", "version_label", "source_type", "language"}
 
@@ -72,8 +73,14 @@ def cross_references(docs: dict[str, dict]) -> list[str]:
     embeds, reranks = get("models", "embedding_profiles"), get("models", "reranker_profiles")
     queries = get("retrieval", "query_profiles")
     faults = [f"source {x} repeated" for x in _repeated(sources, "source_id")]
+    for kind, rows in (("embedding", embeds), ("reranker", reranks)):
+        for r in rows:
+            try:
+                model_profile(r, kind)
+            except ConfigError as e:
+                faults += e.faults
     faults += [f"query profile {x} repeated" for x in _repeated(queries, "profile_id")]
-    ids = lambda rows: {r.get("profile_id") for r in rows}
+    ids = lambda rows: {r.get("profile_id", r.get("model_id")) for r in rows}
     for s in sources:
         if extractors and s.get("extractor_profile") not in ids(extractors):
             faults.append(f"source {s.get('source_id')} names an unknown extractor profile")
@@ -154,11 +161,54 @@ def config_hash(path: str | Path) -> str:
 
 
 def source_catalog(spark: SparkSession, sources: list[dict]) -> DataFrame:
-    """The sources as a frame of the catalog's columns."""
-    text = [c for c in CATALOG if c not in ("enabled", "source_priority")]
-    rows = [tuple(s.get(c) if c not in text or s.get(c) is None else str(s.get(c)) for c in CATALOG) for s in sources]
-    schema = ", ".join(f"{c} " + {"enabled": "boolean", "source_priority": "int"}.get(c, "string") for c in CATALOG)
-    return spark.createDataFrame(rows, schema)
+    """The sources as a frame of the catalog's columns: what they are and how they are kept, but not where they lie."""
+
+    def value(s: dict, name: str, kind: str):  # noqa: ANN202
+        v = s.get(name)
+        return v if v is None or kind in ("int", "boolean") else [str(x) for x in v] if kind.startswith("array") else str(v)
+
+    rows = [tuple(value(s, c, k) for c, k in CATALOG.items()) for s in sources]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in CATALOG.items()))
+
+
+#: Older names of model profile keys, and the keys a profile has, with their kinds and limits.
+ALIASES = {"model_id": "profile_id", "provider": "provider_id", "provider_model_id": "model_name"}
+POSITIVE = {"embedding": ["dimensions", "batch_size", "timeout_seconds", "token_limit"], "reranker": ["candidate_limit", "timeout_seconds", "max_text_length"]}
+DEFAULTS = {
+    "embedding": {"enabled": True, "external": False, "deterministic": False, "batch_size": 32, "timeout_seconds": 30.0, "required_env_vars": [], "token_limit": None, "options": {}},
+    "reranker": {
+        "enabled": True, "external": False, "deterministic": False, "candidate_limit": 50, "timeout_seconds": 10.0, "max_text_length": 4096,
+        "required_env_vars": [], "allow_fallback": False, "required": True, "options": {},
+    },
+}
+
+
+def model_profile(raw: dict, kind: str) -> dict:
+    """An embedding or reranker profile with its defaults, from present or older key names; everything that is wrong is one error.
+
+    The newer name of a key holds where both are given. A reranker's older token_limit bounds its text where
+    nothing else does, and its dimensions are dropped. An external embedding profile must be disabled.
+    """
+    row = {ALIASES.get(k, k): v for k, v in raw.items() if k in ALIASES} | {k: v for k, v in raw.items() if k not in ALIASES}
+    if kind == "reranker":
+        row.pop("dimensions", None)
+        tokens = row.pop("token_limit", None)
+        if tokens:
+            row.setdefault("max_text_length", tokens)
+    row = DEFAULTS[kind] | row
+    known = {"profile_id", "provider_id", "model_name", *DEFAULTS[kind], *POSITIVE[kind]}
+    faults = [f"{k} missing" for k in ("profile_id", "provider_id", "model_name") if not row.get(k)]
+    if kind == "embedding" and row.get("dimensions") is None:
+        faults.append("dimensions missing")
+    faults += [f"{k} unknown" for k in sorted(set(row) - known)]
+    faults += [f"{k} must be positive" for k in POSITIVE[kind] if row.get(k) is not None and not (isinstance(row[k], int | float) and row[k] > 0)]
+    if kind == "reranker" and row["candidate_limit"] > 200:
+        faults.append("candidate_limit above 200")
+    if kind == "embedding" and row["external"] and row["enabled"]:
+        faults.append("an external profile must be disabled")
+    if faults:
+        raise ConfigError([f"{kind} profile {row.get('profile_id')}: {f}" for f in faults])
+    return row
 
 
 def failure_diagnostic(error: BaseException, stage: str, source_id: str, locator: str | None = None, retryable: bool = False) -> dict:

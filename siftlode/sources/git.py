@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
 import subprocess
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +25,36 @@ def git(repo: str, *args: str) -> str:
     return done.stdout.decode("utf-8", "replace")
 
 
+def records(repo: str, end: str, *args: str) -> Iterator[str]:
+    """The output of a git command, one record at a time: nothing but the current piece is held."""
+    run = subprocess.Popen(["git", "-C", repo, "-c", "core.quotepath=off", *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    rest, mark = b"", end.encode()
+    while piece := run.stdout.read(1 << 16):
+        *whole, rest = (rest + piece).split(mark)
+        for x in whole:
+            yield x.decode("utf-8", "replace")
+    if rest:
+        yield rest.decode("utf-8", "replace")
+    if run.wait():
+        raise RuntimeError(f"git {args[0]} failed with code {run.returncode}")
+
+
+def cached_clone(url: str, cache: str) -> str:
+    """A bare copy of a repository in a folder of its own below ``cache``: cloned once, fetched after that; returns its path.
+
+    Only https, ssh and file addresses are taken. The address is not part of the folder's name.
+    """
+    if not re.match(r"^(?:https|ssh|file)://", url) or url.startswith("-"):
+        raise ValueError("a repository's address must be https, ssh or file")
+    path = os.path.join(cache, hashlib.sha256(url.encode()).hexdigest()[:32])
+    if os.path.isdir(path):
+        git(path, "fetch", "--prune", "--tags", "--force", "origin", "+refs/heads/*:refs/heads/*")
+    else:
+        os.makedirs(cache, exist_ok=True)
+        git(cache, "clone", "--bare", "--quiet", url, path)
+    return path
+
+
 def resolve(repo: str, ref: str) -> tuple[str, str]:
     """(commit, tag|branch|commit) of a ref: a tag goes before a local branch, that before a remote one, that before a commit."""
     for kind, name in (("tag", f"refs/tags/{ref}"), ("branch", f"refs/heads/{ref}"), ("branch", f"refs/remotes/origin/{ref}"), ("commit", ref)):
@@ -47,12 +81,12 @@ class _Reader(DataSourceReader):
     def read(self, part: _Ref) -> Iterator[tuple]:
         commit, kind = resolve(self.repo, part.ref)
         if self.what == "log":
-            for rec in git(self.repo, "log", "--format=%H%x1f%P%x1f%aI%x1f%cI%x1f%s%x1e", commit).split("\x1e"):
+            for rec in records(self.repo, "\x1e", "log", "--format=%H%x1f%P%x1f%aI%x1f%cI%x1f%s%x1e", commit):
                 f = rec.strip("\n").split("\x1f")
                 if len(f) == 5:
                     yield f[0], f[1].split(), f[2], f[3], f[4], part.ref
             return
-        for rec in git(self.repo, "ls-tree", "-r", "-l", "-z", commit).split("\0"):
+        for rec in records(self.repo, "\0", "ls-tree", "-r", "-l", "-z", commit):
             meta, _, path = rec.partition("\t")
             m = meta.split()
             if len(m) == 4 and m[1] == "blob":
@@ -79,6 +113,29 @@ def read_tree(spark: SparkSession, repo: str, refs: list[str]) -> DataFrame:
     return spark.read.format("git").option("path", repo).option("refs", ",".join(refs)).load()
 
 
+def with_content(tree: DataFrame, repo: str) -> DataFrame:
+    """The rows of :func:`read_tree` with the blobs' content (binary), read by one git process per task; all executors must reach the repository."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        for b in batches:
+            out = []
+            for blob in b["checksum"]:
+                p.stdin.write(blob.removeprefix("gitblob:").encode() + b"\n")
+                p.stdin.flush()
+                head = p.stdout.readline().split()
+                if len(head) != 3:
+                    out.append(None)
+                    continue
+                out.append(p.stdout.read(int(head[2])))
+                p.stdout.read(1)
+            yield b.assign(content=out)
+        p.stdin.close()
+        p.wait()
+
+    return tree.mapInPandas(run, f"{_TREE}, content binary")
+
+
 def read_log(spark: SparkSession, repo: str, refs: list[str]) -> DataFrame:
     """Commits of all refs, each once (the first ref by name holds), with cleaned subjects."""
     from siftlode.operators.redaction import safe_text

@@ -76,14 +76,14 @@ def test_plans_over_all_pairs(spark, tmp_path):
     spark.createDataFrame(a, "snapshot_id string, logical_locator string, checksum string, extractor_profile string, corpus_eligibility_label string, received_at int").write.parquet(f"{tmp_path}/artifact_candidates.parquet")
     h = [("s2", "r", 2, 3), ("s3", "r", 3, 2), ("s4", "r", 4, 3), ("s9", "r", 9, 1)]
     spark.createDataFrame(h, H).write.parquet(f"{tmp_path}/source_snapshots.parquet")
-    got = rows(Q.snapshot_plan_all(spark, str(tmp_path)), "snapshot_seq", "path", "status")
+    got = rows(Q.snapshot_plan(spark, str(tmp_path)), "snapshot_seq", "path", "status")
     assert got == [
         (2, "a.md", "added"), (2, "b.md", "added"), (2, "c.md", "added"),
         (4, "a.md", "unchanged"), (4, "b.md", "changed"), (4, "c.md", "tombstoned"), (4, "d.md", "added"),
         (9, "a.md", "tombstoned"), (9, "b.md", "tombstoned"), (9, "d.md", "unchanged"),
     ]
-    assert rows(Q.ingestion_counters_all(spark, str(tmp_path))) == [("r", 2, 3, 0, 0, 0), ("r", 4, 1, 1, 1, 1), ("r", 9, 0, 0, 1, 2)]
-    gone = Q.tombstone_absent_all(spark, str(tmp_path))
+    assert rows(Q.ingestion_counters(spark, str(tmp_path))) == [("r", 2, 3, 0, 0, 0), ("r", 4, 1, 1, 1, 1), ("r", 9, 0, 0, 1, 2)]
+    gone = Q.tombstone_absent(spark, str(tmp_path))
     assert rows(gone.where("not is_current"), "snapshot_seq", "path") == [(4, "c.md"), (9, "a.md"), (9, "b.md")] and gone.count() == 6
 
 
@@ -371,3 +371,24 @@ def test_ranking_metrics(spark):
     m = {x.query_id: x for x in evaluation.ranking_metrics(e, r).collect()}
     assert (m[1].recall_at_k, m[1].reciprocal_rank, m[1].citation_coverage, m[2].hit) == (0.5, 1.0, 0.5, 0)
     assert m[1].ndcg == pytest.approx((1 + 1 / 3) / (1 + 0.6309297535714575), abs=1e-6)
+
+
+def test_embedding_worker_pass(spark):
+    from siftlode.operators import embedding
+
+    c = spark.createDataFrame(
+        [("c1", "t", "h1", "v", "redacted", "allowed", "allowed"), ("c2", "t", "new", "v", "redacted", "allowed", "allowed"), ("c3", "", "h3", "v", "redacted", "allowed", "allowed")],
+        "chunk_id string, sanitized_text string, sanitized_content_hash string, source_version_id string, redaction_status string, license_policy_status string, corpus_eligibility_label string",
+    )
+    jobs = spark.createDataFrame(
+        [(f"j{i}", f"c{i}", h, "m", "i", s, 0, None, i) for i, h, s in ((1, "h1", "pending"), (2, "old", "pending"), (3, "h3", "pending"), (4, "x", "retrying"), (5, "x", "succeeded"))],
+        "id string, chunk_id string, sanitized_content_hash string, embedding_model_id string, index_version_id string, status string, attempt_count int, next_retry_at timestamp, created_at int",
+    )
+    v = spark.createDataFrame([("old", "c1", "m", "i", "h0", [1.0], True)], "id string, chunk_id string, embedding_model_id string, index_version_id string, sanitized_content_hash string, vector array<double>, is_active boolean")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    j, vec = embedding.run_pass(jobs, c, v, ("local", "m", 4), 10, now)
+    assert rows(j, "id", "status", "attempt_count") == [("j1", "succeeded", 1), ("j2", "cancelled", 1), ("j3", "retrying", 1), ("j4", "cancelled", 1), ("j5", "succeeded", 0)]
+    got = {r.id: (r.is_active, len(r.vector)) for r in vec.collect()}
+    assert got.pop("old") == (False, 1) and list(got.values()) == [(True, 4)]
+    j2, _ = embedding.run_pass(jobs, c, v, ("local", "m", 4), 1, now)
+    assert rows(j2.where("attempt_count > 0"), "id") == [("j1",)]

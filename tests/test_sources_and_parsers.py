@@ -102,6 +102,20 @@ def test_git_source(spark, tmp_path):
     assert len(log) == 2 and "xyz" not in " ".join(r.subject for r in log)
     with pytest.raises(ValueError):
         git.resolve(str(tmp_path), "nothing")
+    body = {r.path: bytes(r.content) for r in git.with_content(git.read_tree(spark, str(tmp_path), ["main"]), str(tmp_path)).collect()}
+    assert body == {"a b.txt": b"one", "c.txt": b"two"}
+    copy = git.cached_clone(f"file://{tmp_path}", str(tmp_path / "cache"))
+    (tmp_path / "d.txt").write_text("three")
+    run("add", "d.txt")
+    run("commit", "-qm", "third")
+    assert git.cached_clone(f"file://{tmp_path}", str(tmp_path / "cache")) == copy
+    assert {r.path for r in git.read_tree(spark, copy, ["main"]).collect()} == {"a b.txt", "c.txt", "d.txt"}
+    with pytest.raises(ValueError):
+        git.cached_clone("--upload-pack=x", str(tmp_path))
+    from siftlode.cli import source_files
+
+    src = {"source_id": "g", "source_type": "git_repository", "url": f"file://{tmp_path}", "tracked_refs": ["v1"]}
+    assert [(r.path, bytes(r.content)) for r in source_files(spark, src, str(tmp_path), str(tmp_path / "cache")).collect()] == [("a b.txt", b"one")]
     assert git.version_label([("refs/tags/v1", "a" * 40, "tag")]) == "tag:v1@" + "a" * 12
     assert git.version_label([("a", "1", "tag"), ("b", "2", "tag")]).startswith("refs:")
 
@@ -183,7 +197,18 @@ def test_config(spark, tmp_path):
     with pytest.raises(ValueError):
         config.select_sources(s, ["b"])
     assert not config.provider_allowed({"enabled": True, "external": True}, {}) and config.provider_allowed({"enabled": True})
-    assert config.source_catalog(spark, [{"source_id": "a", "enabled": True, "source_priority": 3}]).first().source_priority == 3
+    cat = config.source_catalog(spark, [{"source_id": "a", "enabled": True, "source_priority": 3, "tracked_refs": ["main"], "url": "https://x"}])
+    assert cat.first().source_priority == 3 and cat.first().tracked_refs == ["main"] and "url" not in cat.columns
+    e = config.model_profile({"model_id": "m", "provider": "local", "provider_model_id": "h", "dimensions": 8}, "embedding")
+    assert (e["profile_id"], e["provider_id"], e["model_name"], e["batch_size"]) == ("m", "local", "h", 32)
+    r = config.model_profile({"profile_id": "r", "provider_id": "local", "model_name": "h", "token_limit": 99, "dimensions": 3}, "reranker")
+    assert r["max_text_length"] == 99 and r["candidate_limit"] == 50 and "dimensions" not in r
+    for raw, kind, says in (
+        ({"profile_id": "m", "provider_id": "x", "model_name": "h", "dimensions": 8, "external": True}, "embedding", "disabled"), ({"dimensions": 0}, "embedding", "positive"),
+        ({"profile_id": "r", "provider_id": "x", "model_name": "h", "candidate_limit": 201}, "reranker", "above 200"), ({"profile_id": "r", "provider_id": "x", "model_name": "h", "nope": 1}, "reranker", "nope unknown"),
+    ):
+        with pytest.raises(config.ConfigError, match=says):
+            config.model_profile(raw, kind)
     e = subprocess.CalledProcessError(3, ["/usr/bin/git", "clone", "https://u:p@h", "a=b"])
     d = config.failure_diagnostic(e, "fetch", "s", "/x/y/file.txt")
     assert d["exit_code"] == 3 and d["command"] == ["git", "clone", "[redacted]", "[redacted]"] and d["artifact_locator"] == "file.txt"
@@ -205,7 +230,7 @@ def test_cli(spark, tmp_path, capsys):
     from siftlode import cli
 
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs" / "a.md").write_text("# a")
+    (tmp_path / "docs" / "a.md").write_text("# a\n\nwrite to someone@example.org\n")
     (tmp_path / "docs" / "b.min.js").write_text("x")
     cfg = tmp_path / "sources.yaml"
     cfg.write_text("config_version: 1\nkind: sources\nsources:\n  - {source_id: s, source_type: local_directory, local_path: docs}\n")
@@ -213,11 +238,17 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["version"]) == 0 and cli.main(["validate", str(cfg)]) == 0 and cli.main(["sources", str(cfg), "--format", "json"]) == 0
     capsys.readouterr()
     assert cli.main(["ingest", str(cfg), store, "--base", str(tmp_path)]) == 0
-    assert json.loads(capsys.readouterr().out) == {"source_id": "s", "added": 1, "skipped_generated_file": 1}
+    assert json.loads(capsys.readouterr().out) == {"source_id": "s", "added": 1, "skipped_generated_file": 1, "chunks": 2}
+    from siftlode.plans.runtime import session
+
+    s = Store(session("siftlode-cli"), store)
+    kept = s.read("chunks").collect()
+    assert all(r.live for r in kept) and sorted(r.redaction_status for r in kept) == ["not_required", "redacted"] and s.read("citations").count() == 2
     (tmp_path / "docs" / "a.md").unlink()
     (tmp_path / "docs" / "c.md").write_text("# c")
     cli.main(["ingest", str(cfg), store, "--base", str(tmp_path)])
-    assert json.loads(capsys.readouterr().out) == {"source_id": "s", "added": 1, "tombstoned": 1, "skipped_generated_file": 1}
+    assert json.loads(capsys.readouterr().out) == {"source_id": "s", "added": 1, "tombstoned": 1, "skipped_generated_file": 1, "chunks": 1}
+    assert sorted((r.path, r.live) for r in s.read("chunks").collect()) == [("a.md", False), ("a.md", False), ("c.md", True)]
     cli.main(["status", store, "--limit", "5"])
     assert capsys.readouterr().out.count('"completed"') == 2
     assert cli.main(["check", store, "artifacts", "nope"]) == 1
