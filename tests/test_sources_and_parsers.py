@@ -243,7 +243,7 @@ def test_cli(spark, tmp_path, capsys):
 
     s = Store(session("siftlode-cli"), store)
     kept = s.read("chunks").collect()
-    assert all(r.live for r in kept) and sorted(r.redaction_status for r in kept) == ["not_required", "redacted"] and s.read("citations").count() == 2
+    assert all(r.live for r in kept) and sorted(r.redaction_status for r in kept) == ["redacted", "redaction_checked"] and s.read("citations").count() == 2
     (tmp_path / "docs" / "a.md").unlink()
     (tmp_path / "docs" / "c.md").write_text("# c")
     cli.main(["ingest", str(cfg), store, "--base", str(tmp_path)])
