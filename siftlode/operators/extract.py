@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.operators.parsers import FIELDS, PARSERS, choose
+from siftlode.operators.parsers import FIELDS, PARSERS, VALIDATORS, choose
 
 SCHEMA = (
     "candidate_type string, text string, locator string, line_start int, line_end int, heading_path array<string>, key_path array<string>, "
@@ -35,7 +35,8 @@ def extract(artifacts: DataFrame, keep: list[str], content: str = "content", pat
     """(keep..., parser, status, diagnostic, ordinal, candidate columns): the candidates of every artifact, in order.
 
     ``content`` is binary or string. status: completed; skipped (no parser for it: diagnostic
-    unsupported_language); failed (not of its format: the parser's error code). Artifacts without candidates
+    unsupported_language); failed (not of its format: the parser's error code). What parses but breaks the rules of
+    its format is completed with the validator's code as diagnostic. Artifacts without candidates
     have one row without ordinal, so none is lost. Broken UTF-8 is replaced and said so in the diagnostic.
     Arrow batches carry whole files; a parser sees one file at a time.
     """
@@ -59,6 +60,9 @@ def extract(artifacts: DataFrame, keep: list[str], content: str = "content", pat
                 except ValueError as e:
                     rows.append([*head, parser, "failed", str(e), None, *[None] * len(FIELDS)])
                     continue
+                if parser in VALIDATORS:
+                    check, code = VALIDATORS[parser]
+                    note = code if check(text, rec.p or "") else note
                 if not found:
                     rows.append([*head, parser, "completed", note, None, *[None] * len(FIELDS)])
                 for n, f in enumerate(found):

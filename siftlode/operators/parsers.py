@@ -260,7 +260,7 @@ def json_schema(text: str, locator: str) -> Iterator[Row]:
 
 
 def python_source(text: str, locator: str) -> Iterator[Row]:
-    """Classes and functions with nested paths, signature as written, docstring, line range and the file's imports."""
+    """Classes and functions with nested paths, signature in its normal spelling, docstring, line range and the file's imports."""
     try:
         module = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
@@ -286,6 +286,80 @@ def python_source(text: str, locator: str) -> Iterator[Row]:
         todo += [(c, path) for c in reversed(list(ast.iter_child_nodes(node)))]
 
 
+def openapi_faults(text: str, locator: str) -> list[str]:
+    """What breaks the basic rules of an interface description: version, info, paths and the responses of operations."""
+    doc = _data(text, locator)
+    if not isinstance(doc, dict):
+        return ["not a mapping"]
+    out = []
+    version = doc.get("openapi", doc.get("swagger"))
+    if not isinstance(version, str) or not re.match(r"^(?:2\.0|3\.[01](?:\.\d+)?)$", version):
+        out.append("openapi version missing or unknown")
+    info = doc.get("info")
+    out += [f"info.{k} missing" for k in ("title", "version") if not isinstance(info, dict) or not isinstance(info.get(k), str)]
+    paths = doc.get("paths")
+    if paths is None and isinstance(version, str) and version.startswith("3.1") and (doc.get("components") or doc.get("webhooks")):
+        return out
+    if not isinstance(paths, dict):
+        return [*out, "paths missing"]
+    for path, item in paths.items():
+        if not isinstance(path, str) or not path.startswith("/"):
+            out.append(f"path {path} does not begin with a slash")
+        for method, op in item.items() if isinstance(item, dict) else ():
+            if str(method).lower() in METHODS and not (isinstance(op, dict) and isinstance(op.get("responses"), dict) and op["responses"]):
+                out.append(f"{method} {path} has no responses")
+    return out
+
+
+#: The types of JSON Schema, and its keywords by the kind of value they take.
+_TYPES = {"array", "boolean", "integer", "null", "number", "object", "string"}
+_SCHEMA_MAPS = ["$defs", "definitions", "properties", "patternProperties", "dependentSchemas"]
+_SCHEMA_LISTS = ["allOf", "anyOf", "oneOf", "prefixItems"]
+_SCHEMA_ONE = ["additionalProperties", "contains", "else", "if", "items", "not", "propertyNames", "then", "unevaluatedItems", "unevaluatedProperties"]
+_COUNTS = ["maxItems", "maxLength", "maxProperties", "minItems", "minLength", "minProperties", "minContains", "maxContains"]
+_NUMBERS = ["exclusiveMaximum", "exclusiveMinimum", "maximum", "minimum", "multipleOf"]
+_STRINGS = ["$comment", "$id", "$ref", "$schema", "description", "format", "pattern", "title"]
+
+
+def json_schema_faults(text: str, locator: str) -> list[str]:
+    """Keywords of a schema and its sub-schemas whose values are of the wrong kind."""
+    number = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
+    count = lambda v: number(v) and v >= 0 and v == int(v)
+    strings = lambda v: isinstance(v, list) and all(isinstance(x, str) for x in v) and len(set(v)) == len(v)
+    out: list[str] = []
+    todo: list[tuple[str, object]] = [("#", _data(text, locator))]
+    while todo:
+        at, s = todo.pop()
+        if isinstance(s, bool):
+            continue
+        if not isinstance(s, dict):
+            out.append(f"{at} is no schema")
+            continue
+        kind = s.get("type")
+        known = lambda v: isinstance(v, str) and v in _TYPES
+        if "type" in s and not (known(kind) or isinstance(kind, list) and kind and all(map(known, kind)) and len(set(kind)) == len(kind)):
+            out.append(f"{at}/type")
+        tests = [("required", strings), ("enum", lambda v: isinstance(v, list)), *[(k, count) for k in _COUNTS], *[(k, number) for k in _NUMBERS], *[(k, lambda v: isinstance(v, str)) for k in _STRINGS]]
+        out += [f"{at}/{k}" for k, ok in tests if k in s and not ok(s[k])]
+        for k in _SCHEMA_MAPS:
+            if k in s:
+                if isinstance(s[k], dict):
+                    todo += [(f"{at}/{k}/{n}", x) for n, x in s[k].items()]
+                else:
+                    out.append(f"{at}/{k}")
+        for k in _SCHEMA_LISTS:
+            if k in s:
+                if isinstance(s[k], list) and s[k]:
+                    todo += [(f"{at}/{k}/{n}", x) for n, x in enumerate(s[k])]
+                else:
+                    out.append(f"{at}/{k}")
+        todo += [(f"{at}/{k}", s[k]) for k in _SCHEMA_ONE if k in s]
+    return sorted(out)
+
+
+#: Checks whose faults are told beside the candidates, by parser; the code of the diagnostic.
+VALIDATORS = {"openapi": (openapi_faults, "openapi_validation_error"), "json_schema": (json_schema_faults, "json_schema_validation_error")}
+
 PARSERS: dict[str, Callable[[str, str], Iterator[Row]]] = {
     "text": paragraphs, "markdown": markdown, "html": html, "json": _structured("json"), "yaml": _structured("yaml"), "toml": _structured("toml"),
     "openapi": openapi, "json_schema": json_schema, "python": python_source,

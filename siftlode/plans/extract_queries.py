@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.operators import extract as X
 from siftlode.plans.corpus import candidates
-from siftlode.plans.runtime import load, parallelism
+from siftlode.plans.runtime import load, own_folder, parallelism
 from siftlode.sources import config as C
+from siftlode.sources.store import Store
 from siftlode.streaming.increments import windowed_counts
 
 
@@ -51,6 +54,22 @@ def python_symbols(spark: SparkSession, d: str) -> DataFrame:
     return e.select("file_id", F.array_join("symbol_path", ".").alias("symbol"), "signature_text", "line_start", "line_end")
 
 
+def python_symbol_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = _extracted(spark, d).where("parser = 'python' and candidate_type = 'symbol'")
+    name = F.element_at("symbol_path", -1)
+    return e.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("signature_text").startswith("class ")).alias("classes"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
+
+
+def store_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds on a stored table: all documents, corrections of every third with its first sight kept, and appended rows."""
+    s = Store(spark, f"{own_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("size"), F.lit(1).alias("seen"))
+    s.upsert("docs", docs, ["doc_id"])
+    s.upsert("docs", docs.where("doc_id % 3 = 0").withColumns({"size": F.col("size") + 1, "seen": F.lit(2)}), ["doc_id"], keep=["seen"])
+    s.append("docs", docs.where("doc_id % 5 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "size", F.lit(3).alias("seen")))
+    return s.read("docs")
+
+
 def html_sections(spark: SparkSession, d: str) -> DataFrame:
     """Texts of candidates that hold HTML, read as pages."""
     c = candidates(spark, d).where("candidate_type in ('section', 'paragraph') and text rlike '(?i)<(p|h[1-6]|pre)[ >]'")
@@ -87,6 +106,11 @@ select file_id, k as key, json_extract_string(v, '$') as text from v where json_
     "markdown_headings": r"""with f as (select distinct file_id, text from artifact_files where artifact_role not in ('source') and (path like '%.md' or path like '%.MD')), l as (select file_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line from f)
 select file_id, count(*) as headings from l where regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)') or regexp_matches(line, '^=+[ \t]*$') group by 1""",
     "safe_metadata": """select distinct candidate_id, candidate_type, 'sha256:' || sha256(text) as text_hash, 'sha256:' || sha256(signature_text) as signature_hash from (select *, row_number() over (partition by candidate_id order by extracted_at desc) as rn from extraction_candidates) where rn = 1""",
+    "python_symbol_counts": r"""with f as (select file_id, max((fetched_at, text)) as m from artifact_files where artifact_role = 'source' and (language = 'python' or lower(path) like '%.py') group by 1),
+l as (select file_id, unnest(string_split(regexp_replace(m[2], '\r\n?', chr(10), 'g'), chr(10))) as line from f), s as (select file_id, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 1) as kind, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 2) as name from l)
+select file_id, count(*) as symbols, count(*) filter (kind = 'class') as classes, min(name) as first_name, max(name) as last_name from s where kind <> '' group by 1""",
+    "store_rounds": """select doc_id, coalesce(n_chars, 0) + (doc_id % 3 = 0)::int as size, 1 as seen from documents
+ union all select -doc_id - 1, coalesce(n_chars, 0), 3 from documents where doc_id % 5 = 0""",
     "source_catalog": """select source_id, source_type, null::varchar[] as tracked_refs, null::varchar as version_strategy, extractor_profile, source_priority, visibility_label, corpus_eligibility,
   sensitivity_class, license_policy, null::varchar as refresh_cadence, enabled from sources""",
     "event_windows": "select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n from events group by 1, 2",

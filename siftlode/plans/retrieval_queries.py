@@ -98,6 +98,15 @@ def claim_scope(spark: SparkSession, d: str) -> DataFrame:
     return S.record_scope(_claims(spark, d), live, S.citation_scope(chunks(spark, d), chunk_citations(spark, d), f), f, "claim_id").select("claim_id", "citation_item_id")
 
 
+def fact_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Facts, one per claim of an even number, in scope by the same rules as claims; and how many are retired or lack an allowed citation."""
+    f = S.narrow(TRUSTED, S.Filters())
+    facts = _claims(spark, d).where("cast(substring(claim_id, 7, 9) as long) % 2 = 0").withColumn("fact_id", F.regexp_replace("claim_id", "^claim:", "fact:"))
+    live = chunk_versions(spark, d).withColumn("fact_id", F.regexp_replace("chunk_id", "^chunk:", "fact:"))
+    cites = S.citation_scope(chunks(spark, d), chunk_citations(spark, d), f)
+    return S.record_scope(facts, live, cites, f, "fact_id").select("fact_id", "source_id", "citation_item_id")
+
+
 def entity_union(spark: SparkSession, d: str) -> DataFrame:
     e = S.entity_scope(chunk=_scope(spark, d).select("chunk_id"), claim=claim_scope(spark, d).select("claim_id"))
     return e.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("least"), F.max("entity_id").alias("greatest"))
@@ -455,6 +464,7 @@ ORACLE = {
     "scope_post_filter_count": f"with {_SCOPE} select count(*) as n from scope",
     "citation_semi_join": f"with {_SCOPE} select citation_id, chunk_id from citations where {_POLICY}",
     "claim_scope": f"with {_SCOPE}, {_CLAIMS} select claim_id, citation_item_id from okclaims",
+    "fact_scope": f"""with {_SCOPE}, {_CLAIMS} select 'fact:' || substr(o.claim_id, 7) as fact_id, c.source_id, citation_item_id from okclaims o join claims c using (claim_id) where substr(o.claim_id, 7)::bigint % 2 = 0""",
     "entity_union": f"""with {_SCOPE}, {_CLAIMS} select 'chunk' as entity_type, count(*) as n, min(chunk_id) as least, max(chunk_id) as greatest from scope having count(*) > 0
  union all select 'claim', count(*), min(claim_id), max(claim_id) from okclaims having count(*) > 0""",
     "relationship_both_endpoints": f"""with {_SCOPE}, {_CLAIMS}, r as (select 'rel:' || substr(claim_id, 7) as relationship_id, 'chunk:' || substr(claim_id, 7) as a, 'chunk:' || lpad((substr(claim_id, 7)::bigint + 1)::varchar, 9, '0') as b from okclaims)

@@ -30,7 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
-def _shared(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """This application's own folder below the shared one; it is deleted when the application ends."""
     sc = spark.sparkContext._jsc.sc()
     if sc.getCheckpointDir().isEmpty():
@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     is no longer used (``spark.cleaner.referenceTracking.cleanCheckpoints``, set by :func:`session`) and, at
     the latest, when the application ends.
     """
-    _shared(df.sparkSession)
+    own_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -58,14 +58,14 @@ def stored(df: DataFrame) -> DataFrame:
     For wide rows that are read more than once. The table goes with :func:`release` or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete the tables of :func:`stored`, once the results that read them are written; returns their number."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("table-")] if fs.exists(path) else []
     for p in gone:

@@ -46,6 +46,11 @@ def test_python_openapi_schema():
     assert tail == [("endpoint", "GET /x", "S"), ("schema", None, "D")]
     sch = '{"properties": {"p": {"type": "string", "enum": [1, 2], "description": "P"}, "q": 5}}'
     assert [(r["schema_path"], r["text"], r["metadata"]) for r in parsers.json_schema(sch, "a.schema.json") if r["candidate_type"] == "schema_path"] == [(["properties", "p"], "P", {"type": "string", "enum_count": 2}), (["properties", "q"], None, {})]
+    ok = "openapi: 3.0.1\ninfo: {title: t, version: '1'}\npaths:\n  /x:\n    get: {responses: {'200': {description: d}}}\n"
+    assert parsers.openapi_faults(ok, "openapi.yaml") == [] and len(parsers.openapi_faults(api, "openapi.yaml")) == 4
+    assert parsers.json_schema_faults(sch, "a.json") == ["#/properties/q is no schema"]
+    assert parsers.json_schema_faults('{"type": "text", "required": ["a", "a"], "items": {"minItems": -1}, "anyOf": [], "not": true}', "a.json") == ["#/anyOf", "#/items/minItems", "#/required", "#/type"]
+    assert parsers.json_schema_faults('{"type": ["string", "null"], "properties": {"a": {"enum": [1], "maximum": 2.5}}}', "a.json") == []
     with pytest.raises(ValueError, match="circle"):
         parsers.by_tools("a", {"a": {"enabled": False, "fallback": "b"}, "b": {"enabled": False, "fallback": "a"}})
     assert parsers.by_tools("a", {"a": {"enabled": False, "fallback": "b"}, "b": {"parser": "json"}}) == "json"
@@ -53,7 +58,7 @@ def test_python_openapi_schema():
 
 def test_extract_frame(spark):
     a = spark.createDataFrame(
-        [(1, "a.md", "documentation", None, b"# T\n\ntext"), (2, "b.json", "schema", None, b"{"), (3, "c.go", "source_code", "go", b"package x"), (4, "d.txt", "x", None, b"\xff bad"), (5, "e.txt", "x", None, None), (6, None, None, None, b"one\n\ntwo")],
+        [(1, "a.md", "documentation", None, b"# T\n\ntext"), (2, "b.json", "schema", None, b"{"), (3, "c.go", "source_code", "go", b"package x"), (4, "d.txt", "x", None, b"\xff bad"), (5, "e.txt", "x", None, None), (6, None, None, None, b"one\n\ntwo"), (7, "s.json", "json_schema", None, b'{"type": 5}'), (8, "t.json", "json_schema", None, b'{"type": "object"}')],
         "id int, path string, artifact_role string, language string, content binary",
     )
     got = extract.extract(a, ["id"]).collect()
@@ -61,6 +66,7 @@ def test_extract_frame(spark):
     for r in got:
         by.setdefault(r.id, []).append(r)
     assert [r.candidate_type for r in by[1]] == ["heading", "section"] and by[2][0].diagnostic == "json_parse_error" and by[3][0].status == "skipped"
+    assert by[7][0].diagnostic == "json_schema_validation_error" and by[7][0].status == "completed" and by[8][0].diagnostic is None
     assert by[4][0].diagnostic == "decode_replaced" and by[5][0].ordinal is None and [r.text for r in by[6]] == ["one", "two"]
     docs = spark.createDataFrame([(1, "a\nb\n\n  \nc"), (2, ""), (3, "x\r\ny")], "k int, t string")
     native = extract.paragraphs_native(docs, "k", F.col("t")).orderBy("k", "ordinal").collect()
@@ -230,7 +236,7 @@ def test_cli(spark, tmp_path, capsys):
     from siftlode import cli
 
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs" / "a.md").write_text("# a\n\nwrite to someone@example.org\n")
+    (tmp_path / "docs" / "a.md").write_text("# a\n\npassword: hunter2secret99\n")
     (tmp_path / "docs" / "b.min.js").write_text("x")
     cfg = tmp_path / "sources.yaml"
     cfg.write_text("config_version: 1\nkind: sources\nsources:\n  - {source_id: s, source_type: local_directory, local_path: docs}\n")
@@ -243,7 +249,8 @@ def test_cli(spark, tmp_path, capsys):
 
     s = Store(session("siftlode-cli"), store)
     kept = s.read("chunks").collect()
-    assert all(r.live for r in kept) and sorted(r.redaction_status for r in kept) == ["redacted", "redaction_checked"] and s.read("citations").count() == 2
+    assert s.read("citations").count() == 2
+    assert all(r.live for r in kept) and sorted(r.redaction_status for r in kept) == ["redacted", "redaction_checked"]
     (tmp_path / "docs" / "a.md").unlink()
     (tmp_path / "docs" / "c.md").write_text("# c")
     cli.main(["ingest", str(cfg), store, "--base", str(tmp_path)])
