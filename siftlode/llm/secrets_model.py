@@ -31,6 +31,10 @@ _HUMPS = re.compile(r"^[A-Za-z][a-z]+(?:[A-Z][a-z]{2,})+$")
 _SLASHED = re.compile(r"^(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{20,}={0,2}$")
 _ADDRESS = re.compile(r"^[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+$")
 _HOOK = re.compile(r"https?://[^\s\"'`]*?/([A-Za-z0-9_\-]{20,})(?=[\s\"'`;,)]|$)")
+#: An address's path, of which words in lower case lead to what may be a secret of any alphabet; and a piece that is none of these words.
+_ADDRESS_PATH = re.compile(r"https?://[^\s\"'`/]+/((?:[a-z][a-z_\-]*/)*)([A-Za-z0-9_\-+/=.]{20,})(?=[\s\"'`;,)]|$)")
+_RANDOM_RUN = re.compile(r"(?=[A-Za-z]*\d)(?=[A-Z\d]*[a-z])(?=[a-z\d]*[A-Z])[A-Za-z\d]{10,}")
+_VOWEL = re.compile(r"[aeiouyAEIOUY]")
 _QUOTED_ONLY = re.compile(r"^\s*[fbru]*([\"'`])[^\"'`]*\1\s*[)\];,+\\]*\s*$")
 _ENDS_OPEN = re.compile(r"[\"'`]\s*[+\\.]?\s*$")
 
@@ -99,6 +103,10 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
         if not any(a <= m.start() < b for a, b in taken):
             out.append(Candidate(n, m[1], before + line[: m.start()] + " urlpath ", line[m.end(1) :], "hook", m.start(1)))
         taken.append(m.span())
+    for m in _ADDRESS_PATH.finditer(line) if remote else ():
+        if _RANDOM_RUN.search(m[2]) and not any(a < m.end() and m.start() < b for a, b in taken):
+            out.append(Candidate(n, m[2], before + line[: m.start()] + " urlpath ", line[m.end(2) :], "hook", m.start(2)))
+            taken.append(m.span())
     for m in _ATOM.finditer(line):
         if any(a < m.end() and m.start() < b for a, b in taken):
             continue
@@ -116,7 +124,9 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
             continue
         plain = _NOT_VALUE.match(t2)
         core = t2.strip("*_~.,?!:;")
-        if plain and core.isalpha():
+        if plain and PREFIXED.match(core):
+            plain = None
+        elif plain and core.isalpha():
             # letters alone are a value only in a credential's place and with an odd use of capitals
             quoted = line[a - 1 : a] in ("'", '"', "`") and a
             plain = not (
@@ -129,14 +139,24 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
                 # base64 has slashes anywhere; in a credential's place it is scored
                 or _SLASHED.match(t2) and _ODD_CASE.search(t2) and (SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16]))
             )
-        elif plain and re.fullmatch(r"[A-Za-z]{6,}\.[A-Za-z]{6,}", t2):
-            plain = not (_ODD_CASE.search(t2.rsplit(".", 1)[1]) and (SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16])))
+        elif plain and re.fullmatch(r"[A-Za-z]{2,}\.[A-Za-z]{6,}", t2):
+            plain = not (_no_words(t2.rsplit(".", 1)[1]) and (SENSITIVE.search((before + line[:a])[-24:]) or SENSITIVE.search(line[e : e + 16])))
+        elif plain and re.search(r"[A-Z]\d+[A-Z]", t2) and t2.isupper():
+            # capitals and digits are mostly the name of a constant, but not in quotes in a credential's place
+            plain = not (line[a - 1 : a] in ("'", '"') and a and SENSITIVE.search((before + line[:a])[-24:]))
         elif plain:
             plain = not (len(t2) >= 24 and re.search(r"\d", t2) and re.search(r"[A-Za-z]", t2) and not re.search(r"[_/.]", t2))
         if not plain:
             out.append(Candidate(n, t2, before + line[:a], line[e:], "atom", a))
 
 
+def _no_words(s: str) -> bool:
+    """Whether letters with capitals among them are no words run together: oddly placed capitals, or a piece without vowel."""
+    if _ODD_CASE.search(s):
+        return True
+    return bool(re.search(r"[a-z][A-Z]", s)) and any(not _VOWEL.search(x) for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s))
+
+
 def pem_span(line: str, at: int) -> tuple[int, bool]:
     """Where the block whose BEGIN marker ends at ``at`` ends in its line, and whether it is closed there by its END or the next BEGIN."""
     stop, then = _PEM_END.search(line, at), _PEM.search(line, at)
