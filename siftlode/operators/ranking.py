@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from siftlode.plans.runtime import cut, parallelism
 
 
+#: Rows of one group up to which a group is ordered within a task.
+TASK_ROWS = 1_000_000
+
+
+def has_wide_group(rows: DataFrame, group: str, most: int = TASK_ROWS) -> bool:
+    """Whether any group has more than ``most`` rows, so that it must not be ordered within one task. One count per group, of one column."""
+    return bool(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).limit(1).count())
+
+
 def spread_rank(df: DataFrame, group: list[str], order: list[Column], out: str, ties: bool = True) -> DataFrame:
     """Add ``out``: the 1-based place of each row in its group by ``order``.
 

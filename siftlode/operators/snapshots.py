@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.functions.paths import plain_checksum, plain_path
-from siftlode.operators.ranking import spread_rank
+from siftlode.operators.ranking import has_wide_group, spread_rank
 from siftlode.plans.runtime import cut, stored, widen
 
 
-def snapshot_sequence(headers: DataFrame, counts: DataFrame) -> DataFrame:
+def snapshot_sequence(headers: DataFrame, counts: DataFrame, wide: bool = True) -> DataFrame:
     """(snapshot_id, root, seq, next_seq, first) of the complete snapshots, one delivery per sequence number.
 
     ``headers`` has snapshot_id, root, seq, expected; ``counts`` has snapshot_id, n (distinct files that
     arrived). A snapshot with fewer files than expected is left out; of several complete deliveries the
     one with the smallest id stands for all (they agree). Headers without root, seq or id are left out; a
     null expectation counts as 0.
+
+    ``wide``: a root may have any number of snapshots, and they are numbered by :func:`spread_rank`. Where
+    :func:`has_wide_group` says no, ``wide=False`` gives the same rows by a window over each root's headers.
     """
     h = (
         headers.where("snapshot_id is not null and root is not null and seq is not null")
+        .repartition("snapshot_id")  # for the aggregation and the join alike
         .groupBy("snapshot_id", "root", "seq")
         .agg(F.max("expected").alias("expected"))
         .join(counts, "snapshot_id", "left")
         .where(F.coalesce("n", F.lit(0)) >= F.coalesce("expected", F.lit(0)))
-        .groupBy("root", "seq")
-        .agg(F.min("snapshot_id").alias("snapshot_id"))
     )
+    if not wide:
+        one = h.repartition("root").groupBy("root", "seq").agg(F.min("snapshot_id").alias("snapshot_id"))
+        w = Window.partitionBy("root").orderBy("seq")
+        return one.select("snapshot_id", "root", "seq", F.lead("seq").over(w).alias("next_seq"), F.lag("seq").over(w).isNull().alias("first"))
+    h = h.groupBy("root", "seq").agg(F.min("snapshot_id").alias("snapshot_id"))
     # numbered per root without one task per root; then each is tied to its successor
     numbered = cut(spread_rank(h, ["root"], [F.col("seq")], "_rn", ties=False))
     later = numbered.select("root", (F.col("_rn") - 1).alias("_rn"), F.col("seq").alias("next_seq"))
@@ -55,7 +62,7 @@ def snapshot_changes(records: DataFrame, headers: DataFrame) -> DataFrame:
         .groupBy("snapshot_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sequence = snapshot_sequence(headers, counts)
+    sequence = snapshot_sequence(headers, counts, has_wide_group(headers, "root"))
     sides = F.array(
         F.struct(F.when(~F.col("first"), F.col("seq")).alias("pair"), F.lit(True).alias("later")),
         F.struct(F.col("next_seq").alias("pair"), F.lit(False).alias("later")),

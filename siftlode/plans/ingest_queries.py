@@ -11,6 +11,7 @@ from siftlode.operators import chunking as C
 from siftlode.operators import discovery as D
 from siftlode.operators import incremental as N
 from siftlode.operators import redaction as R
+from siftlode.operators.ranking import has_wide_group
 from siftlode.operators.snapshots import snapshot_sequence
 from siftlode.plans.corpus import CANDIDATES, CHUNKS, candidates, chunks
 from siftlode.plans.runtime import load
@@ -194,7 +195,7 @@ def _deliveries(spark: SparkSession, d: str) -> DataFrame:
         "snapshot_id", plain_checksum(F.col("checksum")).alias("checksum"), "extractor_profile", "corpus_eligibility_label", "received_at",
         plain_path(F.col("logical_locator")).alias("path"),
     ).where("path is not null")
-    sequence = snapshot_sequence(heads, a.groupBy("snapshot_id").agg(F.count_distinct("path").alias("n")))
+    sequence = snapshot_sequence(heads, a.groupBy("snapshot_id").agg(F.count_distinct("path").alias("n")), has_wide_group(heads, "root"))
     last = F.max(F.struct("received_at", "checksum", "extractor_profile", "corpus_eligibility_label"))
     # by file, as the plans need it: the last rows and both neighbours of a file then take no further shuffle
     placed = a.join(sequence, "snapshot_id").repartition("root", "path")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftlode.functions import identity as I
 from siftlode.functions.paths import plain_checksum, plain_path
 from siftlode.operators import chunking, discovery, embedding, evaluation, evidence, fusion, graph, incremental, intent, ranking, redaction, retrieval, scope
-from siftlode.operators.snapshots import artifact_changes
+from siftlode.operators.snapshots import artifact_changes, snapshot_sequence
 
 
 def rows(df, *cols):
@@ -48,6 +48,16 @@ A = "snapshot_id string, logical_locator string, checksum string, received_at in
 H = "snapshot_id string, root_identifier string, snapshot_seq int, artifact_count int"
 
 
+@pytest.mark.parametrize("wide", [True, False])
+def test_snapshot_sequence(spark, wide):
+    heads = [("a", "r", 1, 1), ("b", "r", 4, 9), ("c", "r", 7, 2), ("d", "r", 7, 2), ("d", "r", 7, 2), ("e", "r", 9, None), ("f", "q", 2, 1), (None, "r", 3, 0), ("g", None, 1, 0), ("h", "r", None, 0)]
+    h = spark.createDataFrame(heads, "snapshot_id string, root string, seq int, expected int")
+    n = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2), ("d", 5), ("f", 1)], "snapshot_id string, n long")
+    got = rows(snapshot_sequence(h, n, wide), "root", "seq", "next_seq", "first", "snapshot_id")
+    assert sorted(got, key=str) == sorted([("q", 2, None, True, "f"), ("r", 1, 7, True, "a"), ("r", 7, 9, False, "c"), ("r", 9, None, False, "e")], key=str)
+    assert snapshot_sequence(h.where("false"), n, wide).count() == 0
+
+
 def test_snapshot_changes(spark):
     a = [
         ("s1", "a.py", "sha256:1", 1, None), ("s1", "./b.py", "2", 1, None), ("s1", "c.py", "3", 1, None), ("s1", "c.py", "3", 1, None), ("s1", "d.py", None, 1, None),
