@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from siftlode.operators.embedding import hash_embedding
 from siftlode.plans import service
-from siftlode.plans.retrieval_queries import _scope, _shown
+from siftlode.plans.retrieval_queries import INDEXES, _scope, _shown
 from siftlode.plans.runtime import load
 
 #: The shape of a query profile with all stages on.
 PROFILE = {
-    "profile_id": "release_change_search", "exact_fields": ["artifact_path", "version_label", "sanitized_text"],
+    "profile_id": "release_change_search", "exact_fields": ["artifact_path", "version_label", "sanitized_text"], "bm25_fields": ["sanitized_text", "artifact_path"],
     "limits": {"exact": 15, "bm25": 80, "vector": 60, "fused": 60, "rerank": 15}, "weights": {"exact": 1.0, "bm25": 1.0, "vector": 0.8, "relationship": 0.5},
     "traversal": {"enabled": True, "relationship_types": ["version_lineage"], "max_depth": 2, "max_fanout_per_seed": 6, "max_relationship_candidates": 40, "direction": "both"},
     "token_budget": 1800,
 }
 
 
-def _stages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+#: Index table of the plan's corpus.
+INDEX = [("index-1", "hybrid", "active", [], None, PROFILE["profile_id"], None, "hash-1"), ("index-0", "hybrid", "retired", [], None, PROFILE["profile_id"], None, "hash-1")]
+
+
+def _stages(spark: SparkSession, d: str, index: str = "index-1") -> dict[str, DataFrame]:
     s = _scope(spark, d)
     vectors = s.select("chunk_id", hash_embedding(F.col("sanitized_content_hash"), "local", "hash-1", 64).alias("vector"))
     # documents of one path are versions of one another: each refers to the next by id
@@ -30,13 +34,23 @@ def _stages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.concat_ws(">", "p.a", "p.b").alias("edge_id"), F.lit("version_lineage").alias("relationship_type"), F.lit("chunk").alias("from_entity_type"),
         F.col("p.a").alias("from_entity_id"), F.lit("chunk").alias("to_entity_type"), F.col("p.b").alias("to_entity_id"),
     )
-    return service.retrieve("recent log of the pending archive in docs/tutorial/plan-token.md", PROFILE, s, vectors, _shown(spark, d), edges, fuzzy=True, index="index-1")
+    vectors = vectors.withColumns({"embedding_model_id": F.lit("hash-1"), "is_active": F.lit(True)})
+    models = spark.createDataFrame([("hash-1", "active", 64)], "id string, promotion_status string, dimensions int")
+    indexes = spark.createDataFrame(INDEX, f"{INDEXES}, embedding_model_id string")
+    text = "recent log of the pending archive in docs/tutorial/plan-token.md"
+    return service.retrieve(text, PROFILE, s, vectors, _shown(spark, d), edges, fuzzy=True, index=index, indexes=indexes, models=models)
 
 
 def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return _stages(spark, d)["reranked"].select("chunk_id", "reranked_rank", "fused_rank", F.array_join("paths", ",").alias("paths"))
 
 
+def hybrid_retired_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same query through a retired index: every path is empty."""
+    st = _stages(spark, d, "index-0")
+    return st["reranked"].select("chunk_id").unionByName(st["bm25"].select("chunk_id")).unionByName(st["vector"].select("chunk_id"))
+
+
 def hybrid_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _stages(spark, d)["bundle"]
 
@@ -52,5 +66,5 @@ def ingest_pipeline(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"hybrid_retrieval": hybrid_retrieval, "hybrid_evidence": hybrid_evidence, "ingest_pipeline": ingest_pipeline}
-ORACLE: dict[str, str] = {}
+QUERIES = {"hybrid_retrieval": hybrid_retrieval, "hybrid_retired_index": hybrid_retired_index, "hybrid_evidence": hybrid_evidence, "ingest_pipeline": ingest_pipeline}
+ORACLE: dict[str, str] = {"hybrid_retired_index": "select ''::varchar as chunk_id where false"}
