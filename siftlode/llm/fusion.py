@@ -12,13 +12,6 @@ from siftlode.plans.runtime import cut
 RRF_K = 60
 #: Challengers of one group that are held together while the last possible winner is sought.
 BLOCK = 1024
-#: Rows of one group up to which a group is ordered within a task.
-TASK_ROWS = 1_000_000
-
-
-def has_wide_group(rows: DataFrame, group: str, most: int = TASK_ROWS) -> bool:
-    """Whether any group has more than ``most`` rows: such data are ranked by :func:`spread_rank`. One count per group, of one column."""
-    return bool(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).limit(1).count())
 
 
 def _place(df: DataFrame, group: list[str], order: list[Column], out: str, ties: bool, wide: bool) -> DataFrame:
@@ -39,7 +32,7 @@ def reciprocal_rank_fusion(
     last. ``places`` maps measure to place. Items of a group are numbered by (rrf desc, item); a null
     group or item is left out.
 
-    ``wide``: groups may be of any size, and places come from :func:`spread_rank`. Where :func:`has_wide_group` says
+    ``wide``: groups may be of any size, and places come from :func:`spread_rank`. Where :func:`siftlode.operators.ranking.has_wide_group` says
     no, ``wide=False`` gives the same rows from one shuffle by group, which serves every step.
     """
     clean = scores.where(F.col(group).isNotNull() & F.col(item).isNotNull()).withColumn(

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.llm import credentials, fusion, licences, markup, mixing, neighbours, packing, reading, source_files, tokens
+from siftlode.operators.ranking import has_wide_group
 from siftlode.plans.runtime import load
 
 
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, bool]:
     ranked = load(spark, d, "ranked_candidates")
-    wide = fusion.has_wide_group(ranked, "query_id")
+    wide = has_wide_group(ranked, "query_id")
     scores = fusion.candidate_scores(ranked if wide else ranked.repartition("query_id"))
     return fusion.reciprocal_rank_fusion(scores, "query_id", "chunk_id", wide=wide), wide
 

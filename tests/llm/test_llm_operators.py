@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlode.llm import credentials, fusion, grammar, licences, markup, markup_parse, mixing, neighbours, packing, reading, secrets_model, source_files, tokens
+from siftlode.operators.ranking import has_wide_group
 from siftlode.plans.runtime import load
 
 DATA = os.environ.get("SIFTLODE_TEST_DATA", "/root/testdata/sf0.001")
@@ -59,7 +60,7 @@ def test_majority_winner_equals_brute_force(spark, monkeypatch):
         won = rows(fusion.majority_first(f, "query_id", "chunk_id", fusion.MEASURES, 3, wide=wide))
         assert {q: x for q, x, _ in won} == truth and all((first[q] == x) == (how == "leader") for q, x, how in won)
         assert {how for _, _, how in won} == {"leader", "challenger"}
-    assert not fusion.has_wide_group(df, "query_id") and fusion.has_wide_group(df, "query_id", 5)
+    assert not has_wide_group(df, "query_id") and has_wide_group(df, "query_id", 5)
 
 
 # most similar vectors
