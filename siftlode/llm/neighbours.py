@@ -139,15 +139,19 @@ def _meet(k: int):
             n = min(k, sim.shape[1])
             cut_at = -np.partition(-sim, n - 1, axis=1)[:, n - 1]
             # all rows above the k-th similarity and the smallest ids among its ties
-            for r in range(len(qid)):
-                c = np.flatnonzero(sim[r] >= cut_at[r])
+            near = sim >= cut_at[:, None]
+            tied = near.sum(1) > n
+            r, c = np.nonzero(near & ~tied[:, None])
+            out.append((qid[r], bid[c], sim[r, c]))
+            for r in np.flatnonzero(tied):
+                c = np.flatnonzero(near[r])
                 c = c[np.argsort(-sim[r, c], kind="stable")][:n]
-                c = c[sim[r, c] > -2]
-                if len(c):
-                    out.append((np.repeat(qid[r], len(c)), bid[c], sim[r, c]))
+                out.append((np.repeat(qid[r], len(c)), bid[c], sim[r, c]))
         if not out:
             return empty
-        return pd.DataFrame({"rep": np.concatenate([o[0] for o in out]), "other": np.concatenate([o[1] for o in out]), "sim": np.concatenate([o[2] for o in out])})
+        rep, other, sim = (np.concatenate([o[i] for o in out]) for i in range(3))
+        real = sim > -2  # a row is none of its own neighbours
+        return pd.DataFrame({"rep": rep[real], "other": other[real], "sim": sim[real]})
 
     return run
 
@@ -197,7 +201,7 @@ def nearest_vectors(
     ``exact`` holds every vector against all of its model, in blocks: the measure for the index. ``every``: only
     vectors whose id it divides ask; all can be found. ``mass``: the probability of the parts that a vector visits.
     """
-    u = stored(usable_vectors(e).withColumn("key", F.xxhash64("model", F.to_json("vector"))))
+    u = stored(usable_vectors(e).withColumn("key", F.xxhash64("model", "vector")))
     numbered = spread_rank(u.select("model", "key", "vec_id"), ["model", "key"], [F.col("vec_id")], "n", ties=False)
     groups = cut(
         numbered.where(F.col("n") <= k + 1)
