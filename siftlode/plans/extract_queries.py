@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.operators import extract as X
-from siftlode.plans.corpus import candidates
+from siftlode.plans.corpus import CANDIDATES, candidates
 from siftlode.plans.runtime import load, own_folder, parallelism
 from siftlode.sources import config as C
 from siftlode.sources.store import Store
@@ -77,6 +77,10 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(pages, ["candidate_id"]).select("candidate_id", "ordinal", "candidate_type", "text", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
+def html_heading_counts(spark: SparkSession, d: str) -> DataFrame:
+    return html_sections(spark, d).where("candidate_type = 'heading'").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("headings"))
+
+
 def safe_metadata(spark: SparkSession, d: str) -> DataFrame:
     m = X.safe_metadata(candidates(spark, d))
     return m.select("candidate_id", "candidate_type", "text_hash", "signature_hash")
@@ -106,6 +110,8 @@ select file_id, k as key, json_extract_string(v, '$') as text from v where json_
     "markdown_headings": r"""with f as (select distinct file_id, text from artifact_files where artifact_role not in ('source') and (path like '%.md' or path like '%.MD')), l as (select file_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as line from f)
 select file_id, count(*) as headings from l where regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)') or regexp_matches(line, '^=+[ \t]*$') group by 1""",
     "safe_metadata": """select distinct candidate_id, candidate_type, 'sha256:' || sha256(text) as text_hash, 'sha256:' || sha256(signature_text) as signature_hash from (select *, row_number() over (partition by candidate_id order by extracted_at desc) as rn from extraction_candidates) where rn = 1""",
+    "html_heading_counts": f"""with {CANDIDATES}, h as (select candidate_id, len(regexp_extract_all(text, '(?i)<h[1-6][ >\\n]')) as headings from cand
+  where candidate_type in ('section', 'paragraph') and regexp_matches(text, '(?i)<(p|h[1-6]|pre)[ >]')) select * from h where headings > 0""",
     "python_symbol_counts": r"""with f as (select file_id, max((fetched_at, text)) as m from artifact_files where artifact_role = 'source' and (language = 'python' or lower(path) like '%.py') group by 1),
 l as (select file_id, unnest(string_split(regexp_replace(m[2], '\r\n?', chr(10), 'g'), chr(10))) as line from f), s as (select file_id, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 1) as kind, regexp_extract(line, '^\s*(?:async\s+)?(def|class)\s+(\w+)', 2) as name from l)
 select file_id, count(*) as symbols, count(*) filter (kind = 'class') as classes, min(name) as first_name, max(name) as last_name from s where kind <> '' group by 1""",

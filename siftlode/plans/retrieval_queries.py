@@ -360,6 +360,14 @@ def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
     return W.bundle(p, _shown(spark, d), QUERY_TEXT, 1600, "docs_qa", "index-1")
 
 
+def evidence_packed(spark: SparkSession, d: str) -> DataFrame:
+    """What of the best chunks fits into the budget, in rank order."""
+    s = _scope(spark, d)
+    top = T.bm25(s, WORDS, limit=20).join(s, "chunk_id")
+    p = W.pack_budget(top, 1600)
+    return p.select("chunk_id", "rank", "estimated_tokens", "truncated", F.length("excerpt").alias("chars"), F.md5("excerpt").alias("digest"))
+
+
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d).withColumn("v", E.hash_embedding(F.col("sanitized_content_hash"), "local", "hash-1", 20))
     return c.select("chunk_id", *[F.round(F.col("v")[i], 9).alias(f"v{i}") for i in (0, 7, 8, 19)], F.size("v").alias("dimensions"))
@@ -527,6 +535,8 @@ select chunk_id, row_number() over (order by m[1], m[2], chunk_id)::int as seed_
 i as (select f.*, substr(excerpt, 1, 24) as t, length(excerpt) > 24 as truncated from fused f join ok using (query_id, chunk_id) where tr and el in ('allowed','default_retrievable','eligible') and excerpt is not null and fused_rank <= 15),
 o as (select *, row_number() over (partition by query_id order by len(list_intersect(list_distinct({_TOKENS.format('t')}), ['heading_path','exact','symbol_path'])) desc, fused_rank, coalesce(au, 2147483647), fs desc nulls last, chunk_id) as p, count(*) over (partition by query_id) as n from i)
 select query_id, chunk_id, (n - p + 1)::double as rerank_score, p::int as reranked_rank, truncated from o""",
+    "evidence_packed": f"""with {_SCOPE}, {_bm25_sql(20)}, l as (select chunk_id, rank, sanitized_text as t, 6400 - coalesce(sum(length(sanitized_text)) over (order by rank rows between unbounded preceding and 1 preceding), 0) as left_ from lex join scope using (chunk_id)),
+x as (select *, least(length(t), greatest(left_, 0))::int as chars from l) select chunk_id, rank, ceil(chars / 4.0)::int as estimated_tokens, chars < length(t) as truncated, chars, md5(substr(t, 1, chars)) as digest from x where chars > 0""",
     "token_budget_pack": """with l as (select source_id, doc_id, length(text) as len, 80000 - coalesce(sum(length(text)) over (partition by source_id order by doc_id rows between unbounded preceding and 1 preceding), 0) as left_ from documents where source_id is not null),
 x as (select *, least(len, greatest(left_, 0)) as chars from l) select source_id, doc_id, ceil(chars / 4.0)::int as estimated_tokens, chars < len as truncated, chars::int as chars from x where chars > 0""",
     "citation_validation": rf"""with {_SCOPE}, t as (select c.*, regexp_replace(url, '/$', '') || '/docs' as u from citations c join sources s using (source_id) where url is not null)

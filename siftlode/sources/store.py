@@ -112,11 +112,12 @@ class Store:
         merged = {**old["parts"], "": [*old["parts"].get("", []), *parts]}
         self._publish(table, number, {**old, "parts": merged, "schema": _both(StructType.fromJson(old["schema"]), df.schema)})
 
-    def upsert(self, table: str, fresh: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
+    def upsert(self, table: str, fresh: DataFrame, key: list[str], keep: list[str] | None = None, newest: str | None = None) -> DataFrame:
         """Rows of ``fresh`` replace those with the same key, others stay; returns the new table.
 
         Keys must be unique in ``fresh`` and non-null. ``keep``: columns whose stored value goes before the fresh
-        one (a first sight, an id). One anti-join on the key within the buckets that ``fresh`` touches. A table that
+        one (a first sight, an id). ``newest``: a column by which a fresh row that is older than the stored one does not
+        replace it. One anti-join on the key within the buckets that ``fresh`` touches. A table that
         was appended to, or upserted by another key, is brought into buckets by this call, which rewrites it once.
         """
         number, now = self._version(table)
@@ -128,6 +129,9 @@ class Store:
                 # at most one row per bucket
                 touched = [str(r[0]) for r in fresh.select(_bucket(key, buckets).alias("b")).distinct().collect()]
             old = self._load(table, now, touched)
+            if newest:
+                t = old.select(*key, F.col(newest).alias("_old_at"))
+                fresh = fresh.join(t, key, "left").where(F.col("_old_at").isNull() | (F.col(newest) >= F.col("_old_at"))).drop("_old_at")
             if keep:
                 k = old.select(*key, *[F.col(c).alias(f"_old_{c}") for c in keep])
                 fresh = fresh.join(k, key, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siftlode.plans.runtime import cut
 from siftlode.sources.store import Store
 
 
@@ -21,18 +22,14 @@ def upsert_stream(stream: DataFrame, store: Store, table: str, key: list[str], o
 
     Runs over all that is there and ends. A batch that is repeated after a failure writes the same rows again,
     so the table is right whether or not its first try got through. A row older than the stored one does not
-    replace it.
+    replace it. Only the key buckets that a batch touches are read and rewritten.
     """
 
     def put(batch: DataFrame, _: int) -> None:
         b = change(batch) if change else batch
         rest = [c for c in b.columns if c not in key]
         last = b.groupBy(*key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("m")).select(*key, "m.*")
-        old = store.read(table)
-        if old is not None:
-            newer = old.select(*key, F.col(order).alias("_t"))
-            last = last.join(newer, key, "left").where(F.col("_t").isNull() | (F.col(order) >= F.col("_t"))).drop("_t")
-        store.upsert(table, last, key)
+        store.upsert(table, cut(last), key, newest=order)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
