@@ -18,8 +18,8 @@ ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,
 _BRACED = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 
 _FENCE = re.compile(r"(?m)^ {0,3}(?P<f>`{3,}|~{3,})[ \t]*(?P<info>[^`\n]*)$")
-#: A code element that is never closed must begin its line.
-_CODE_TAG = re.compile(r"(?ism)<(pre|source|syntaxhighlight)(?=[\s>])[^<>]*>(.*?)</\1\s*>|^[ \t]*<(pre|source|syntaxhighlight)(?=[\s>])[^<>]*>(.*)\Z")
+_CODE_OPEN = re.compile(r"(?i)<(pre|source|syntaxhighlight)(?=[\s>])[^<>]*>")
+_CODE_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("pre", "source", "syntaxhighlight")}
 _CODE_ENV = re.compile(r"(?s)\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}(?:\[[^\]\n]*\])?(?:\{\w+\}(?=\n))?(.*?)(?:\\end\{\1\}|\Z)")
 _FORMULAS = [
     re.compile(r"(?is)<script\b[^<>]*type\s*=\s*[\"']?math/tex[^<>]*>(.*?)</script\s*>"),
@@ -124,6 +124,29 @@ def _fences(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _code_tags(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of code elements. One that is never closed must begin its line, and runs to the end; others are words in brackets."""
+    found: list[tuple[int, int, str]] = []
+    at, never = 0, set()
+    while m := _CODE_OPEN.search(text, at):
+        name = m[1].lower()
+        close = None if name in never else _CODE_CLOSE[name].search(text, m.end())
+        if close:
+            found.append((m.start(), close.end(), text[m.end() : close.start()]))
+            at = close.end()
+        elif not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
+            found.append((m.start(), len(text), text[m.end() :]))
+            break
+        else:
+            never.add(name)
+            at = m.end()
+    return found
+
+
+#: A text without any of these holds no sign of any format.
+_ANY = re.compile(r"[#*_`~\[\]{}<>=$\\|&%]|''|(?m:^[ \t]*(?:[-+]|\d{1,9}[.)])[ \t])|(?m:^(?: {4}|\t)\S)|(?m:^ {0,3}-{3,}[ \t]*$)")
+
+
 class Page:
     """A text with its code spans found, and its lines with their signs: what the page model looks at and what is read by its decisions.
 
@@ -133,12 +156,20 @@ class Page:
 
     def __init__(self, text: str):
         self.text = text = text.replace("\r\n", "\n").replace("\r", "\n")
+        self.plain = not _ANY.search(text)
+        if self.plain:
+            self.code, self.free = [], text
+            lines = text.split("\n")
+            self.lines = [("text", "text")] * len(lines)
+            self.blocks = _runs([bool(x.strip()) for x in lines])
+            return
         #: (start, end, body, whether it is tagged)
         self.code: list[tuple[int, int, str, bool]] = [(a, b, c, False) for a, b, c in _fences(text)]
         free = _mask(text, [(a, b) for a, b, *_ in self.code], "\x02")
-        for pattern, tagged in ((_CODE_ENV, False), (_CODE_TAG, True)):
-            self.code += [(m.start(), m.end(), m[2] if m[1] else m[4], tagged) for m in pattern.finditer(free)]
-            free = _mask(free, [(a, b) for a, b, *_ in self.code], "\x02") if len(self.code) else free
+        self.code += [(m.start(), m.end(), m[2], False) for m in _CODE_ENV.finditer(free)]
+        free = _mask(free, [(a, b) for a, b, *_ in self.code], "\x02") if self.code else free
+        self.code += [(*x, True) for x in _code_tags(free)]
+        free = _mask(free, [(a, b) for a, b, *_ in self.code], "\x02") if self.code else free
         self.free = free
         raw, open_, first = text.split("\n"), free.split("\n"), set()
         if self.code:
@@ -148,21 +179,15 @@ class Page:
                     first.add(n)
                 at += len(x) + 1
         self.lines: list[tuple[str, str]] = []
-        self.blocks: list[list[int]] = []
-        now: list[int] = []
+        full: list[bool] = []
         for n, (x, y) in enumerate(zip(raw, open_)):
             masked = bool(self.code) and "\x02" in y and not y.replace("\x02", "").strip()
             if masked:
                 self.lines.append(("code", signature(x) if n in first else "code"))
             else:
                 self.lines.append((structure(y, open_[n + 1] if n + 1 < len(open_) else ""), signature(x)))
-            if x.strip() or masked:
-                now.append(n)
-            elif now:
-                self.blocks.append(now)
-                now = []
-        if now:
-            self.blocks.append(now)
+            full.append(bool(x.strip()) or masked)
+        self.blocks = _runs(full)
         for block in self.blocks:
             # several such lines in one block are no strong sign of headings
             if sum(self.lines[n][0] in ("hash", "hashes") for n in block) > 1:
@@ -172,6 +197,17 @@ class Page:
                         self.lines[n] = ("hash_run", "hash_run" if sign in ("hash", "md_head_strong") else sign)
 
 
+def _runs(full: list[bool]) -> list[list[int]]:
+    """The runs of true places."""
+    out: list[list[int]] = []
+    for n, x in enumerate(full):
+        if x and n and full[n - 1]:
+            out[-1].append(n)
+        elif x:
+            out.append([n])
+    return out
+
+
 _STRUCTURES = [
     ("wiki_head", _WIKI_HEAD), ("hash", re.compile(r"^ {0,3}#[ \t]+\S")), ("hashes", re.compile(r"^ {0,3}#{2,6}[ \t]+\S")), ("hash_tight", re.compile(r"^#+[^\s#]|^#{7,}|^[*#]*#[*#]*[ \t]*\S")),
     ("star", re.compile(r"^\*[ \t]+\S")), ("star_in", re.compile(r"^[ \t]+\*[ \t]+\S")), ("stars", re.compile(r"^\*{2,}[ \t]+\S|^\*+[^\s*]")), ("dash", re.compile(r"^[ \t]*[-+][ \t]+\S")), ("number", re.compile(r"^[ \t]*\d{1,9}[.)][ \t]+\S")),
@@ -183,6 +219,8 @@ def structure(line: str, following: str = "") -> str:
     """What the beginning of a line may be in some format; ``underlined`` if the next line is a rule, ``text`` for nothing."""
     if following and line.strip() and _SETEXT.match(f"{line}\n{following}"):
         return "underlined"
+    if not _ANY.search(line):
+        return "text"
     for name, p in _STRUCTURES:
         if p.match(line):
             return name
@@ -347,6 +385,8 @@ _SIGNS = [
 
 def signature(line: str) -> str:
     """The kind of the first sign of markup in a line, ``text`` for none."""
+    if not _ANY.search(line):
+        return "text"
     for name, p in _SIGNS:
         if p.search(line):
             return name
