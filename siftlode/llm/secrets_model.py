@@ -31,9 +31,9 @@ _HUMPS = re.compile(r"^[A-Za-z][a-z]+(?:[A-Z][a-z]{2,})+$")
 _SLASHED = re.compile(r"^(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{20,}={0,2}$")
 _ADDRESS = re.compile(r"^[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+$")
 _HOOK = re.compile(r"https?://[^\s\"'`]*?/([A-Za-z0-9_\-]{20,})(?=[\s\"'`;,)]|$)")
-#: An address's path, of which words in lower case lead to what may be a secret of any alphabet; and a piece that is none of these words.
-_ADDRESS_PATH = re.compile(r"https?://[^\s\"'`/]+/((?:[a-z][a-z_\-]*/)*)([A-Za-z0-9_\-+/=.]{20,})(?=[\s\"'`;,)]|$)")
-_RANDOM_RUN = re.compile(r"(?=[A-Za-z]*\d)(?=[A-Z\d]*[a-z])(?=[a-z\d]*[A-Z])[A-Za-z\d]{10,}")
+#: An address's path, of which words in lower case lead to what may be a secret of any alphabet (in one pass, however long); and runs within it.
+_ADDRESS_PATH = re.compile(r"https?://[^\s\"'`/]++/((?:[a-z][a-z_\-]*+/)*+)([A-Za-z0-9_\-+/=.]{20,}+)(?=[\s\"'`;,)]|$)")
+_RUN = re.compile(r"[A-Za-z\d]{10,}+")
 _VOWEL = re.compile(r"[aeiouyAEIOUY]")
 _QUOTED_ONLY = re.compile(r"^\s*[fbru]*([\"'`])[^\"'`]*\1\s*[)\];,+\\]*\s*$")
 _ENDS_OPEN = re.compile(r"[\"'`]\s*[+\\.]?\s*$")
@@ -104,7 +104,7 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
             out.append(Candidate(n, m[1], before + line[: m.start()] + " urlpath ", line[m.end(1) :], "hook", m.start(1)))
         taken.append(m.span())
     for m in _ADDRESS_PATH.finditer(line) if remote else ():
-        if _RANDOM_RUN.search(m[2]) and not any(a < m.end() and m.start() < b for a, b in taken):
+        if any(_mixed(x) for x in _RUN.findall(m[2])) and not any(a < m.end() and m.start() < b for a, b in taken):
             out.append(Candidate(n, m[2], before + line[: m.start()] + " urlpath ", line[m.end(2) :], "hook", m.start(2)))
             taken.append(m.span())
     for m in _ATOM.finditer(line):
@@ -150,6 +150,11 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
             out.append(Candidate(n, t2, before + line[:a], line[e:], "atom", a))
 
 
+def _mixed(s: str) -> bool:
+    """Whether a run of letters and digits has digits, small letters and capitals."""
+    return not s.isalpha() and s.upper() != s and s.lower() != s
+
+
 def _no_words(s: str) -> bool:
     """Whether letters with capitals among them are no words run together: oddly placed capitals, or a piece without vowel."""
     if _ODD_CASE.search(s):
