@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings"))
+    return neighbours.nearest_vectors(load(spark, d, "chunk_embeddings")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p3_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,18 @@ winner as (select query_id, chunk_id from wide x where not exists (
     + (coalesce(x.m3, 1000000000) < coalesce(y.m3, 1000000000))::int + (coalesce(x.m4, 1000000000) < coalesce(y.m4, 1000000000))::int
     + (coalesce(x.m5, 1000000000) < coalesce(y.m5, 1000000000))::int < 3))"""
 
+#: Brute force. Up to some thousand vectors a model the index has one part, and the rows are the same; beyond, see p3_recall.
+_P3 = """
+with good as (select vec_id, embedding_model_id as m, vector::double[] as v, created_at from chunk_embeddings where is_active and embedding_model_id is not null and len(vector) = dimensions
+    and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+u as (select vec_id, m, v, sqrt(list_dot_product(v, v)) as n from good qualify row_number() over (partition by vec_id order by created_at desc, m desc, v desc) = 1),
+s as (select a.vec_id, b.vec_id as other_id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 12) as similarity from u a join u b on a.m = b.m and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+near as (select * from s qualify row_number() over (partition by vec_id order by similarity desc, other_id) <= 5)
+"""
+
 ORACLE = {
+    "p3_nearest": f"{_P3} select vec_id, other_id, round(similarity, 6) + 0.0 as similarity from near",
+    "p3_found": f"{_P3} select distinct least(vec_id, other_id) as vec_id_a, greatest(vec_id, other_id) as vec_id_b from near where similarity >= 0.9",
     "p2_found": f"{_P2}{_WINNER} select query_id, chunk_id from winner",
     "p2_ranking": f"{_P2}{_RANKING} select * from ranking",
     "p2_decided": f"{_P2}{_RANKING}{_WINNER} select case fused_rank when 1 then 'leader' else 'challenger' end as decided, count(*) as queries from winner join ranking using (query_id, chunk_id) group by 1",
