@@ -39,6 +39,11 @@ def extract_summary(spark: SparkSession, d: str) -> DataFrame:
     return _extracted(spark, d).groupBy("parser", "status", "candidate_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def extract_status(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each parser took, and how it went."""
+    return _extracted(spark, d).groupBy("parser", "status").agg(F.count_distinct("file_id").alias("files"))
+
+
 def json_tree_walk(spark: SparkSession, d: str) -> DataFrame:
     e = _extracted(spark, d).where("parser = 'json' and candidate_type = 'scalar'")
     return e.select("file_id", F.array_join("key_path", ".").alias("key"), "text")
@@ -103,6 +108,11 @@ ORACLE = {
 b as (select *, not regexp_matches(line, '[^\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x0b]') as blank from l), r as (select *, sum(blank::int) over (partition by doc_id order by n) as run from b),
 p as (select doc_id, run, min(n) as s, max(n) as e, string_agg(line, chr(10) order by n) as t from r where not blank group by 1, 2)
 select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as ordinal, s::int as line_start, e::int as line_end, md5(t) as digest from p""",
+    "extract_status": r"""with f as (select file_id, max((fetched_at, path, artifact_role, language)) as m from artifact_files group by 1),
+s as (select m[3] as role, m[4] as language, regexp_extract(lower(split(m[2], '/')[-1]), '^.+\.([^.]+)$', 1) as sfx from f),
+p as (select case when role in ('source', 'source_code') then case when language = 'python' or sfx = 'py' then 'python' else 'none' end
+  when sfx in ('md', 'mdx') then 'markdown' when sfx in ('html', 'htm') then 'html' when sfx in ('yaml', 'yml') then 'yaml' when sfx in ('json', 'toml') then sfx else 'text' end as parser from s)
+select parser, case parser when 'none' then 'skipped' else 'completed' end as status, count(*) as files from p group by 1, 2""",
     "json_tree_walk": """with f as (select distinct file_id, path, text from artifact_files where artifact_role not in ('source', 'source_code') and path like '%.json'),
 a as (select file_id, json(text) as j from f), k as (select file_id, j, unnest(json_keys(j)) as k from a), v as (select file_id, k, json_extract(j, '$."' || k || '"') as v from k)
 select file_id, k as key, json_extract_string(v, '$') as text from v where json_type(v) <> 'OBJECT'
