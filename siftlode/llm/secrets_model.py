@@ -30,6 +30,12 @@ _ODD_CASE = re.compile(r"[a-z][A-Z](?:.*[a-z][A-Z]|[A-Z])|^[A-Z]{2,}[a-z]")
 _HUMPS = re.compile(r"^[A-Za-z][a-z]+(?:[A-Z][a-z]{2,})+$")
 _SLASHED = re.compile(r"^(?=.*\d)(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]{20,}={0,2}$")
 _ADDRESS = re.compile(r"^[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+$")
+_ALONE = re.compile(r"^\s+\S+\s*$")
+_OPENS = re.compile(r"[:=]\s*[>|][+\-]?\d?\s*$")
+#: A line whose value belongs to a name in the line before.
+_GOES_ON = re.compile(r"^\s*(?:(?:value|\"value\"|default)\s*[:=]|[\"'`]|<value>)")
+_NAME_ONLY = re.compile(r"^[A-Za-z][a-zA-Z_\-.]*[=:]$")
+_VALUES = re.compile(r"^\.Values\b")
 _HOOK = re.compile(r"https?://[^\s\"'`]*?/([A-Za-z0-9_\-]{20,})(?=[\s\"'`;,)]|$)")
 #: An address's path, of which words in lower case lead to what may be a secret of any alphabet (in one pass, however long); and runs within it.
 _ADDRESS_PATH = re.compile(r"https?://[^\s\"'`/]++/((?:[a-z][a-z_\-]*+/)*+)([A-Za-z0-9_\-+/=.]{20,}+)(?=[\s\"'`;,)]|$)")
@@ -108,19 +114,19 @@ def _atoms(n: int, line: str, before: str, out: list[Candidate]) -> None:
             out.append(Candidate(n, m[2], before + line[: m.start()] + " urlpath ", line[m.end(2) :], "hook", m.start(2)))
             taken.append(m.span())
     for m in _ATOM.finditer(line):
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        if taken and any(a < m.end() and m.start() < b for a, b in taken):
             continue
         s, a = m.group(0), m.start()
         if s.isalpha() and (s.islower() or s.istitle()):
             continue  # a plain word
-        while (k := _NAMED.match(s)) and "://" not in s and not s[k.end() :].startswith("//"):
+        while ("=" in s or ":" in s) and (k := _NAMED.match(s)) and "://" not in s and not s[k.end() :].startswith("//"):
             s, a = s[k.end() :], a + k.end()
         e = a + len(s)
         t = s.rstrip(".:!?") if not s.endswith("==") else s
         e -= len(s) - len(t)
         t2 = t.lstrip("=:@")
         a += len(t) - len(t2)
-        if "://" in t2 or _ADDRESS.match(t2) or re.match(r"^[A-Za-z][a-zA-Z_\-.]*[=:]$|^\.Values\b", t2) or len(t2) < 5:
+        if len(t2) < 5 or "://" in t2 or "@" in t2 and _ADDRESS.match(t2) or t2[-1] in "=:" and _NAME_ONLY.match(t2) or t2[0] == "." and _VALUES.match(t2):
             continue
         plain = _NOT_VALUE.match(t2)
         core = t2.strip("*_~.,?!:;")
@@ -211,13 +217,13 @@ def candidates(text: str) -> list[Candidate]:
         prev = lines[i - 1] if i else ""
         if _QUOTED_ONLY.match(line) and _ENDS_OPEN.search(prev):
             continue
-        alone = re.match(r"^\s+\S+\s*$", line) is not None
-        opens = re.search(r"[:=]\s*[>|][+\-]?\d?\s*$", prev) is not None
+        alone = line[:1].isspace() and _ALONE.match(line) is not None
+        opens = (">" in prev or "|" in prev) and _OPENS.search(prev) is not None
         if alone and folded and not opens and not re.search(r"[:=]", line.strip().rstrip("=")):
             continue  # a further line of a folded value
         folded = alone and opens
         before = ""
-        if alone and opens or re.match(r"^\s*(?:value|\"value\"|default)\s*[:=]", line) or re.match(r"^\s*(?:[\"'`]|<value>)", line):
+        if alone and opens or _GOES_ON.match(line):
             before = prev.strip()[-80:] + " ⏎ "
         _atoms(n, line, before, out)
     return out
