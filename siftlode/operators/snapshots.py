@@ -42,6 +42,17 @@ def snapshot_sequence(headers: DataFrame, counts: DataFrame, wide: bool = True)
     )
 
 
+def file_counts(records: DataFrame) -> DataFrame:
+    """(snapshot_id, n): distinct keys of each snapshot, by their hashes; a snapshot without any has no row."""
+    return (
+        records.select("snapshot_id", F.xxhash64("key").alias("k"))
+        .groupBy("snapshot_id", "k")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("snapshot_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def snapshot_changes(records: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows (root, seq, key, change_kind) that differ between consecutive complete snapshots.
 
@@ -55,14 +66,7 @@ def snapshot_changes(records: DataFrame, headers: DataFrame) -> DataFrame:
     Empty input gives no rows; null keys are no records.
     """
     records = records.where("key is not null and snapshot_id is not null")
-    counts = (
-        records.select("snapshot_id", F.xxhash64("key").alias("k"))
-        .groupBy("snapshot_id", "k")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("snapshot_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sequence = snapshot_sequence(headers, counts, has_wide_group(headers, "root"))
+    sequence = snapshot_sequence(headers, file_counts(records), has_wide_group(headers, "root"))
     sides = F.array(
         F.struct(F.when(~F.col("first"), F.col("seq")).alias("pair"), F.lit(True).alias("later")),
         F.struct(F.col("next_seq").alias("pair"), F.lit(False).alias("later")),

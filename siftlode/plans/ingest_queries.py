@@ -12,9 +12,9 @@ from siftlode.operators import discovery as D
 from siftlode.operators import incremental as N
 from siftlode.operators import redaction as R
 from siftlode.operators.ranking import has_wide_group
-from siftlode.operators.snapshots import snapshot_sequence
+from siftlode.operators.snapshots import file_counts, snapshot_sequence
 from siftlode.plans.corpus import CANDIDATES, CHUNKS, candidates, chunks
-from siftlode.plans.runtime import load
+from siftlode.plans.runtime import load, stored, widen
 
 #: Fixed value: namespace of the evidence identifiers used here.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -191,11 +191,13 @@ def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     heads = load(spark, d, "source_snapshots").select(
         "snapshot_id", F.col("root_identifier").alias("root"), F.col("snapshot_seq").alias("seq"), F.col("artifact_count").alias("expected")
     )
-    a = load(spark, d, "artifact_candidates").where("snapshot_id is not null").select(
+    raw = load(spark, d, "artifact_candidates").where("snapshot_id is not null")
+    # spelled once; the counts read two columns of it
+    a = stored(widen(raw.select("snapshot_id", "checksum", "extractor_profile", "corpus_eligibility_label", "received_at", "logical_locator")).select(
         "snapshot_id", plain_checksum(F.col("checksum")).alias("checksum"), "extractor_profile", "corpus_eligibility_label", "received_at",
         plain_path(F.col("logical_locator")).alias("path"),
-    ).where("path is not null")
-    sequence = snapshot_sequence(heads, a.groupBy("snapshot_id").agg(F.count_distinct("path").alias("n")), has_wide_group(heads, "root"))
+    ).where("path is not null"))
+    sequence = snapshot_sequence(heads, file_counts(a.withColumnRenamed("path", "key")), has_wide_group(heads, "root"))
     last = F.max(F.struct("received_at", "checksum", "extractor_profile", "corpus_eligibility_label"))
     # by file, as the plans need it: the last rows and both neighbours of a file then take no further shuffle
     placed = a.join(sequence, "snapshot_id").repartition("root", "path")
