@@ -198,6 +198,7 @@ def test_small_copies_and_look_alikes(spark):
     data = [source(1, "a", "x/z.py", small * 2), source(2, "b", "y/z.py", small + small), source(3, "a", "s.sh", glob), source(4, "b", "t.sh", glob.replace("tmp", "log")), source(5, "a", "a.css", css), source(6, "c", "v.py", "VERSION = '1.2.3'\n")]
     got = {r.file_id: r.reason for r in source_files.not_hand_written(spark.createDataFrame(data, FILES)).collect()}
     assert got == {1: "vendored", 2: "vendored"}
+    assert source_files.facts("a.go", "// source: api.proto\n// compiler version 5.2\npackage x")[0] == "generated" and source_files.facts("a.go", "// source: the wiki\npackage x")[0] == ""
     assert source_files.split_comments(glob)[1].count("echo") == 1
 
 
