@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 
 _LEX = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\S")
 #: Words that keep their identity in the abstract token sequence; all other names become one token.
@@ -93,54 +95,107 @@ def symbol_classes(sequence: list[str], known: set[str]) -> list[str]:
     return [x if x in known else "~" for x in sequence]
 
 
+class Sequences:
+    """Sequences of symbols as flat arrays, each with the number of its occurrences: what the rounds of a grammar work on."""
+
+    def __init__(self, packed: list[bytes], times: list[int]):
+        lengths = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+        self.symbols = np.frombuffer(b"".join(packed), np.int32).astype(np.int64)
+        self.times = np.repeat(np.asarray(times, np.int64), lengths)
+        #: Whether a symbol and the next one may form a pair.
+        self.linked = np.ones(len(self.symbols), bool)
+        self.linked[np.cumsum(lengths)[lengths > 0] - 1] = False
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, their counts, places, the pair at each place); a symbol and itself make no pair."""
+        at = np.flatnonzero(self.linked)
+        at = at[self.symbols[at] != self.symbols[at + 1]]
+        found, which = np.unique(self.symbols[at] << 32 | self.symbols[at + 1], return_inverse=True)
+        counts = np.zeros(len(found), np.int64)
+        np.add.at(counts, which, self.times[at])
+        return found, counts, at, which
+
+    def cut(self, at: np.ndarray) -> None:
+        """Part the sequences behind these places. A pair's count bounds those of all later pairs at its places, so this is exact for rare pairs."""
+        self.linked[at] = False
+        before = np.concatenate([[False], self.linked[:-1]])
+        self._keep(self.linked | before)
+
+    def replace(self, pairs: np.ndarray, first: int) -> None:
+        """Symbol ``first + r`` for each occurrence of ``pairs[r]``; no symbol ends one of the pairs and begins another."""
+        order = np.argsort(pairs)
+        at = np.flatnonzero(self.linked)
+        key = self.symbols[at] << 32 | self.symbols[at + 1]
+        place = np.minimum(np.searchsorted(pairs[order], key), len(pairs) - 1)
+        hit = pairs[order][place] == key
+        at = at[hit]
+        self.symbols[at] = first + order[place[hit]]
+        self.linked[at] = self.linked[at + 1]
+        keep = np.ones(len(self.symbols), bool)
+        keep[at + 1] = False
+        self._keep(keep)
+
+    def packed(self) -> list[bytes]:
+        """The sequences of two symbols at least, in their order."""
+        ends = np.flatnonzero(~self.linked) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        raw = self.symbols.astype(np.int32).tobytes()
+        return [raw[4 * a : 4 * b] if b > a + 1 else b"" for a, b in zip(starts.tolist(), ends.tolist())]
+
+    def _keep(self, keep: np.ndarray) -> None:
+        self.symbols, self.times, self.linked = self.symbols[keep], self.times[keep], self.linked[keep]
+
+
+def round_floor(top: int, least: int) -> int:
+    """The count from which pairs are replaced in the round whose most frequent pair has ``top`` occurrences."""
+    return max(least, top // 2)
+
+
+def round_pairs(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The pairs of one round, most frequent first: no symbol ends one and begins another, so none takes an occurrence from another."""
+    begins, ends, chosen = set(), set(), []
+    for pair in pairs[np.lexsort((pairs, -counts))].tolist():
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        if a not in ends and b not in begins:
+            begins.add(a)
+            ends.add(b)
+            chosen.append(pair)
+    return np.array(chosen, np.int64)
+
+
+def rounds(work: Sequences, first: int, least: int) -> Iterator[np.ndarray]:
+    """The pairs that each round replaces, until no pair has ``least`` occurrences; their symbols count from ``first``."""
+    while True:
+        pairs, counts, at, which = work.pairs()
+        often = counts >= least
+        if not often.any():
+            return
+        floor = counts >= round_floor(int(counts.max()), least)
+        chosen = round_pairs(pairs[floor], counts[floor])
+        yield chosen
+        work.cut(at[~often[which]])
+        work.replace(chosen, first)
+        first += len(chosen)
+
+
 class PhraseGrammar:
     """One Re-Pair grammar over many short sequences: its rules are the phrases that they share.
 
     ``known``: the symbols that keep their identity. Pairs never cross a sequence's end, and a rule has at least
-    ``least`` uses when it is made. A sequence is parsed by joining its pairs in the order in which the rules were made.
+    ``least`` uses when it is made. Each round replaces all pairs of at least half the highest count of which none begins with another's
+    end. A sequence is parsed by joining its pairs in the order in which the rules were made. ``rules``: those of
+    rounds that were done elsewhere.
     """
 
-    def __init__(self, sequences: list[list[str]], known: set[str], least: int = 6):
+    def __init__(self, sequences: list[list[str]], known: set[str], least: int = 6, rules: np.ndarray | None = None):
         self.known = known
         self.ids: dict[str, int] = {x: i for i, x in enumerate(sorted(known | {"~"}))}
         self.alphabet = len(self.ids)
-        self.rules: list[tuple[int, int]] = []
-        # equal sequences are worked on once; a replacement touches only the sequences that hold its pair
-        weight = Counter(tuple(self.ids[x] for x in symbol_classes(s, known)) for s in sequences)
-        work, times = [list(s) for s in weight], list(weight.values())
-        counts: Counter = Counter()
-        where: dict[tuple, set[int]] = {}
-
-        def note(i: int, sign: int) -> None:
-            for pair in zip(work[i], work[i][1:]):
-                counts[pair] += sign * times[i]
-                if sign > 0:
-                    where.setdefault(pair, set()).add(i)
-                    if counts[pair] >= least:
-                        touched.add(pair)
-
-        touched: set[tuple] = set()
-        for i in range(len(work)):
-            note(i, 1)
-        queue = [(-counts[x], x) for x in touched]
-        heapq.heapify(queue)
-        while queue:
-            n, pair = heapq.heappop(queue)
-            if counts[pair] != -n:
-                if counts[pair] >= least:
-                    heapq.heappush(queue, (-counts[pair], pair))
-                continue
-            if pair[0] == pair[1]:
-                continue
-            rule = self.alphabet + len(self.rules)
-            self.rules.append(pair)
-            touched.clear()
-            for i in sorted(where.pop(pair)):
-                note(i, -1)
-                work[i] = _replace(work[i], {pair[0]: (pair[1], rule)})
-                note(i, 1)
-            for x in touched:
-                heapq.heappush(queue, (-counts[x], x))
+        if rules is None:
+            weight = Counter(map(self.pack, sequences))
+            made = [*rounds(Sequences(list(weight), list(weight.values())), self.alphabet, least)]
+            rules = np.concatenate([np.empty(0, np.int64), *made])
+        self.rules: list[tuple[int, int]] = [(x >> 32, x & 0xFFFFFFFF) for x in rules.tolist()]
         self.index = {pair: self.alphabet + r for r, pair in enumerate(self.rules)}
         #: Rules with a word of letters in their expansion.
         letters = {i for x, i in self.ids.items() if x.isalpha()}
@@ -150,6 +205,10 @@ class PhraseGrammar:
                 self.named.add(self.alphabet + r)
         self._seen: dict[tuple, list[int]] = {}
 
+    def pack(self, sequence: list[str]) -> bytes:
+        """A sequence's symbols as :class:`Sequences` takes them."""
+        return np.array([self.ids[x] for x in symbol_classes(sequence, self.known)], np.int32).tobytes()
+
     def parse(self, sequence: list[str]) -> list[int]:
         """The sequence as the largest phrases; symbols below ``alphabet`` are in none."""
         s = [self.ids[x] for x in symbol_classes(sequence, self.known)]

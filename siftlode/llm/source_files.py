@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.grammar import KEYWORDS, PhraseGrammar, abstract, lex, reuse
-from siftlode.llm.sampling import bounded_sample
-from siftlode.plans.runtime import parallelism, stored
+from siftlode.llm.grammar import KEYWORDS, PhraseGrammar, Sequences, abstract, lex, reuse, round_floor, round_pairs, rounds
+from siftlode.plans.runtime import discard, parallelism, stored
 
 #: Directories and name endings by which build tools and package managers mark their output.
 GENERATED_DIRS = frozenset("generated __generated__ generated-sources generated_sources autogen auto_generated gen dist build out target".split())
@@ -49,11 +48,10 @@ LONG_LINE, LONG_SHARE = 300, 0.5
 #: A pair of lines that more roots share than this number, or this part of all roots, is an idiom and tells nothing; of the
 #: others, this share must be shared with another root; one line in common by chance makes two pairs, which are counted against it.
 IDIOM_ROOTS, IDIOM_PART, SHARED_SHARE, CHANCE_PAIRS = 20, 0.01, 0.6, 2
-#: Documented bound of the fit: files (smallest hashes of file_id) whose comments and paths the phrase grammar is made of.
-#: What a phrase says is counted over all files.
-FIT_FILES = 8_000
-#: A word keeps its identity in phrases if so many roots of the fit have it, and a phrase counts if so many roots have it.
-WORD_ROOTS, PHRASE_ROOTS = 8, 4
+#: A word keeps its identity in phrases if so many roots have it, a phrase is made if it has so many uses, and it counts if so many roots have it.
+WORD_ROOTS, PHRASE_USES, PHRASE_ROOTS = 8, 6, 4
+#: Symbols of the distinct comment lines and paths up to which one task does the rounds of the phrase grammar; above, all tasks do, with the same rules.
+TASK_SYMBOLS = 4_000_000
 
 _BLOCK = re.compile(r"(?:^|(?<=[\s;{}(),]))/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|^[ \t]*(?P<q>\"\"\"|''').*?(?:(?P=q)|\Z)", re.S | re.M)
 _LINE = re.compile(r"(?m)^[ \t]*(?://|#(?=[ \t!/]|$)|--(?=[ \t])|;;).*$")
@@ -172,23 +170,98 @@ def shared_pairs(f: DataFrame) -> DataFrame:
     return rare.groupBy("file_id").agg((F.count_if(F.col("roots") > 1) / (F.count(F.lit(1)) + CHANCE_PAIRS)).alias("shared"))
 
 
-def phrase_grammar(f: DataFrame) -> PhraseGrammar:
-    """The grammar of comment lines and paths of at most FIT_FILES files, made in one task."""
-    some = f.select("file_id", "root", "path", "comments").join(F.broadcast(bounded_sample(f, "file_id", FIT_FILES)), "file_id", "left_semi")
+def phrase_grammar(f: DataFrame, task_symbols: int = TASK_SYMBOLS) -> PhraseGrammar:
+    """The grammar of the comment lines and paths of all files.
+
+    Equal lines are worked on once, with their number. The driver holds the words and the rules, which are what the phrases are made of.
+    """
+    spark = f.sparkSession
+
+    def root_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            roots: dict[str, set] = {}
+            for root, path, said in zip(b["root"], b["path"], b["comments"]):
+                for s in [*map(words, said), path_words(path)]:
+                    for w in s:
+                        r = roots.setdefault(w, set())
+                        # a word with so many roots here needs no others to be known
+                        if len(r) < WORD_ROOTS:
+                            r.add(root)
+            yield pd.DataFrame([(w, x) for w, r in roots.items() for x in r], columns=["word", "root"])
+
+    each = f.select("root", "path", "comments").mapInPandas(root_words, "word string, root string").groupBy("word", "root").agg(F.lit(1).alias("one"))
+    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("roots")).where(F.col("roots") >= WORD_ROOTS)
+    bare = PhraseGrammar([], {x["word"] for x in often.select("word").collect()})
+    shared = spark.sparkContext.broadcast(bare)
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = Counter(shared.value.pack(s) for path, said in zip(b["path"], b["comments"]) for s in [*map(words, said), path_words(path)])
+            yield pd.DataFrame({"s": list(n), "n": list(n.values())})
+
+    work = f.select("path", "comments").mapInPandas(lines, "s binary, n long").where(F.length("s") > 4)
+    work = stored(work.groupBy("s").agg(F.sum("n").alias("n")))
+    return PhraseGrammar([], bare.known, rules=phrase_rules(work, bare.alphabet, task_symbols))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("file_id")
-        sequences, roots = [], {}
-        for root, path, said in zip(pdf["root"], pdf["path"], pdf["comments"]):
-            for s in [*map(words, said), path_words(path)]:
-                sequences.append(s)
-                for w in set(s):
-                    roots.setdefault(w, set()).add(root)
-        known = {w for w, r in roots.items() if len(r) >= WORD_ROOTS}
-        return pd.DataFrame({"g": [pickle.dumps(PhraseGrammar(sequences, known))]})
 
-    rows = some.groupBy(F.lit(1).alias("one")).applyInPandas(one, "g binary").collect()
-    return pickle.loads(bytes(rows[0]["g"])) if rows else PhraseGrammar([], set())
+def phrase_rules(work: DataFrame, first: int, task_symbols: int) -> np.ndarray:
+    """The rules over sequences (s, n: number), in the order of :func:`rounds`; ``work`` is stored and is deleted.
+
+    While there are more symbols than one task takes, a round is a count of all pairs, of which those that may be replaced reach the
+    driver, packed, and a pass that replaces them.
+    """
+    spark, made, floor = work.sparkSession, [np.empty(0, np.int64)], PHRASE_USES
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"r": [x.tobytes() for x in rounds(Sequences(list(pdf["s"]), list(pdf["n"])), first, PHRASE_USES)]})
+
+    while (work.agg(F.sum(F.length("s"))).first()[0] or 0) > 4 * task_symbols:
+        top, pairs, counts = _frequent_pairs(work, floor)
+        if top < PHRASE_USES:
+            discard(work)
+            return np.concatenate(made)
+        if round_floor(top, PHRASE_USES) < floor:
+            floor = round_floor(top, PHRASE_USES)
+            continue
+        floor = round_floor(top, PHRASE_USES)
+        chosen = round_pairs(pairs[counts >= floor], counts[counts >= floor])
+        shared = spark.sparkContext.broadcast((chosen, first))
+
+        def replaced(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                s = Sequences(list(b["s"]), list(b["n"]))
+                s.replace(*shared.value)
+                yield pd.DataFrame({"s": s.packed(), "n": b["n"].to_numpy()})
+
+        before, work = work, stored(work.mapInPandas(replaced, "s binary, n long").where(F.length("s") > 4))
+        discard(before)
+        shared.unpersist()
+        made.append(chosen)
+        # of the next round, that its list is complete at the first try
+        first, floor = first + len(chosen), max(PHRASE_USES, floor // 2)
+    made += [np.frombuffer(bytes(x["r"]), np.int64) for x in work.groupBy(F.lit(1).alias("one")).applyInPandas(finish, "r binary").collect()]
+    discard(work)
+    return np.concatenate(made)
+
+
+def _frequent_pairs(work: DataFrame, floor: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The highest count of a pair, and the pairs of at least ``floor`` occurrences with their counts."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found, counts, _, _ = Sequences(list(b["s"]), list(b["n"])).pairs()
+            yield pd.DataFrame({"pair": found, "n": counts})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            some = b[b["n"] >= floor]
+            if len(b):
+                yield pd.DataFrame({"top": [b["n"].max()], "pairs": [some["pair"].to_numpy(np.int64).tobytes()], "counts": [some["n"].to_numpy(np.int64).tobytes()]})
+
+    n = work.mapInPandas(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = n.mapInPandas(pack, "top long, pairs binary, counts binary").collect()
+    join = lambda c: np.frombuffer(b"".join(bytes(x[c]) for x in rows), np.int64)
+    return max((x["top"] for x in rows), default=0), join("pairs"), join("counts")
 
 
 def file_phrases(f: DataFrame, grammar: PhraseGrammar) -> DataFrame:

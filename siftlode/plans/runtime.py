@@ -63,6 +63,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the one table of :func:`stored` that ``df`` reads, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {os.path.dirname(x) for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables of :func:`stored`, once the results that read them are written; returns their number."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,6 +214,40 @@ def test_phrase_grammar():
     assert grammar.PhraseGrammar([], set()).parse(["x"]) == [0] and grammar.PhraseGrammar([["a", "a", "a"]] * 9, {"a"}).rules == []
 
 
+def test_phrase_grammar_is_made_of_all_files(spark):
+    """A phrase of ten files among 9,000 is a rule whatever their ids, and the rules are the same in one task and in many."""
+    ids = spark.range(9000).withColumnRenamed("id", "file_id")
+    ten = [r.file_id for r in ids.orderBy(F.abs(F.xxhash64("file_id")).desc()).limit(10).collect()]
+    name = lambda n: F.element_at(F.array(*map(F.lit, "red blue green black white grey brown pink".split()[:n])), (F.pmod(F.xxhash64("file_id", F.lit(n)), F.lit(n)) + 1).cast("int"))
+    said = F.when(F.col("file_id").isin(ten), "spun by zork").otherwise(F.concat(F.lit("keep the "), name(8), F.lit(" list in "), name(5), F.lit(" order")))
+    f = ids.select("file_id", F.concat(F.lit("r"), "file_id").alias("root"), F.concat(F.lit("src/"), name(3), F.lit("/m.py")).alias("path"), F.array(said).alias("comments"))
+    g = source_files.phrase_grammar(f)
+    assert [g.words(x) for x in g.parse("spun by zork".split())] == [["spun", "by", "zork"]]
+    lines = [s for r in f.collect() for s in (source_files.words(r.comments[0]), source_files.path_words(r.path))]
+    whole = grammar.PhraseGrammar(lines, g.known)
+    assert len(whole.rules) > 30 and all(source_files.phrase_grammar(f, n).rules == whole.rules for n in (0, 400, 10**6))
+    assert source_files.phrase_grammar(f.where("false"), 0).rules == []
+
+
+def test_rounds_of_pairs():
+    rng = random.Random(5)
+    lines = [[rng.choice("abcab") for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    g = grammar.PhraseGrammar(lines, set("abc"))
+    uses = dict.fromkeys(range(g.alphabet, g.alphabet + len(g.rules)), 0)
+    for s in lines:
+        at = g.parse(s)
+        assert [w for x in at for w in g.words(x)] == s
+        todo = list(at)
+        while todo:
+            x = todo.pop()
+            if x in uses:
+                uses[x] += 1
+                todo += g.rules[x - g.alphabet]
+    # every rule had six uses when it was made, and no pair that could be one is left
+    left = Counter(p for s in lines for p in zip(g.parse(s), g.parse(s)[1:]) if p[0] != p[1])
+    assert uses and min(uses.values()) >= 6 and max(left.values()) < 6
+
+
 @pytest.mark.parametrize("text", ["", "a", "abab" * 50, "aaaaaaaaaaaaaaaa", "abcdefgh", "the cat the dog the cat the dog ."])
 def test_repair_expands_to_its_input(text):
     seq = list(text)
